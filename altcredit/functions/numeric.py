@@ -52,7 +52,7 @@ def _spread(n: Column, total: Column, total_sq: Column) -> Column:
 def sample_std(n: Column, total: Column, total_sq: Column) -> Column:
     """Sample standard deviation from sums; 0 for a single value, NULL for none."""
     return F.when(n == 1, F.lit(0.0)).when(
-        n > 1, F.sqrt(_spread(n, total, total_sq) / dbl(n * (n - F.lit(1))))
+        n > 1, F.sqrt(ratio(_spread(n, total, total_sq), n * (n - F.lit(1))))
     )
 
 
@@ -66,7 +66,7 @@ def coefficient_of_variation(n: Column, total: Column, total_sq: Column) -> Colu
 
 def cagr(first: Column, last: Column, years: float = 1.0) -> Column:
     """Compound growth as a fraction; NULL unless the first value is positive."""
-    growth = dbl(last) / dbl(first)
+    growth = ratio(last, first)
     if years != 1.0:
         growth = F.pow(growth, F.lit(1.0 / years))
     return F.when(first > 0, growth - F.lit(1.0))
@@ -90,7 +90,7 @@ def slope(n: Column, total: Column, indexed_total: Column) -> Column:
     ).cast(WIDE)
     m = dbl(n)
     below = m * m * (m * m - F.lit(1.0)) / F.lit(12.0)
-    return F.when(n >= 2, dbl(above) / below).when(n.isNotNull(), F.lit(0.0))
+    return F.when(n >= 2, ratio(above, below)).when(n.isNotNull(), F.lit(0.0))
 
 
 def percent(fraction: Column, places: int = 1) -> Column:

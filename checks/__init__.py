@@ -1,0 +1 @@
+"""Registered queries over the benchmark tables and the SQL they are compared with."""
