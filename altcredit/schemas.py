@@ -6,9 +6,27 @@ from pyspark.sql import types as T
 
 CUSTOMER = "customer_id"
 
+_TYPES: dict[str, T.DataType] = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+    "decimal(8,2)": T.DecimalType(8, 2),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """Schema of "name type, name type, ..."; unlike a DDL parse it needs no Spark session."""
+    pairs = [c.split(" ") for c in columns.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
 _STAMPS = "created_at timestamp, updated_at timestamp"
 
-_DDL = {
+_COLUMNS = {
     "customers": "customer_id string, business_name string, sector string, persona string, "
     f"gst_number string, pan string, registration_date date, {_STAMPS}",
     "gst_filings": "customer_id string, month int, year int, gstr_sales_paise bigint, "
@@ -33,9 +51,7 @@ _DDL = {
     "generation_method string, generated_at timestamp",
 }
 
-TABLES: dict[str, T.StructType] = {
-    name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()
-}
+TABLES: dict[str, T.StructType] = {name: _struct(columns) for name, columns in _COLUMNS.items()}
 
 # Columns in which the DDL allows NULL.
 NULLABLE = {"persona", "error_message"}
@@ -76,12 +92,12 @@ _DIMS = (
 )
 
 RATIO_SCHEMAS: dict[str, T.StructType] = {
-    "gst_ratios": T.StructType.fromDDL(_GST),
-    "upi_ratios": T.StructType.fromDDL(_UPI),
-    "aa_ratios": T.StructType.fromDDL(_AA),
-    "epfo_ratios": T.StructType.fromDDL(_EPFO),
-    "cross_validation": T.StructType.fromDDL(_CROSS),
-    "dimension_scores": T.StructType.fromDDL(_DIMS),
+    "gst_ratios": _struct(_GST),
+    "upi_ratios": _struct(_UPI),
+    "aa_ratios": _struct(_AA),
+    "epfo_ratios": _struct(_EPFO),
+    "cross_validation": _struct(_CROSS),
+    "dimension_scores": _struct(_DIMS),
 }
 
 # One scorecard document: what a stored scorecard decodes to.

@@ -1,0 +1,521 @@
+"""Registered queries: each runs an operator over the whole benchmark tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from altcredit.functions import numeric as nm
+from altcredit.functions.bands import gauge_band
+from altcredit.operators import listing, ratios, report, series, upsert
+from altcredit.operators import summaries as sm
+from altcredit.operators import validate as vd
+from altcredit.operators.registry import FEEDS
+from altcredit.plans import scorecard as sc
+from checks import views as v
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+RUN_TS = datetime(2025, 1, 1, 6, 0, 0)
+EARLIER_TS = datetime(2024, 12, 1, 6, 0, 0)
+
+
+def query(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _summaries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    months = v.monthly_activity(spark, sf_dir)
+    return [
+        sm.summarize_monthly(months, [sm.GST, sm.BANK, sm.EPFO]),
+        sm.summarize_upi(v.upi_transactions(spark, sf_dir)),
+    ]
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.customers(spark, sf_dir).withColumn("scorecard_date", F.lit(v.AS_OF))
+
+
+def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sc.combine(_base(spark, sf_dir), _summaries(spark, sf_dir))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sc.score(_sums(spark, sf_dir))
+
+
+def _card_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat scorecards of every customer on every card date, from one scan of each source."""
+    keys = ("customer_id", "scorecard_date")
+    dates = F.explode(F.array(*[F.lit(d) for d in v.CARD_DATES])).alias("scorecard_date")
+    base = v.customer_keys(spark, sf_dir).select("customer_id", dates)
+    sums = [
+        sm.summarize_monthly(v.months_by_card(spark, sf_dir), [sm.GST, sm.BANK, sm.EPFO], keys),
+        sm.summarize_upi(v.upi_by_card(spark, sf_dir), keys),
+    ]
+    return sc.score(sc.combine(base, sums, keys))
+
+
+def _joined(name: str) -> Column:
+    return F.array_join(name, " | ").alias(name)
+
+
+# --- ratios -------------------------------------------------------------------------------
+
+
+def _gst_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sm.summarize_monthly(v.gst_filings(spark, sf_dir), [sm.GST])
+
+
+@query
+def gst_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ratios.gst_ratios(_gst_sums(spark, sf_dir))
+    return rows.select("customer_id", *sc.flat_columns("gst_ratios"))
+
+
+@query
+def gst_mom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    growth = nm.change(F.col("gst_previous"), F.col("gst_last"))
+    return _gst_sums(spark, sf_dir).select(
+        "customer_id",
+        F.col("gst_previous").alias("previous_paise"),
+        F.col("gst_last").alias("last_paise"),
+        nm.percent(growth).alias("mom_growth_percent"),
+    )
+
+
+@query
+def sales_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, total = F.col("gst_n"), F.col("gst_sum")
+    cv = nm.coefficient_of_variation(n, total, F.col("gst_sq"))
+    return _gst_sums(spark, sf_dir).select(
+        "customer_id",
+        n.alias("months"),
+        nm.rnd(nm.mean_rupees(total, n), 2).alias("mean_sales"),
+        nm.percent(cv).alias("cv_percent"),
+    )
+
+
+@query
+def upi_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ratios.upi_ratios(sm.summarize_upi(v.upi_transactions(spark, sf_dir)))
+    return rows.select("customer_id", *sc.flat_columns("upi_ratios"))
+
+
+@query
+def weekend_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sm.summarize_upi(v.upi_transactions(spark, sf_dir)).select(
+        "customer_id",
+        F.col("upi_weekend_n").alias("weekend_days"),
+        F.col("upi_weekend").alias("weekend_paise"),
+        (F.col("upi_n") - F.col("upi_weekend_n")).alias("weekday_days"),
+        ratios.weekend_weekday_ratio().alias("weekend_weekday_ratio"),
+    )
+
+
+@query
+def aa_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = sm.summarize_monthly(v.bank_statements(spark, sf_dir), [sm.BANK])
+    return ratios.aa_ratios(sums).select("customer_id", *sc.flat_columns("aa_ratios"))
+
+
+@query
+def credit_trend_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = sm.summarize_monthly(v.bank_statements(spark, sf_dir), [sm.BANK])
+    return sums.select(
+        "customer_id", F.col("bank_n").alias("months"), ratios.credit_slope().alias("slope")
+    )
+
+
+@query
+def epfo_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = sm.summarize_monthly(v.epfo_payroll(spark, sf_dir), [sm.EPFO])
+    return ratios.epfo_ratios(sums).select("customer_id", *sc.flat_columns("epfo_ratios"))
+
+
+# --- reconciliation and scoring -----------------------------------------------------------
+
+
+@query
+def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ratios.cross_validation(_sums(spark, sf_dir))
+    return rows.select("customer_id", *sc.flat_columns("cross_validation"))
+
+
+@query
+def growth_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sums(spark, sf_dir).select(
+        "customer_id",
+        F.coalesce("gst_n", F.lit(0)).alias("gst_months"),
+        F.coalesce("epfo_n", F.lit(0)).alias("epfo_months"),
+        ratios.growth_alignment().alias("alignment"),
+    )
+
+
+@query
+def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _scored(spark, sf_dir)
+    return scored.select("customer_id", *[c for c in scored.columns if c.startswith("score_") and c != "score_interpretation"])
+
+
+@query
+def dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("customer_id", *sc.flat_columns("dimension_scores"))
+
+
+@query
+def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select(
+        "customer_id",
+        "composite_score",
+        "score_interpretation",
+        gauge_band(F.col("composite_score")).alias("band"),
+    )
+
+
+@query
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select(
+        "customer_id",
+        _joined("red_flags"),
+        _joined("green_flags"),
+        report.mismatch_lines().alias("cross_validation_flags"),
+    )
+
+
+def _flat_card(scored: DataFrame) -> DataFrame:
+    parts = [
+        column
+        for part in (
+            "gst_ratios",
+            "upi_ratios",
+            "aa_ratios",
+            "epfo_ratios",
+            "cross_validation",
+            "dimension_scores",
+        )
+        for column in sc.flat_columns(part)
+    ]
+    return scored.select(
+        "customer_id",
+        "scorecard_date",
+        *parts,
+        "composite_score",
+        "score_interpretation",
+        _joined("red_flags"),
+        _joined("green_flags"),
+    )
+
+
+@query
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_card(sc.flatten(sc.documents(_scored(spark, sf_dir))))
+
+
+# --- ingest -------------------------------------------------------------------------------
+
+
+def _checked(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return vd.check_feed(v.RAW[table](spark, sf_dir), table, v.AS_OF)
+
+
+def _normalized(table: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = vd.accepted(_checked(spark, sf_dir, table))
+        kept = ["record_id", *FEEDS[table].columns]
+        if table == "bank_statements":
+            rows = rows.withColumn("dscr", F.col("dscr").cast("decimal(8,2)").cast("double"))
+        return rows.select(*kept)
+
+    return run
+
+
+for _table in FEEDS:
+    QUERIES[f"normalize_{_table}"] = _normalized(_table)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+@query
+def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _union(
+        [
+            vd.error_rows(_checked(spark, sf_dir, t), t, F.lit(f"{t}.json"))
+            for t in FEEDS
+        ]
+    )
+
+
+@query
+def dry_run_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _union([vd.dry_run_issues(_checked(spark, sf_dir, t), t) for t in FEEDS])
+
+
+@query
+def load_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        _checked(spark, sf_dir, t).select(
+            F.lit(t).alias("table_name"), F.lit(f"{t}.json").alias("source_file"), "blocking"
+        )
+        for t in FEEDS
+    ]
+    return vd.load_status(vd.load_counts(_union(parts), ("table_name", "source_file")))
+
+
+@query
+def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = v.registered_customers(spark, sf_dir)
+    tables = {
+        "gst_filings": v.gst_filings(spark, sf_dir),
+        "upi_transactions": v.upi_transactions(spark, sf_dir),
+    }
+    return _union(
+        [
+            vd.orphans(rows, known).withColumn("table_name", F.lit(name))
+            for name, rows in tables.items()
+        ]
+    )
+
+
+def _gst_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A stored table without every seventh customer, and a batch that repeats some keys."""
+    columns = [*FEEDS["gst_filings"].columns]
+    rows = v.gst_filings(spark, sf_dir).select(*columns)
+    stored = (
+        rows.filter(v.key() % 7 != 0)
+        .withColumn("created_at", F.lit(EARLIER_TS).cast("timestamp"))
+        .withColumn("updated_at", F.col("created_at"))
+    )
+    copies = F.when(F.col("month") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(
+        F.array(F.lit(1))
+    )
+    batch = (
+        rows.filter((v.key() + F.col("month")) % 3 == 0)
+        .select("*", F.explode(copies).alias("ordinal"))
+        .withColumn("gstr_sales_paise", F.col("gstr_sales_paise") + F.col("ordinal") * 1000)
+    )
+    return stored, batch
+
+
+@query
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, batch = _gst_batches(spark, sf_dir)
+    return vd.duplicate_keys(batch, FEEDS["gst_filings"].keys)
+
+
+@query
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = FEEDS["gst_filings"].keys
+    stored, batch = _gst_batches(spark, sf_dir)
+    merged = upsert.merge(stored, upsert.last_per_key(batch, keys, ("ordinal",)), keys, RUN_TS)
+    text = {
+        c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("created_at", "updated_at")
+    }
+    return merged.withColumns(text)
+
+
+# --- reports ------------------------------------------------------------------------------
+
+
+@query
+def report_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = report.facts(_scored(spark, sf_dir))
+    return rows.drop("red_flags", "green_flags").withColumn("ratios_cited", report.cited_ratios())
+
+
+@query
+def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = report.facts(_scored(spark, sf_dir))
+    return rows.select("customer_id", report.prompt_text().alias("prompt"))
+
+
+@query
+def fallback_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = report.narrative(report.facts(_scored(spark, sf_dir)))
+    return rows.select(
+        "customer_id",
+        "summary",
+        "financial_health",
+        _joined("strengths"),
+        _joined("risks"),
+        "recommendations",
+    )
+
+
+@query
+def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = report.audit_trail(report.facts(_scored(spark, sf_dir)))
+    return rows.select(
+        "customer_id",
+        "scorecard_date",
+        F.array_join("data_sources_used", ", ").alias("data_sources_used"),
+        "ratios_cited",
+        "total_claims",
+    )
+
+
+@query
+def dimension_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.dimension_long(_scored(spark, sf_dir))
+
+
+@query
+def cross_validation_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.cross_validation_long(ratios.cross_validation(_sums(spark, sf_dir)))
+
+
+@query
+def revenue_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.revenue_trend(v.gst_filings(spark, sf_dir), v.upi_transactions(spark, sf_dir))
+
+
+@query
+def headcount_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.headcount_trend(v.epfo_payroll(spark, sf_dir))
+
+
+# --- listings -----------------------------------------------------------------------------
+
+
+@query
+def customer_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.customer_listing(v.customers(spark, sf_dir))
+
+
+@query
+def customer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all customers with UPI rows, looked up in an incomplete customer master."""
+    wanted = v.upi_transactions(spark, sf_dir)
+    master = v.customers(spark, sf_dir).filter(v.key() % 50 != 0)
+    known, unknown = listing.lookup_customers(wanted, master)
+    return known.withColumn("known", F.lit(True)).unionByName(
+        unknown.withColumn("known", F.lit(False)), allowMissingColumns=True
+    )
+
+
+def _text(rows: Column) -> Column:
+    return F.array_join(rows, "; ")
+
+
+@query
+def customer_financials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of all four sources per customer, each row as text."""
+    tables = {
+        "gst_filings": v.gst_filings(spark, sf_dir),
+        "upi_transactions": v.upi_transactions(spark, sf_dir),
+        "bank_statements": v.bank_statements(spark, sf_dir).drop("dscr"),
+        "epfo_payroll": v.epfo_payroll(spark, sf_dir),
+    }
+    nested = listing.customer_financials(v.customers(spark, sf_dir), tables)
+
+    def period(r: Column) -> Column:
+        return F.format_string("%d-%02d", r["year"], r["month"])
+
+    def line(when: Callable[[Column], Column], *names: str) -> Callable[[Column], Column]:
+        return lambda r: F.concat_ws(",", when(r), *[r[n].cast("string") for n in names])
+
+    lines = {
+        "gst_filings": line(period, "gstr_sales_paise", "tax_paid_paise", "filing_date"),
+        "upi_transactions": line(
+            lambda r: r["txn_date"].cast("string"), "day_of_week", "collections_paise"
+        ),
+        "bank_statements": line(period, "total_credits_paise", "total_debits_paise"),
+        "epfo_payroll": line(period, "employee_count", "monthly_payroll_paise"),
+    }
+    return nested.select(
+        "customer_id",
+        "business_name",
+        *[_text(F.transform(name, fn)).alias(name) for name, fn in lines.items()],
+    )
+
+
+@query
+def raw_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row count per customer and source."""
+    return listing.row_counts(
+        v.customers(spark, sf_dir),
+        {
+            "gst": v.gst_filings(spark, sf_dir),
+            "upi": v.upi_transactions(spark, sf_dir),
+            "bank": v.bank_statements(spark, sf_dir),
+            "epfo": v.epfo_payroll(spark, sf_dir),
+        },
+    )
+
+
+def _when(df: DataFrame) -> DataFrame:
+    return df.withColumn("generated_at", F.date_format("generated_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def scorecard_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_card(_card_history(spark, sf_dir))
+
+
+@query
+def latest_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = _card_history(spark, sf_dir)
+    return listing.latest_per_customer(
+        cards, "scorecard_date", "composite_score", "score_interpretation"
+    )
+
+
+@query
+def latest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = v.report_log(spark, sf_dir)
+    return _when(
+        listing.latest_per_customer(log, "generated_at", "scorecard_date", "generation_method")
+    )
+
+
+def _listed(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    return listing.list_reports(
+        v.report_log(spark, sf_dir),
+        v.customers(spark, sf_dir),
+        _card_history(spark, sf_dir),
+        limit,
+    )
+
+
+@query
+def report_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _when(listing.labelled(_listed(spark, sf_dir)))
+
+
+@query
+def recent_reports_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _when(listing.labelled(_listed(spark, sf_dir, limit=10)))
+
+
+@query
+def score_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.score_comparison(
+        v.report_log(spark, sf_dir), v.customers(spark, sf_dir), _card_history(spark, sf_dir)
+    )
+
+
+@query
+def report_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored report together with its scorecard."""
+    found = listing.find_reports(v.report_log(spark, sf_dir), _card_history(spark, sf_dir))
+    return _when(
+        found.select(
+            "customer_id",
+            "scorecard_date",
+            "generation_method",
+            "generated_at",
+            "composite_score",
+            _joined("red_flags"),
+            _joined("green_flags"),
+        )
+    )
