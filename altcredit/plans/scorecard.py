@@ -95,7 +95,10 @@ def documents(scored: DataFrame) -> DataFrame:
 
 
 def flatten(cards: DataFrame) -> DataFrame:
-    """The inverse of ``documents``: flat ratio columns from (decoded) scorecard documents."""
+    """The inverse of ``documents``: flat ratio columns from (decoded) scorecard documents.
+
+    A source is absent if its part is NULL or, as in stored JSON, an empty object.
+    """
     flat = [
         F.col(f"{part}.{field}").alias(_PREFIX[part] + field)
         for part in _PREFIX
@@ -105,7 +108,10 @@ def flatten(cards: DataFrame) -> DataFrame:
         "customer_id",
         "scorecard_date",
         *flat,
-        *[F.col(part).isNotNull().alias(name) for part, name in _AVAILABLE.items()],
+        *[
+            F.col(part)[RATIO_SCHEMAS[part].names[0]].isNotNull().alias(name)
+            for part, name in _AVAILABLE.items()
+        ],
         "composite_score",
         "score_interpretation",
         "red_flags",
