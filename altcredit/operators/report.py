@@ -65,7 +65,7 @@ def with_customer(cards: DataFrame, customers: DataFrame, gst_sums: DataFrame) -
     return cards.join(names, "customer_id").join(sales, "customer_id", "left")
 
 
-def facts(cards: DataFrame) -> DataFrame:
+def facts(cards: DataFrame, *passthrough: Column) -> DataFrame:
     """The 37 facts a report may cite, as text where a value may be "NA".
 
     Needs flat scorecard columns plus ``with_customer``'s. Months are counted as filing rows,
@@ -84,6 +84,7 @@ def facts(cards: DataFrame) -> DataFrame:
         return F.col(name).cast("string")
 
     return cards.select(
+        *passthrough,
         "customer_id",
         F.col("business_name").alias("customer_name"),
         "sector",

@@ -118,14 +118,16 @@ def error_rows(checked: DataFrame, table: str, source_file: Column | None = None
     )
 
 
-def dry_run_issues(checked: DataFrame, table: str) -> DataFrame:
-    """Issues as ``record_id: reason`` lines; blocking reasons first, warnings marked as such."""
-    issue = F.concat(
-        "blocking", F.transform("warnings", lambda w: F.concat(w, F.lit(" (warning)")))
+def issue_lines() -> Column:
+    """``record_id: reason`` lines; blocking reasons first, warnings marked as such."""
+    marked = F.transform("warnings", lambda w: F.concat(w, F.lit(" (warning)")))
+    return F.transform(
+        F.concat("blocking", marked), lambda reason: F.concat_ws(": ", "record_id", reason)
     )
-    return checked.select(
-        F.lit(table).alias("table_name"), "record_id", F.explode(issue).alias("_reason")
-    ).select("table_name", F.concat_ws(": ", "record_id", "_reason").alias("issue"))
+
+
+def dry_run_issues(checked: DataFrame, table: str) -> DataFrame:
+    return checked.select(F.lit(table).alias("table_name"), F.explode(issue_lines()).alias("issue"))
 
 
 def load_counts(checked: DataFrame, by: tuple[str, ...] = ("source_file",)) -> DataFrame:

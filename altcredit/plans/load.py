@@ -158,11 +158,11 @@ def validate_data(spark: SparkSession, data_dir: str, as_of: date, fmt: str = "j
             parts.append(spark.createDataFrame([(table, note)], "table_name string, issue string"))
             continue
         raw = feeds.read_feed(spark, path, spec, fmt)
-        readable = raw.filter(~F.col("corrupt"))
-        parts.append(vd.dry_run_issues(vd.check_feed(readable, table, as_of), table))
-        note = F.format_string("%s: failed to read/parse: " + NOT_JSON, F.col("source_file"))
+        checked = vd.check_feed(raw, table, as_of, passthrough=("source_file", "corrupt"))
+        unreadable = F.format_string("%s: failed to read/parse: " + NOT_JSON, F.col("source_file"))
+        lines = F.when(F.col("corrupt"), F.array(unreadable)).otherwise(vd.issue_lines())
         parts.append(
-            raw.filter("corrupt").select(F.lit(table).alias("table_name"), note.alias("issue"))
+            checked.select(F.lit(table).alias("table_name"), F.explode(lines).alias("issue"))
         )
     issues = parts[0]
     for part in parts[1:]:

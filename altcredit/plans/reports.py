@@ -86,37 +86,26 @@ def build_reports(
     )
     for points in series.chart_inputs(gst, upi, epfo):
         flat = flat.join(points, "customer_id", "left")
-    charts = flat.select(
-        F.col("customer_id").alias("_id"),
-        F.col("scorecard_date").alias("_date"),
-        series.chart_configs().alias("chart_configs"),
+    told = report.audit_trail(
+        report.facts(
+            flat, F.col("scorecard_date").alias("_date"), series.chart_configs().alias("chart_configs")
+        )
     )
-    told = report.audit_trail(report.facts(flat.drop("revenue_points", "headcount_points")))
-    return _assemble(told, charts, run_ts)
-
-
-def _assemble(told: DataFrame, charts: DataFrame, run_ts: datetime) -> DataFrame:
     audit = ("scorecard_date", "data_sources_used", "ratios_cited", "total_claims")
-    joined = told.join(
-        charts,
-        (F.col("customer_id") == F.col("_id")) & (F.col("scorecard_date") == F.col("_date").cast("string")),
+    document = F.struct(
+        "customer_id",
+        F.col("customer_name").alias("business_name"),
+        "sector",
+        F.lit(run_ts.isoformat()).alias("generated_at"),
+        F.lit(METHOD).alias("generation_method"),
+        F.struct(*report.NARRATIVE).alias("narrative"),
+        "chart_configs",
+        F.struct(*audit).alias("audit_trail"),
     )
-    return joined.select(
+    return told.select(
         "customer_id",
         F.col("_date").alias("scorecard_date"),
-        F.to_json(
-            F.struct(
-                "customer_id",
-                F.col("customer_name").alias("business_name"),
-                "sector",
-                F.lit(run_ts.isoformat()).alias("generated_at"),
-                F.lit(METHOD).alias("generation_method"),
-                F.struct(*report.NARRATIVE).alias("narrative"),
-                "chart_configs",
-                F.struct(*audit).alias("audit_trail"),
-            ),
-            _KEEP_NULLS,
-        ).alias("report_json"),
+        F.to_json(document, _KEEP_NULLS).alias("report_json"),
         F.lit(METHOD).alias("generation_method"),
         F.lit(run_ts).cast("timestamp").alias("generated_at"),
     )

@@ -38,10 +38,12 @@ def stream_feed(
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        load_records(store, batch, table, as_of, run_ts, f"stream-{table}-{batch_id:09d}")
+        # Positions are numbered here, as a streaming plan may not contain row ids.
+        raw = feeds.positioned_json(batch, spec)
+        load_records(store, raw, table, as_of, run_ts, f"stream-{table}-{batch_id:09d}")
 
     return (
-        feeds.positioned_json(arriving, spec)
+        arriving.select("*", "_metadata")
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", f"{work}/streams/{table}")
         .trigger(availableNow=True)
