@@ -1,9 +1,11 @@
 """Field-level cleaning of text-typed raw values.
 
-Each cleaner returns ``(value, problem)``: the typed value and, where the raw value cannot be
-converted, the reason as text (NULL when it can). Raw fields are read as text, so a JSON
-number 3.7 and the text "3.7" look alike; both truncate to 3 in an integer field. A missing
-field and a NULL are both reported as missing.
+Each cleaner returns ``(value, reason)``: the typed value, NULL where the raw value cannot be
+converted, and the reason to give in that case. Callers evaluate the reason only for NULL
+values, so a good record pays for one cast per field.
+
+Raw fields are read as text, so a JSON number 3.7 and the text "3.7" look alike; both truncate
+to 3 in an integer field. A missing field and a NULL are both reported as missing.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ NAN_INT = "cannot convert float NaN to integer"
 INF_INT = "cannot convert float infinity to integer"
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
-_INTEGER = r"^\s*[+-]?\d+\s*$"
-_DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_SPECIAL = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
+# What the cast to double takes but a decimal number may not contain: 1.0d, 3f, 0x1p3, Infinity.
+_NOT_DECIMAL = r"[dDfFxX]"
 _DATE = r"^\d{4}-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9])$"
+_MAX_DOUBLE = 1.7976931348623157e308
 
 
 def squeeze(text: Column) -> Column:
@@ -64,28 +66,25 @@ def sector_name(text: Column) -> Column:
     return F.coalesce(F.try_element_at(names, F.lower(clean)), title_case(clean))
 
 
-def _missing(field: str) -> Column:
-    return F.lit(f"'{field}'")
-
-
-def _text(raw: Column, field: str, value: Column) -> tuple[Column, Column]:
-    return value, F.when(raw.isNull(), _missing(field))
+def _reason(raw: Column, field: str, unconvertible: Column | None = None) -> Column:
+    missing = F.when(raw.isNull(), F.lit(f"'{field}'"))
+    return missing if unconvertible is None else missing.otherwise(unconvertible)
 
 
 def as_text(raw: Column, field: str) -> tuple[Column, Column]:
-    return _text(raw, field, raw)
+    return raw, _reason(raw, field)
 
 
 def as_stripped(raw: Column, field: str) -> tuple[Column, Column]:
-    return _text(raw, field, strip(raw))
+    return strip(raw), _reason(raw, field)
 
 
 def as_code(raw: Column, field: str) -> tuple[Column, Column]:
-    return _text(raw, field, F.upper(strip(raw)))
+    return F.upper(strip(raw)), _reason(raw, field)
 
 
 def as_sector(raw: Column, field: str) -> tuple[Column, Column]:
-    return _text(raw, field, sector_name(raw))
+    return sector_name(raw), _reason(raw, field)
 
 
 def as_optional(raw: Column, field: str) -> tuple[Column, Column]:
@@ -93,57 +92,45 @@ def as_optional(raw: Column, field: str) -> tuple[Column, Column]:
 
 
 def as_date(raw: Column, field: str) -> tuple[Column, Column]:
-    value = F.when(raw.rlike(_DATE), F.try_to_date(raw, "yyyy-M-d"))
-    problem = (
-        F.when(raw.isNull(), _missing(field))
-        .when(~raw.rlike(_DATE), F.format_string(BAD_DATE, raw))
-        .when(value.isNull(), F.lit(BAD_DAY))
+    """yyyy-MM-dd by a plain cast; the rarer one-digit months and days by pattern."""
+    quick = raw.try_cast("date")
+    value = F.when(quick.cast("string") == raw, quick).when(
+        raw.rlike(_DATE), F.try_to_date(raw, "yyyy-M-d")
     )
-    return value, problem
+    wrong = F.when(raw.rlike(_DATE), F.lit(BAD_DAY)).otherwise(F.format_string(BAD_DATE, raw))
+    return value, _reason(raw, field, wrong)
 
 
-def _special(raw: Column) -> Column:
-    return F.when(F.lower(raw).contains("nan"), F.lit(NAN_INT)).otherwise(F.lit(INF_INT))
+def _number(raw: Column) -> Column:
+    """Finite decimal number as double."""
+    parsed = raw.try_cast("double")
+    return F.when((F.abs(parsed) <= F.lit(_MAX_DOUBLE)) & ~raw.rlike(_NOT_DECIMAL), parsed)
 
 
-def _number(raw: Column) -> Column:
-    return F.when(raw.rlike(_DECIMAL), F.trim(raw).try_cast("double"))
+def _not_a_number(raw: Column, otherwise: str) -> Column:
+    parsed = raw.try_cast("double")
+    return (
+        F.when(F.isnan(parsed), F.lit(NAN_INT))
+        .when(F.abs(parsed) > F.lit(_MAX_DOUBLE), F.lit(INF_INT))
+        .otherwise(F.format_string(otherwise, raw))
+    )
 
 
 def as_int(raw: Column, field: str) -> tuple[Column, Column]:
-    value = F.when(raw.rlike(_INTEGER), F.trim(raw).try_cast("int")).when(
-        raw.rlike(_DECIMAL), F.trim(raw).try_cast("double").try_cast("int")
-    )
-    problem = (
-        F.when(raw.isNull(), _missing(field))
-        .when(raw.rlike(_SPECIAL), _special(raw))
-        .when(value.isNull(), F.format_string(BAD_INT, raw))
-    )
-    return value, problem
+    value = F.coalesce(raw.try_cast("int"), _number(raw).try_cast("int"))
+    return value, _reason(raw, field, _not_a_number(raw, BAD_INT))
 
 
 def as_paise(raw: Column, field: str) -> tuple[Column, Column]:
     """Rupee amount to integer paise, half-even."""
     value = F.rint(_number(raw) * F.lit(100)).try_cast("long")
-    problem = (
-        F.when(raw.isNull(), _missing(field))
-        .when(raw.rlike(_SPECIAL), _special(raw))
-        .when(value.isNull(), F.format_string(BAD_FLOAT, raw))
-    )
-    return value, problem
+    return value, _reason(raw, field, _not_a_number(raw, BAD_FLOAT))
 
 
 def as_float(raw: Column, field: str) -> tuple[Column, Column]:
-    value = _number(raw)
-    problem = F.when(raw.isNull(), _missing(field)).when(
-        value.isNull(), F.format_string(BAD_FLOAT, raw)
-    )
-    return value, problem
+    return _number(raw), _reason(raw, field, F.format_string(BAD_FLOAT, raw))
 
 
 def as_bool(raw: Column, field: str) -> tuple[Column, Column]:
-    value = F.trim(raw).try_cast("boolean")
-    problem = F.when(raw.isNull(), _missing(field)).when(
-        value.isNull(), F.format_string("not a boolean: '%s'", raw)
-    )
-    return value, problem
+    wrong = F.format_string("not a boolean: '%s'", raw)
+    return raw.try_cast("boolean"), _reason(raw, field, wrong)

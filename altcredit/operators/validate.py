@@ -7,6 +7,7 @@ loaded rows, the error rows and the load counts are all derived from the same fr
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,13 @@ ORPHAN = "violates constraint: customer_id references customers"
 
 
 def _messages(rules: list[tuple[str, Column, Column]], severity: str) -> Column:
-    """Messages of the violated rules, in rule order."""
-    hits = [F.when(when, text) for level, when, text in rules if level == severity]
-    return F.array_compact(F.array(*hits)) if hits else F.expr(EMPTY)
+    """Messages of the violated rules, in rule order; rows without a violation stop at the test."""
+    chosen = [(when, text) for level, when, text in rules if level == severity]
+    if not chosen:
+        return F.expr(EMPTY)
+    violated = reduce(lambda a, b: a | b, [when for when, _ in chosen])
+    hits = F.array(*[F.when(when, text) for when, text in chosen])
+    return F.when(violated, F.array_compact(hits)).otherwise(F.expr(EMPTY))
 
 
 def normalize(raw: DataFrame, spec: FeedSpec, passthrough: tuple[str, ...] = ()) -> DataFrame:
@@ -29,16 +34,22 @@ def normalize(raw: DataFrame, spec: FeedSpec, passthrough: tuple[str, ...] = ())
     Only the first failing field is named. Raw fields not in the spec are projected away, and a
     field that the frame lacks altogether counts as missing.
     """
-    cleaned = [
-        (f.name, f.clean(F.col(f.raw) if f.raw in raw.columns else F.lit(None).cast("string"), f.raw))
+    absent = F.lit(None).cast("string")
+    given = {f.raw: F.col(f.raw) if f.raw in raw.columns else absent for f in spec.fields}
+    typed = raw.select(
+        *passthrough,
+        *[f.clean(given[f.raw], f.raw)[0].alias(f.name) for f in spec.fields],
+        *[column.alias(f"_raw_{name}") for name, column in given.items()],
+    )
+    problems = [
+        F.when(F.col(f.name).isNull(), f.clean(F.col(f"_raw_{f.raw}"), f.raw)[1])
         for f in spec.fields
     ]
-    raw_id = F.col("customer_id") if "customer_id" in raw.columns else F.lit(None).cast("string")
-    return raw.select(
+    return typed.select(
         *passthrough,
-        *[value.alias(name) for name, (value, _) in cleaned],
-        F.coalesce(*[problem for _, (_, problem) in cleaned]).alias("problem"),
-        raw_id.alias("raw_customer_id"),
+        *spec.columns,
+        F.coalesce(*problems).alias("problem"),
+        F.col("_raw_customer_id").alias("raw_customer_id"),
     )
 
 
@@ -88,7 +99,13 @@ def block_orphans(checked: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def accepted(checked: DataFrame) -> DataFrame:
-    return checked.filter(F.size("blocking") == 0)
+    """Rows without a blocking message.
+
+    Written as a generator of one row or none: a filter would be pushed below the cleaning
+    expressions and evaluate them a second time.
+    """
+    row = F.array(F.struct(*[F.col(c) for c in checked.columns]))
+    return checked.select(F.inline(F.when(F.size("blocking") == 0, row)))
 
 
 def orphans(child: DataFrame, customers: DataFrame) -> DataFrame:
@@ -109,8 +126,7 @@ def duplicate_keys(table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def error_rows(checked: DataFrame, table: str, source_file: Column | None = None) -> DataFrame:
     """One row per (record, reason): a record's warnings first, then its blocking reasons."""
     source = source_file if source_file is not None else F.col("source_file")
-    found = checked.filter((F.size("blocking") > 0) | (F.size("warnings") > 0))
-    return found.select(
+    return checked.select(
         source.alias("source_file"),
         F.lit(table).alias("table_name"),
         F.col("record_id").alias("record_identifier"),

@@ -56,7 +56,7 @@ def load_records(
     staged = store.spark.read.parquet(staged_path)
     checked = staged.filter(~F.col("corrupt"))
 
-    accepted = vd.accepted(checked).select(*spec.columns, *feeds.ORDER)
+    accepted = checked.filter(F.size("blocking") == 0).select(*spec.columns, *feeds.ORDER)
     store.upsert(up.last_per_key(accepted, spec.keys, feeds.ORDER), table, run_ts, run_id)
 
     errors = vd.error_rows(checked, table).withColumn("logged_at", F.lit(run_ts))
