@@ -74,12 +74,9 @@ def read_feed(spark: SparkSession, path: str, spec: FeedSpec, fmt: str = "json")
 
 def feed_files(spark: SparkSession, path: str) -> DataFrame:
     """The files of a feed, empty ones included; contents are not read."""
-    full = F.col("path")
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(
-            full.alias("source_path"),
-            F.element_at(F.split(full, "/"), -1).alias("source_file"),
-        )
+    # Named through the same metadata as the records, so that both spell a path alike.
+    listed = spark.read.format("binaryFile").load(path)
+    return listed.select(
+        F.col("_metadata.file_path").alias("source_path"),
+        F.col("_metadata.file_name").alias("source_file"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -19,3 +21,8 @@ def working_folder(spark: SparkSession, fallback: str) -> str:
 
 def name_of(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def as_name(path: str) -> str:
+    """A path as one folder name."""
+    return re.sub(r"[^A-Za-z0-9.-]+", "_", path).strip("_")

@@ -36,9 +36,10 @@ class TableStore:
             raise ValueError(f"Unknown table_name: {table}")
         return f"{self.root}/{table}"
 
-    def working_path(self, run_id: str, name: str) -> str:
+    def working_path(self, *names: str) -> str:
+        """A place for intermediate results; stores sharing a working folder keep apart."""
         base = paths.working_folder(self.spark, f"{self.root}/_work")
-        return f"{base}/{run_id}/{name}"
+        return "/".join([base, paths.as_name(self.root), *names])
 
     def partition_columns(self, table: str) -> dict[str, Column]:
         if table in LOGS:

@@ -1,7 +1,7 @@
 """The batch load driven by a file stream.
 
 Each micro-batch goes through the same checks, merge and logs as a batch load, under a run id
-made of the stream's name and the batch number: a repeated micro-batch merges the same rows
+made of table, directory and batch number: a repeated micro-batch merges the same rows
 again and replaces its own log rows, so a restart leaves the tables as they would have been.
 """
 
@@ -28,7 +28,8 @@ def stream_feed(
 ) -> StreamingQuery:
     """Loads the JSON array files of a directory that have not been loaded yet, then stops."""
     spec = FEEDS[table]
-    work = paths.working_folder(store.spark, f"{store.root}/_work")
+    name = f"stream-{table}-{paths.as_name(directory)}"
+    progress = store.working_path("streams", name)
     schema = feeds.json_schema(spec)
     arriving = (
         store.spark.readStream.schema(schema)
@@ -40,12 +41,12 @@ def stream_feed(
     def load(batch: DataFrame, batch_id: int) -> None:
         # Positions are numbered here, as a streaming plan may not contain row ids.
         raw = feeds.positioned_json(batch, spec)
-        load_records(store, raw, table, as_of, run_ts, f"stream-{table}-{batch_id:09d}")
+        load_records(store, raw, table, as_of, run_ts, f"{name}-{batch_id:09d}")
 
     return (
         arriving.select("*", "_metadata")
         .writeStream.foreachBatch(load)
-        .option("checkpointLocation", f"{work}/streams/{table}")
+        .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )

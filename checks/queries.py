@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from altcredit.functions import numeric as nm
 from altcredit.functions.bands import gauge_band
-from altcredit.operators import listing, ratios, report, series, upsert
+from altcredit.operators import listing, ratios, report, scoring, series, upsert
 from altcredit.operators import summaries as sm
 from altcredit.operators import validate as vd
 from altcredit.operators.registry import FEEDS
 from altcredit.plans import scorecard as sc
+from altcredit.session import tune
 from checks import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +25,12 @@ RUN_TS = datetime(2025, 1, 1, 6, 0, 0)
 EARLIER_TS = datetime(2024, 12, 1, 6, 0, 0)
 
 
+def register(name: str, fn: Query) -> None:
+    QUERIES[name] = lambda spark, sf_dir: fn(tune(spark), sf_dir)
+
+
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    register(fn.__name__, fn)
     return fn
 
 
@@ -159,8 +164,7 @@ def growth_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir)
-    return scored.select("customer_id", *[c for c in scored.columns if c.startswith("score_") and c != "score_interpretation"])
+    return _scored(spark, sf_dir).select("customer_id", *scoring.band_scores())
 
 
 @query
@@ -236,7 +240,7 @@ def _normalized(table: str) -> Query:
 
 
 for _table in FEEDS:
-    QUERIES[f"normalize_{_table}"] = _normalized(_table)
+    register(f"normalize_{_table}", _normalized(_table))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

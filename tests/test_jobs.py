@@ -61,7 +61,7 @@ def test_full_run_and_repeat(spark, folder):
     row = store.read("gst_filings").filter("month = 3").collect()[0]
     assert row.created_at == s.RUN_TS and row.updated_at == LATER
     assert store.read("data_lineage").count() == 10
-    load.run_etl(store, f"{folder}/data", s.AS_OF, LATER, "run2")
+    load.load_feed(store, f"{folder}/data/customers.json", "customers", s.AS_OF, LATER, "run2")
     assert store.read("data_lineage").count() == 10  # a repeated run does not double its log
 
 
@@ -79,7 +79,7 @@ def test_last_record_wins_and_other_periods_stay(spark, folder):
 
 def test_unreadable_missing_and_empty_files(spark, folder):
     store, _ = loaded(spark, folder)
-    many = Path(folder) / "many"
+    many = Path(folder) / "many files"
     many.mkdir()
     (many / "a.json").write_text(json.dumps(s.year(s.epfo)[:2]))
     (many / "b.json").write_text('[{"customer_id": "C1", "month": 3')

@@ -92,3 +92,10 @@ def test_scorecard_plan_scans_each_table_once_per_source(spark):
     assert sum("l_orderkey" in line or "l_suppkey" in line for line in scans) == 2
     assert sum("o_orderkey" in line for line in scans) == 1
     assert "Cartesian" not in plan and "PythonUDF" not in plan
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_plans_have_no_cross_joins_or_python(spark, name):
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
+        assert word not in plan

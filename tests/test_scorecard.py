@@ -49,26 +49,38 @@ def test_known_customer(spark):
     assert upi.weekend_weekday_ratio == round((5000 / 2) / ((4250 + 4602 + 3141) / 3), 2)
 
 
-@pytest.mark.parametrize("present", list(itertools.product([0, 1], repeat=4)))
-def test_missing_sources(spark, present):
-    makers = (s.year(s.gst), s.upi_rows(), s.year(s.bank), s.year(s.epfo))
-    card = cards(spark, *[m if p else [] for m, p in zip(makers, present)]).collect()[0]
-    gst, upi, bank, epfo = present
-    dims = card.dimension_scores
-    assert card.gst_ratios.is_gst_registered == bool(gst)
-    assert (card.aa_ratios is None) == (not bank)
-    assert (card.epfo_ratios is None) == (not epfo)
-    if not gst:
-        assert dims.gst_quality == 50 and card.gst_ratios.tax_payment_status == "NA"
-    if not upi:
-        assert dims.upi_behaviour == 0 and card.upi_ratios.total_transactions == 0
-    if not bank:
-        assert dims.aa_bank_cashflow == 50 and "Zero cheque bounces" in card.green_flags
-    if not epfo:
-        assert dims.epfo_stability == 85
-    assert (card.cross_validation.gst_vs_aa_ratio is None) == (not (gst and bank))
-    assert 0 <= card.composite_score <= 100
-    assert not sc.missing_fields(cards(spark)) and sc.incomplete(cards(spark)).isEmpty()
+def test_missing_sources(spark):
+    """All sixteen combinations of present sources, one customer each."""
+    combos = {f"C{i}": present for i, present in enumerate(itertools.product([0, 1], repeat=4))}
+    makers = (
+        lambda c: s.year(s.gst, c),
+        s.upi_rows,
+        lambda c: s.year(s.bank, c),
+        lambda c: s.year(s.epfo, c),
+    )
+    feeds = [
+        [row for cid, present in combos.items() if present[i] for row in make(cid)]
+        for i, make in enumerate(makers)
+    ]
+    made = cards(spark, *feeds, ids=tuple(combos))
+    assert not sc.missing_fields(made) and sc.incomplete(made).isEmpty()
+    found = {card.customer_id: card for card in made.collect()}
+    assert set(found) == set(combos)
+    for cid, (gst, upi, bank, epfo) in combos.items():
+        card, dims = found[cid], found[cid].dimension_scores
+        assert card.gst_ratios.is_gst_registered == bool(gst)
+        assert (card.aa_ratios is None) == (not bank)
+        assert (card.epfo_ratios is None) == (not epfo)
+        if not gst:
+            assert dims.gst_quality == 50 and card.gst_ratios.tax_payment_status == "NA"
+        if not upi:
+            assert dims.upi_behaviour == 0 and card.upi_ratios.total_transactions == 0
+        if not bank:
+            assert dims.aa_bank_cashflow == 50 and "Zero cheque bounces" in card.green_flags
+        if not epfo:
+            assert dims.epfo_stability == 85
+        assert (card.cross_validation.gst_vs_aa_ratio is None) == (not (gst and bank))
+        assert 0 <= card.composite_score <= 100
 
 
 def test_positions_ignore_month_gaps_and_single_rows(spark):
