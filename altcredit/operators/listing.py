@@ -19,6 +19,10 @@ def customer_rows(table: DataFrame, name: str, customer_id: str) -> DataFrame:
     return table.filter(F.col("customer_id") == customer_id).orderBy(*CHILD_ORDER[name])
 
 
+def customer_ids(customers: DataFrame) -> DataFrame:
+    return customers.select("customer_id").orderBy("customer_id")
+
+
 def customer_listing(customers: DataFrame) -> DataFrame:
     return customers.select(*CUSTOMER_COLUMNS).orderBy("customer_id")
 

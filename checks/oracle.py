@@ -429,6 +429,13 @@ oracle(
 )
 oracle("scorecard", f"SELECT customer_id, scorecard_date, {CARD_COLS}, {FLAG_COLS} FROM flagged")
 
+oracle("stored_scorecard", f"SELECT customer_id, scorecard_date, {CARD_COLS}, {FLAG_COLS} FROM flagged")
+oracle(
+    "requested_scores",
+    """SELECT u.customer_id, s.composite_score FROM (SELECT DISTINCT customer_id FROM upi_t) u
+LEFT JOIN (SELECT * FROM scored WHERE k % 50 <> 0) s ON s.customer_id = u.customer_id""",
+)
+
 # --- ingest -------------------------------------------------------------------------------
 
 
@@ -753,6 +760,15 @@ oracle(
         for name, source in (("gst_filings", "gst_t"), ("upi_transactions", "upi_t"))
     ),
 )
+oracle(
+    "blocked_orphans",
+    """SELECT 'gst_filings.json' AS source_file, 'gst_filings' AS table_name, record_id AS record_identifier,
+  CAST(i - 1 AS INTEGER) AS position, found[i] AS error_reason
+FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT *,
+  CASE WHEN len(blocking) = 0 AND CAST(customer_id AS BIGINT) % 50 = 0
+    THEN ['violates constraint: customer_id references customers']
+    ELSE list_concat(warnings, blocking) END AS found FROM checked_gst_filings))""",
+)
 cte(
     "batch_t",
     "SELECT * REPLACE (sales + ordinal * 1000 AS sales) FROM (SELECT *, "
@@ -779,6 +795,14 @@ oracle(
 FROM stored_t s FULL JOIN newest_t n ON s.customer_id = n.customer_id AND s.y = n.y AND s.m = n.m""",
 )
 
+oracle(
+    "scorecard_merge",
+    """SELECT customer_id, scorecard_date,
+  CASE WHEN scorecard_date = DATE '2024-07-01' THEN 0 ELSE composite_score END AS composite_score,
+  CASE WHEN scorecard_date = DATE '2025-01-01' THEN '2025-01-01 06:00:00' ELSE '2024-12-01 06:00:00' END AS created_at
+FROM scored_h""",
+)
+
 # --- reports ------------------------------------------------------------------------------
 
 
@@ -910,8 +934,32 @@ oracle(
     "'employee_count' AS series FROM epfo_t",
 )
 
+oracle(
+    "upi_months",
+    "SELECT customer_id, year(d) AS year, month(d) AS month, CAST(sum(collections) AS BIGINT) AS collections_paise "
+    "FROM upi_t GROUP BY ALL",
+)
+oracle(
+    "report_documents",
+    f"""SELECT f.customer_id, CAST(f.scorecard_date AS DATE) AS scorecard_date, 'fallback' AS generation_method,
+  customer_name AS business_name, {filled(wd.SUMMARY)} AS summary,
+  CASE WHEN len(red) > 0 THEN red[1] || '{wd.FLAG_SOURCE}' ELSE '{wd.NO_RISKS}' END AS first_risk,
+  CASE WHEN is_gst_registered THEN 'GST' ELSE 'UPI' END AS sources,
+  CAST(3 + greatest(len(green), 1) + greatest(len(red), 1) AS VARCHAR) AS total_claims,
+  CAST(composite_score AS VARCHAR) AS gauge, gst_aa_ratio AS gst_bank_ratio,
+  CASE WHEN is_gst_registered THEN '{wd.GST_TREND_TITLE}' WHEN u.first_month IS NOT NULL THEN '{wd.UPI_TREND_TITLE}'
+    WHEN is_epfo_available THEN '{wd.HEADCOUNT_TITLE}' END AS fourth_chart,
+  strftime(CASE WHEN is_gst_registered THEN g.first_month WHEN u.first_month IS NOT NULL THEN u.first_month
+    WHEN is_epfo_available THEN e.first_month END, '%b %Y') AS first_month
+FROM facts_t f
+LEFT JOIN (SELECT customer_id, min(make_date(y, m, 1)) AS first_month FROM gst_t GROUP BY ALL) g ON g.customer_id = f.customer_id
+LEFT JOIN (SELECT customer_id, min(date_trunc('month', d)) AS first_month FROM upi_t GROUP BY ALL) u ON u.customer_id = f.customer_id
+LEFT JOIN (SELECT customer_id, min(make_date(y, m, 1)) AS first_month FROM epfo_t GROUP BY ALL) e ON e.customer_id = f.customer_id""",
+)
+
 # --- listings -----------------------------------------------------------------------------
 
+oracle("customer_ids", "SELECT customer_id FROM customers_t ORDER BY customer_id")
 oracle(
     "customer_listing",
     "SELECT customer_id, business_name, sector, persona, gst_number FROM customers_t ORDER BY customer_id",

@@ -14,6 +14,7 @@ from altcredit.operators import listing, ratios, report, scoring, series, upsert
 from altcredit.operators import summaries as sm
 from altcredit.operators import validate as vd
 from altcredit.operators.registry import FEEDS
+from altcredit.plans import reports
 from altcredit.plans import scorecard as sc
 from altcredit.session import tune
 from checks import views as v
@@ -221,6 +222,34 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_card(sc.flatten(sc.documents(_scored(spark, sf_dir))))
 
 
+def _stored_cards(scored: DataFrame) -> DataFrame:
+    cards = sc.documents(scored)
+    return cards.select(
+        "customer_id",
+        "scorecard_date",
+        reports.scorecard_json(cards.columns).alias("scorecard_json"),
+        "composite_score",
+    )
+
+
+@query
+def stored_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scorecards written as JSON text and decoded again."""
+    decoded = reports.decode_scorecards(_stored_cards(_scored(spark, sf_dir)))
+    return _flat_card(sc.flatten(decoded))
+
+
+@query
+def requested_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the customers asked for (all with UPI rows), and the ids nobody knows."""
+    wanted = v.upi_transactions(spark, sf_dir)
+    chosen, unknown = sc.select_customers(v.registered_customers(spark, sf_dir), wanted)
+    scored = sc.score(sc.combine(chosen, _summaries(spark, sf_dir)))
+    return scored.select("customer_id", "composite_score").unionByName(
+        unknown, allowMissingColumns=True
+    )
+
+
 # --- ingest -------------------------------------------------------------------------------
 
 
@@ -291,6 +320,14 @@ def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def blocked_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rows of the GST feed when loaded against an incomplete customer master."""
+    checked = _checked(spark, sf_dir, "gst_filings")
+    flagged = vd.block_orphans(checked, v.registered_customers(spark, sf_dir))
+    return vd.error_rows(flagged, "gst_filings", F.lit("gst_filings.json"))
+
+
 def _gst_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A stored table without every seventh customer, and a batch that repeats some keys."""
     columns = [*FEEDS["gst_filings"].columns]
@@ -328,6 +365,19 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumns(text)
 
 
+@query
+def scorecard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all card dates merged into a table that holds the two earlier ones."""
+    keys = ("customer_id", "scorecard_date")
+    scores = _card_history(spark, sf_dir).select(*keys, "composite_score")
+    stored = scores.filter(F.col("scorecard_date") != F.lit(v.AS_OF)).select(
+        *keys, F.lit(0).alias("composite_score"), F.lit(EARLIER_TS).cast("timestamp").alias("created_at")
+    )
+    batch = scores.filter(F.col("scorecard_date") != F.lit(v.CARD_DATES[0]))
+    merged = upsert.merge(stored, batch, keys, RUN_TS)
+    return merged.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 # --- reports ------------------------------------------------------------------------------
 
 
@@ -388,9 +438,49 @@ def headcount_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.headcount_trend(v.epfo_payroll(spark, sf_dir))
 
 
+@query
+def upi_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.upi_months(v.upi_transactions(spark, sf_dir))
+
+
+@query
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the finished report documents, read back from their JSON text."""
+    made = reports.build_reports(
+        sc.documents(_scored(spark, sf_dir)),
+        v.customers(spark, sf_dir),
+        v.gst_filings(spark, sf_dir),
+        v.upi_transactions(spark, sf_dir),
+        v.epfo_payroll(spark, sf_dir),
+        RUN_TS,
+    )
+    paths = {
+        "business_name": "$.business_name",
+        "summary": "$.narrative.summary",
+        "first_risk": "$.narrative.risks[0]",
+        "sources": "$.audit_trail.data_sources_used[0]",
+        "total_claims": "$.audit_trail.total_claims",
+        "gauge": "$.chart_configs[0].data_value",
+        "gst_bank_ratio": "$.chart_configs[2].rows[0][1]",
+        "fourth_chart": "$.chart_configs[3].title",
+        "first_month": "$.chart_configs[3].data[0].month",
+    }
+    return made.select(
+        "customer_id",
+        "scorecard_date",
+        "generation_method",
+        *[F.get_json_object("report_json", path).alias(name) for name, path in paths.items()],
+    )
+
+
 # --- listings -----------------------------------------------------------------------------
 
 
+@query
+def customer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.customer_ids(v.customers(spark, sf_dir))
+
+
 @query
 def customer_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.customer_listing(v.customers(spark, sf_dir))
