@@ -47,6 +47,7 @@ def load_records(
 
     The checked records are written out once; the merge, the error log and the counts all read
     that copy, so files are parsed a single time and a lost executor repeats no finished step.
+    The copy stays in the working folder, as the returned counts read it too.
     Returns attempted, loaded and skipped records per file.
     """
     spec = _spec(table)

@@ -9,9 +9,25 @@ from pyspark.sql import SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was committed."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes an intermediate result."""
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
 
 
 def working_folder(spark: SparkSession, fallback: str) -> str:

@@ -1,9 +1,11 @@
 """Stored tables as partitioned parquet.
 
 Feeds are partitioned by period and documents by date, so a merge reads and rewrites only the
-partitions its batch touches. A merge is first written beside the table and then put in place:
-the place being written is never the one being read, and a run that dies in between can simply
-be repeated. With a transactional table format ``upsert`` would be one MERGE.
+partitions its batch touches. A merge is first written to the working folder and then put in
+place: the place being written is never the one being read. A run that died while putting a
+merge in place is completed from that copy when it is repeated under the same run id, so no
+stored row depends on a half-replaced table. With a transactional table format ``upsert`` would
+be one MERGE.
 """
 
 from __future__ import annotations
@@ -97,23 +99,30 @@ class TableStore:
 
     def upsert(self, batch: DataFrame, table: str, run_ts: datetime, run_id: str) -> None:
         """Merges a batch that is unique on the table's key."""
-        schema, keys = TABLES[table], self.keys(table)
-        parts = self.partition_columns(table)
+        staged = self.working_path(run_id, f"{table}_merged")
+        if not paths.finished(self.spark, staged):
+            self._merged(batch, table, run_ts).write.mode("overwrite").parquet(staged)
+        self._put_in_place(table, staged)
+        paths.discard(self.spark, staged)
+
+    def _merged(self, batch: DataFrame, table: str, run_ts: datetime) -> DataFrame:
+        """The new content of the partitions that a batch touches."""
+        schema, parts = TABLES[table], self.partition_columns(table)
         shaped = batch.select(
             *[F.col(f.name).cast(f.dataType) for f in schema.fields if f.name in batch.columns]
         )
         stored = self._read_stored(table)
         if parts:
             stored = stored.filter(self._touched(shaped, parts))
-        merged = up.merge(stored.select(*schema.names), shaped, keys, run_ts)
-        staged = self.working_path(run_id, f"{table}_merged")
-        merged.write.mode("overwrite").parquet(staged)
+        return up.merge(stored.select(*schema.names), shaped, self.keys(table), run_ts)
+
+    def _put_in_place(self, table: str, staged: str) -> None:
+        schema, parts = TABLES[table], self.partition_columns(table)
         ready = self.spark.read.schema(schema).parquet(staged)
-        if parts:
-            ready = ready.withColumns({n: c for n, c in parts.items() if n not in schema.names})
-            # Splits big periods over several files and keeps small ones in one.
-            ready = ready.hint("rebalance", *parts)
-            writer = ready.write.option(*_DYNAMIC).partitionBy(*parts)
-        else:
-            writer = ready.write
+        if not parts:
+            ready.write.mode("overwrite").parquet(self.path(table))
+            return
+        ready = ready.withColumns({n: c for n, c in parts.items() if n not in schema.names})
+        # Splits big periods over several files and keeps small ones in one.
+        writer = ready.hint("rebalance", *parts).write.option(*_DYNAMIC).partitionBy(*parts)
         writer.mode("overwrite").parquet(self.path(table))
