@@ -1,4 +1,4 @@
-"""Fixed text of prompts and narratives, and the way values are put into it."""
+"""Fixed text of messages, flags, prompts and narratives, and the way values are put into it."""
 
 from __future__ import annotations
 
@@ -7,6 +7,43 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Reasons given by the validation rules.
+REQUIRED = "%s is required"
+ODD_GST_NUMBER = (
+    "gst_number '%s' is %d chars, expected 15 (or 'NOT_REGISTERED' for an NTC customer)"
+)
+IN_FUTURE = "%s '%s' is in the future"
+MONTH_RANGE = "month %d out of range 1-12"
+SALES_NOT_POSITIVE = "gstr_sales must be > 0 for a GST-registered customer"
+NEGATIVE = "%s cannot be negative"
+NOT_POSITIVE = "%s must be > 0"
+DSCR_NOT_POSITIVE = "dscr %s must be > 0"
+DEBITS_EXCEED = "total_debits (%d) exceeds total_credits (%d) - cash flow anomaly"
+TRANSFORM_FAILED = "transform failed: "
+WARNING_SUFFIX = " (warning)"
+UNKNOWN_ID = "UNKNOWN"
+# Outcome of a load.
+SUCCESS = "SUCCESS"
+PARTIAL = "PARTIAL"
+FAILED = "FAILED"
+FAILED_RECORDS = "%d record(s) failed validation"
+
+# Flags.
+WEAK_DSCR_FLAG = "Weak repayment capacity (DSCR %s)"
+STRONG_DSCR_FLAG = "Strong repayment capacity (DSCR %s)"
+CHEQUES_FLAG = "Liquidity stress (%d cheque bounces)"
+NO_CHEQUES_FLAG = "Zero cheque bounces"
+LATE_GST_FLAG = "Compliance risk (%d late GST filings)"
+TIMELY_GST_FLAG = "All GST filings on time"
+LATE_EPFO_FLAG = "Payroll stress (%d late EPFO contributions)"
+FEWER_STAFF_FLAG = "Declining employee count (%d -> %d)"
+MORE_STAFF_FLAG = "Employee growth of %s%%"
+SALES_DECLINE_FLAG = "Revenue decline (%s%% YoY)"
+SALES_GROWTH_FLAG = "Revenue growth of %s%% YoY"
+CASH_FLOW_FLAG = "Unaccounted cash flow (GST vs AA ratio %s)"
+WITHDRAWALS_FLAG = "High cash withdrawals (%s%% of collections)"
+BUFFER_FLAG = "Healthy cash buffer (ADB covers 60+ days of expenses)"
+
 # Prompt text. Placeholders are fact names.
 PROMPT_GST = """GST ANALYSIS:
 - Monthly Turnover Range: ₹{gst_min}L–₹{gst_max}L

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from altcredit.functions import cleaning as cl
+from altcredit.functions import wording as wd
 from altcredit.functions.numeric import number_text
 from altcredit.schemas import TABLES
 
@@ -65,25 +66,40 @@ def _col(name: str) -> Column:
     return F.col(name)
 
 
-def _in_future(name: str, as_of: Column) -> Rule:
-    text = F.format_string(f"{name} '%s' is in the future", _col(name).cast("string"))
-    return BLOCKING, _col(name) > as_of, text
-
-
 def _blocking(when: Column, message: str, *args: Column) -> Rule:
     return BLOCKING, when, F.format_string(message, *args) if args else F.lit(message)
 
 
+def _warning(when: Column, message: str, *args: Column) -> Rule:
+    return WARNING, when, F.format_string(message, *args)
+
+
 def _constraint(when: Column, text: str) -> Rule:
     return BLOCKING, when, F.lit(f"violates constraint: {text}")
 
 
-def _not_negative(*names: str) -> list[Rule]:
+def _required(name: str) -> Rule:
+    return _blocking(_col(name) == "", wd.REQUIRED % name)
+
+
+def _in_future(name: str, as_of: Column) -> Rule:
+    return _blocking(_col(name) > as_of, wd.IN_FUTURE, F.lit(name), _col(name).cast("string"))
+
+
+def _negative(name: str) -> Rule:
+    return _blocking(_col(f"{name}_paise") < 0, wd.NEGATIVE % name)
+
+
+def _not_positive(name: str) -> Rule:
+    return _blocking(_col(name) <= 0, wd.NOT_POSITIVE % name)
+
+
+def _stored_not_negative(*names: str) -> list[Rule]:
     return [_constraint(_col(n) < 0, f"{n} >= 0") for n in names]
 
 
 def _month_rule() -> Rule:
-    return _blocking(~_col("month").between(1, 12), "month %d out of range 1-12", _col("month"))
+    return _blocking(~_col("month").between(1, 12), wd.MONTH_RANGE, _col("month"))
 
 
 def _year_constraint() -> Rule:
@@ -98,22 +114,16 @@ def _by_period() -> dict[str, Column]:
     return {"year": _col("year"), "month": _col("month")}
 
 
+# Rules come in the order in which their messages are listed; table constraints follow them.
+
+
 def customer_rules(as_of: Column) -> list[Rule]:
-    gst = _col("gst_number")
-    odd_gst = (gst != cl.NOT_REGISTERED) & (F.length(gst) != 15)
+    number = _col("gst_number")
+    odd = (number != cl.NOT_REGISTERED) & (F.length(number) != 15)
     return [
-        _blocking(_col("business_name") == "", "business_name is required"),
-        _blocking(_col("pan") == "", "pan is required"),
-        (
-            WARNING,
-            odd_gst,
-            F.format_string(
-                "gst_number '%s' is %d chars, expected 15 "
-                f"(or '{cl.NOT_REGISTERED}' for an NTC customer)",
-                gst,
-                F.length(gst),
-            ),
-        ),
+        _required("business_name"),
+        _required("pan"),
+        _warning(odd, wd.ODD_GST_NUMBER, number, F.length(number)),
         _in_future("registration_date", as_of),
     ]
 
@@ -121,10 +131,8 @@ def customer_rules(as_of: Column) -> list[Rule]:
 def gst_rules(as_of: Column) -> list[Rule]:
     return [
         _month_rule(),
-        _blocking(
-            _col("gstr_sales_paise") <= 0, "gstr_sales must be > 0 for a GST-registered customer"
-        ),
-        _blocking(_col("tax_paid_paise") < 0, "tax_paid cannot be negative"),
+        _blocking(_col("gstr_sales_paise") <= 0, wd.SALES_NOT_POSITIVE),
+        _negative("tax_paid"),
         _in_future("filing_date", as_of),
         _year_constraint(),
     ]
@@ -132,10 +140,10 @@ def gst_rules(as_of: Column) -> list[Rule]:
 
 def upi_rules(as_of: Column) -> list[Rule]:
     return [
-        _blocking(_col("collections_paise") < 0, "collections cannot be negative"),
-        _blocking(_col("num_transactions") <= 0, "num_transactions must be > 0"),
+        _negative("collections"),
+        _not_positive("num_transactions"),
         _in_future("txn_date", as_of),
-        *_not_negative("avg_ticket_size_paise"),
+        *_stored_not_negative("avg_ticket_size_paise"),
     ]
 
 
@@ -145,18 +153,12 @@ def bank_rules(as_of: Column) -> list[Rule]:
     stored = dscr.try_cast("decimal(8,2)")
     return [
         _month_rule(),
-        _blocking(dscr <= 0, "dscr %s must be > 0", number_text(dscr)),
-        _blocking((credits < 0) | (debits < 0), "credits/debits cannot be negative"),
-        (
-            WARNING,
-            debits > credits,
-            F.format_string(
-                "total_debits (%d) exceeds total_credits (%d) - cash flow anomaly", debits, credits
-            ),
-        ),
+        _blocking(dscr <= 0, wd.DSCR_NOT_POSITIVE, number_text(dscr)),
+        _blocking((credits < 0) | (debits < 0), wd.NEGATIVE % "credits/debits"),
+        _warning(debits > credits, wd.DEBITS_EXCEED, debits, credits),
         _year_constraint(),
         _constraint((dscr > 0) & (stored.isNull() | (stored <= 0)), "dscr in NUMERIC(8,2) and > 0"),
-        *_not_negative(
+        *_stored_not_negative(
             "payroll_paid_paise",
             "operating_expenses_paise",
             "tax_payments_paise",
@@ -171,11 +173,11 @@ def bank_rules(as_of: Column) -> list[Rule]:
 def epfo_rules(as_of: Column) -> list[Rule]:
     return [
         _month_rule(),
-        _blocking(_col("employee_count") <= 0, "employee_count must be > 0"),
-        _blocking(_col("monthly_payroll_paise") < 0, "monthly_payroll cannot be negative"),
+        _not_positive("employee_count"),
+        _negative("monthly_payroll"),
         _in_future("contribution_date", as_of),
         _year_constraint(),
-        *_not_negative("avg_wage_paise", "employee_churn"),
+        *_stored_not_negative("avg_wage_paise", "employee_churn"),
     ]
 
 

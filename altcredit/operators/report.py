@@ -9,7 +9,7 @@ from altcredit.functions import bands as bd
 from altcredit.functions import numeric as nm
 from altcredit.functions import wording as wd
 
-# Facts that count as cited ratios when they have a value.
+# Facts that count as cited ratios when they have a value.
 RATIO_FACTS = (
     "gst_growth",
     "gst_cv",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from altcredit.functions import bands as bd
+from altcredit.functions import wording as wd
 from altcredit.functions.numeric import dbl, number_text
 
 
@@ -97,28 +98,23 @@ def flags(ratios: DataFrame) -> DataFrame:
         dbl(F.col("aa_avg_daily_balance")) > bd.expense_days(expenses, 60.0)
     )
     gst_vs_aa = F.col("cross_gst_vs_aa_ratio")
-    # Flag wording and limits.
     red = [
-        _flag(dscr < 1.0, "Weak repayment capacity (DSCR %s)", number_text(dscr)),
-        _flag(cheques >= 2, "Liquidity stress (%d cheque bounces)", cheques),
-        _flag(delays >= 3, "Compliance risk (%d late GST filings)", delays),
-        _flag(late >= 2, "Payroll stress (%d late EPFO contributions)", late),
-        _flag(last < first, "Declining employee count (%d -> %d)", first, last),
-        _flag(cagr < -5, "Revenue decline (%s%% YoY)", number_text(cagr)),
-        _flag(
-            F.col("cross_gst_vs_aa_mismatch"),
-            "Unaccounted cash flow (GST vs AA ratio %s)",
-            number_text(gst_vs_aa),
-        ),
-        _flag(cash > 15, "High cash withdrawals (%s%% of collections)", number_text(cash)),
+        _flag(dscr < 1.0, wd.WEAK_DSCR_FLAG, number_text(dscr)),
+        _flag(cheques >= 2, wd.CHEQUES_FLAG, cheques),
+        _flag(delays >= 3, wd.LATE_GST_FLAG, delays),
+        _flag(late >= 2, wd.LATE_EPFO_FLAG, late),
+        _flag(last < first, wd.FEWER_STAFF_FLAG, first, last),
+        _flag(cagr < -5, wd.SALES_DECLINE_FLAG, number_text(cagr)),
+        _flag(F.col("cross_gst_vs_aa_mismatch"), wd.CASH_FLOW_FLAG, number_text(gst_vs_aa)),
+        _flag(cash > 15, wd.WITHDRAWALS_FLAG, number_text(cash)),
     ]
     green = [
-        _flag(dscr > 1.75, "Strong repayment capacity (DSCR %s)", number_text(dscr)),
-        _flag(cheques == 0, "Zero cheque bounces"),
-        _flag(delays == 0, "All GST filings on time"),
-        _flag(staff_growth > 10, "Employee growth of %s%%", number_text(staff_growth)),
-        _flag(cagr > 5, "Revenue growth of %s%% YoY", number_text(cagr)),
-        _flag(buffered, "Healthy cash buffer (ADB covers 60+ days of expenses)"),
+        _flag(dscr > 1.75, wd.STRONG_DSCR_FLAG, number_text(dscr)),
+        _flag(cheques == 0, wd.NO_CHEQUES_FLAG),
+        _flag(delays == 0, wd.TIMELY_GST_FLAG),
+        _flag(staff_growth > 10, wd.MORE_STAFF_FLAG, number_text(staff_growth)),
+        _flag(cagr > 5, wd.SALES_GROWTH_FLAG, number_text(cagr)),
+        _flag(buffered, wd.BUFFER_FLAG),
     ]
     return ratios.withColumns(
         {

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from altcredit.functions import wording as wd
 from altcredit.operators.registry import BLOCKING, FEEDS, WARNING, FeedSpec
 
 EMPTY = "cast(array() as array<string>)"
@@ -64,10 +65,10 @@ def validate(normalized: DataFrame, spec: FeedSpec, as_of: date) -> DataFrame:
     kept = [c for c in normalized.columns if c not in ("problem", "raw_customer_id")]
     return normalized.select(
         *kept,
-        F.when(failed, F.coalesce("raw_customer_id", F.lit("UNKNOWN")))
+        F.when(failed, F.coalesce("raw_customer_id", F.lit(wd.UNKNOWN_ID)))
         .otherwise(spec.record_id())
         .alias("record_id"),
-        F.when(failed, F.array(F.concat(F.lit("transform failed: "), "problem")))
+        F.when(failed, F.array(F.concat(F.lit(wd.TRANSFORM_FAILED), "problem")))
         .otherwise(_messages(rules, BLOCKING))
         .alias("blocking"),
         F.when(failed, F.expr(EMPTY)).otherwise(_messages(rules, WARNING)).alias("warnings"),
@@ -136,7 +137,7 @@ def error_rows(checked: DataFrame, table: str, source_file: Column | None = None
 
 def issue_lines() -> Column:
     """``record_id: reason`` lines; blocking reasons first, warnings marked as such."""
-    marked = F.transform("warnings", lambda w: F.concat(w, F.lit(" (warning)")))
+    marked = F.transform("warnings", lambda w: F.concat(w, F.lit(wd.WARNING_SUFFIX)))
     return F.transform(
         F.concat("blocking", marked), lambda reason: F.concat_ws(": ", "record_id", reason)
     )
@@ -161,10 +162,10 @@ def load_status(counts: DataFrame) -> DataFrame:
     skipped, loaded = F.col("skipped"), F.col("loaded")
     return counts.withColumn(
         "status",
-        F.when(skipped == 0, F.lit("SUCCESS"))
-        .when(loaded > 0, F.lit("PARTIAL"))
-        .otherwise(F.lit("FAILED")),
+        F.when(skipped == 0, F.lit(wd.SUCCESS))
+        .when(loaded > 0, F.lit(wd.PARTIAL))
+        .otherwise(F.lit(wd.FAILED)),
     ).withColumn(
         "error_message",
-        F.when(skipped > 0, F.format_string("%d record(s) failed validation", skipped)),
+        F.when(skipped > 0, F.format_string(wd.FAILED_RECORDS, skipped)),
     )

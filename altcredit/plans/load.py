@@ -8,6 +8,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from altcredit.functions import wording as wd
 from altcredit.operators import upsert as up
 from altcredit.operators import validate as vd
 from altcredit.operators.registry import FEEDS, FeedSpec
@@ -16,6 +17,7 @@ from altcredit.sources.store import TableStore
 
 logger = logging.getLogger(__name__)
 
+UNREADABLE = "UNREADABLE"
 NOT_JSON = "not a JSON array of records"
 
 
@@ -65,13 +67,15 @@ def load_records(
 
     results = _file_results(staged, files)
     lineage = results.select(
-        F.when(F.col("status") == "UNREADABLE", F.col("source_path"))
+        F.when(F.col("status") == UNREADABLE, F.col("source_path"))
         .otherwise(F.col("source_file"))
         .alias("source_file"),
         F.lit(table).alias("table_name"),
         F.col("loaded").alias("record_count"),
         F.lit(run_ts).alias("load_timestamp"),
-        F.regexp_replace("status", "UNREADABLE", "FAILED").alias("status"),
+        F.when(F.col("status") == UNREADABLE, F.lit(wd.FAILED))
+        .otherwise(F.col("status"))
+        .alias("status"),
         "error_message",
     )
     store.append(lineage, "data_lineage", f"{run_id}-{table}")
@@ -95,7 +99,7 @@ def _file_results(staged: DataFrame, files: DataFrame | None) -> DataFrame:
     unreadable = F.col("corrupt") & (F.col("attempted") == 0)
     return vd.load_status(counted).withColumns(
         {
-            "status": F.when(unreadable, F.lit("UNREADABLE")).otherwise(F.col("status")),
+            "status": F.when(unreadable, F.lit(UNREADABLE)).otherwise(F.col("status")),
             "error_message": F.when(unreadable, F.lit(NOT_JSON)).otherwise(F.col("error_message")),
         }
     )
@@ -114,7 +118,7 @@ def load_feed(
     spark, spec = store.spark, _spec(table)
     if not paths.exists(spark, path):
         missing = spark.createDataFrame(
-            [(path, table, 0, run_ts, "FAILED", f"No such file or directory: '{path}'")],
+            [(path, table, 0, run_ts, wd.FAILED, f"No such file or directory: '{path}'")],
             "source_file string, table_name string, record_count bigint, "
             "load_timestamp timestamp, status string, error_message string",
         )
