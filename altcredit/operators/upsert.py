@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from altcredit.functions.times import instant
+
 
 def last_per_key(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], drop_order: bool = True
@@ -26,7 +28,7 @@ def merge(
     ``created_at`` of a stored row is kept; ``updated_at`` changes only where the batch has the
     key. Both sides are unique on the key, so the join cannot skew.
     """
-    now = F.lit(run_ts).cast("timestamp")
+    now = instant(run_ts)
     names = [c for c in stored.columns if c not in keys]
     new = batch.select(*keys, *[c for c in names if c in batch.columns], F.lit(True).alias("_new"))
     joined = stored.alias("old").join(new.alias("new"), list(keys), "full_outer")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from altcredit.functions import wording as wd
+from altcredit.functions.times import instant
 from altcredit.operators import upsert as up
 from altcredit.operators import validate as vd
 from altcredit.operators.registry import FEEDS, FeedSpec
@@ -62,7 +63,7 @@ def load_records(
     accepted = checked.filter(F.size("blocking") == 0).select(*spec.columns, *feeds.ORDER)
     store.upsert(up.last_per_key(accepted, spec.keys, feeds.ORDER), table, run_ts, run_id)
 
-    errors = vd.error_rows(checked, table).withColumn("logged_at", F.lit(run_ts))
+    errors = vd.error_rows(checked, table).withColumn("logged_at", instant(run_ts))
     store.append(errors, "validation_errors", f"{run_id}-{table}")
 
     results = _file_results(staged, files)
@@ -72,7 +73,7 @@ def load_records(
         .alias("source_file"),
         F.lit(table).alias("table_name"),
         F.col("loaded").alias("record_count"),
-        F.lit(run_ts).alias("load_timestamp"),
+        instant(run_ts).alias("load_timestamp"),
         F.when(F.col("status") == UNREADABLE, F.lit(wd.FAILED))
         .otherwise(F.col("status"))
         .alias("status"),
@@ -118,10 +119,10 @@ def load_feed(
     spark, spec = store.spark, _spec(table)
     if not paths.exists(spark, path):
         missing = spark.createDataFrame(
-            [(path, table, 0, run_ts, wd.FAILED, f"No such file or directory: '{path}'")],
-            "source_file string, table_name string, record_count bigint, "
-            "load_timestamp timestamp, status string, error_message string",
-        )
+            [(path, table, 0, wd.FAILED, f"No such file or directory: '{path}'")],
+            "source_file string, table_name string, record_count bigint, status string, "
+            "error_message string",
+        ).withColumn("load_timestamp", instant(run_ts))
         store.append(missing, "data_lineage", f"{run_id}-{table}")
         return spark.createDataFrame(
             [(table, path, 0, 0, 0)],

@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from altcredit.functions.times import instant
 from altcredit.operators import listing, report, series
 from altcredit.operators import summaries as sm
 from altcredit.plans import scorecard as sc
@@ -107,7 +108,7 @@ def build_reports(
         F.col("_date").alias("scorecard_date"),
         F.to_json(document, _KEEP_NULLS).alias("report_json"),
         F.lit(METHOD).alias("generation_method"),
-        F.lit(run_ts).cast("timestamp").alias("generated_at"),
+        instant(run_ts).alias("generated_at"),
     )
 
 

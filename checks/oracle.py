@@ -89,7 +89,7 @@ def oracle(name: str, sql: str) -> None:
 cte(
     "gst_t",
     f"""SELECT CAST(o_custkey AS VARCHAR) AS customer_id, o_custkey AS k,
-  year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(sum({cents('o_totalprice')}) AS BIGINT) AS sales,
+  CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(sum({cents('o_totalprice')}) AS BIGINT) AS sales,
   CAST(sum({cents('o_totalprice * 18e-2')}) AS BIGINT) AS tax,
   CAST(max(o_orderdate) AS DATE) AS filing_date,
   bool_or(o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') AS is_delayed
@@ -97,8 +97,8 @@ FROM orders WHERE o_custkey % 5 <> 0 GROUP BY ALL""",
 )
 cte(
     "ol_t",
-    """SELECT CAST(o_custkey AS VARCHAR) AS customer_id, o_custkey AS k, year(o_orderdate) AS y,
-  month(o_orderdate) AS m, c_acctbal, lineitem.*
+    """SELECT CAST(o_custkey AS VARCHAR) AS customer_id, o_custkey AS k, CAST(year(o_orderdate) AS INTEGER) AS y,
+  CAST(month(o_orderdate) AS INTEGER) AS m, c_acctbal, lineitem.*
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey""",
 )
 cte(
@@ -925,7 +925,7 @@ oracle(
     f"""SELECT customer_id, y AS year, m AS month, {LABEL}, {rnd('CAST(sales AS DOUBLE) / 1e2', 2)} AS value,
   'gst_sales' AS series FROM gst_t
 UNION ALL SELECT customer_id, y, m, {LABEL}, {rnd('CAST(total AS DOUBLE) / 1e2', 2)}, 'upi_collections'
-FROM (SELECT customer_id, year(d) AS y, month(d) AS m, sum(collections) AS total FROM upi_t
+FROM (SELECT customer_id, CAST(year(d) AS INTEGER) AS y, CAST(month(d) AS INTEGER) AS m, sum(collections) AS total FROM upi_t
   WHERE customer_id NOT IN (SELECT customer_id FROM gst_t) GROUP BY ALL)""",
 )
 oracle(
@@ -936,7 +936,7 @@ oracle(
 
 oracle(
     "upi_months",
-    "SELECT customer_id, year(d) AS year, month(d) AS month, CAST(sum(collections) AS BIGINT) AS collections_paise "
+    "SELECT customer_id, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, CAST(sum(collections) AS BIGINT) AS collections_paise "
     "FROM upi_t GROUP BY ALL",
 )
 oracle(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from altcredit.functions import numeric as nm
 from altcredit.functions.bands import gauge_band
+from altcredit.functions.times import instant
 from altcredit.operators import listing, ratios, report, scoring, series, upsert
 from altcredit.operators import summaries as sm
 from altcredit.operators import validate as vd
@@ -334,7 +335,7 @@ def _gst_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     rows = v.gst_filings(spark, sf_dir).select(*columns)
     stored = (
         rows.filter(v.key() % 7 != 0)
-        .withColumn("created_at", F.lit(EARLIER_TS).cast("timestamp"))
+        .withColumn("created_at", instant(EARLIER_TS))
         .withColumn("updated_at", F.col("created_at"))
     )
     copies = F.when(F.col("month") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(
@@ -371,7 +372,7 @@ def scorecard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ("customer_id", "scorecard_date")
     scores = _card_history(spark, sf_dir).select(*keys, "composite_score")
     stored = scores.filter(F.col("scorecard_date") != F.lit(v.AS_OF)).select(
-        *keys, F.lit(0).alias("composite_score"), F.lit(EARLIER_TS).cast("timestamp").alias("created_at")
+        *keys, F.lit(0).alias("composite_score"), instant(EARLIER_TS).alias("created_at")
     )
     batch = scores.filter(F.col("scorecard_date") != F.lit(v.CARD_DATES[0]))
     merged = upsert.merge(stored, batch, keys, RUN_TS)
