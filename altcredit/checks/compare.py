@@ -9,8 +9,8 @@ import time
 import duckdb
 from pyspark.sql import SparkSession
 
-from checks.oracle import ORACLES
-from checks.queries import QUERIES
+from altcredit.checks.oracle import ORACLES
+from altcredit.checks.queries import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "

@@ -18,7 +18,7 @@ from altcredit.operators.registry import FEEDS
 from altcredit.plans import reports
 from altcredit.plans import scorecard as sc
 from altcredit.session import tune
-from checks import views as v
+from altcredit.checks import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -50,14 +50,18 @@ def strip(text: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    """Capitalize every letter that does not follow a letter, lower-case the others."""
+    """Capitalize every letter that does not follow a letter, lower-case the others.
+
+    For plain words that is what initcap does; only other text is taken apart.
+    """
     letters = F.split(text, "")
 
     def cased(ch: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(letters, i - 1)).otherwise(F.lit(" "))
         return F.when(before.rlike(r"[\p{Lu}\p{Ll}\p{Lt}]"), F.lower(ch)).otherwise(F.upper(ch))
 
-    return F.array_join(F.transform(letters, cased), "")
+    taken_apart = F.array_join(F.transform(letters, cased), "")
+    return F.when(text.rlike(r"[^A-Za-z ]"), taken_apart).otherwise(F.initcap(text))
 
 
 def sector_name(text: Column) -> Column:

@@ -15,7 +15,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from checks.queries import QUERIES
+from altcredit.checks.queries import QUERIES
 
 HEADLINE = (
     "gst_ratios",

@@ -8,9 +8,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from checks import compare, views
-from checks.oracle import ORACLES
-from checks.queries import QUERIES
+from altcredit.checks import compare, views
+from altcredit.checks.oracle import ORACLES
+from altcredit.checks.queries import QUERIES
 from tests.conftest import SF_DIR
 
 
