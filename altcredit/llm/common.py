@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +49,17 @@ def total_bytes(docs: DataFrame, text: str) -> int:
 
 def pieces_of(size: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(size / each))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place for an intermediate table in the folder that all executors share."""
+    checkpoint_folder(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{folder.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: its lineage ends there."""
+    spark, path = frame.sparkSession, scratch(frame.sparkSession, name)
+    frame.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

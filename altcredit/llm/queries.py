@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from altcredit.llm import quality, sharding
+from altcredit.llm import decontamination, quality, sharding, substring_dedup
 from altcredit.llm.common import utf8_bytes
 
 
@@ -15,6 +15,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontamination.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+    )
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffled_shards(documents(spark, sf_dir).select("doc_id", "text"), shards=40)
     text = F.coalesce(F.col("row.text"), F.lit(""))
@@ -40,11 +52,20 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.substring_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op8_quality": op8_quality,
+    "op9_substring": op9_substring,
 }
 
+#: Lower case for A-Z only.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _W = r"'[^\x20\x09-\x0D]+'"
 
 ORACLES: dict[str, str] = {
@@ -69,4 +90,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(li
        OR (len(lines) - len(list_distinct(lines)) >= 4 AND 10 * (len(lines) - len(list_distinct(lines))) > 3 * len(lines))
        OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_capitals > word_chars) AS kept
 FROM s""",
+    "op4_decontamination": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(lower_ascii(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+        regexp_extract_all(lower_ascii(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, w[k : k + least(13, len(w)) - 1] AS win, least(13, len(w)) AS m
+       FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+m AS (SELECT DISTINCT m FROM iw),
+dw AS (SELECT r, m, k, w[k : k + m - 1] AS win
+       FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, m WHERE len(w) >= m)),
+h AS (SELECT r, k, m, item FROM dw JOIN iw USING (m, win)),
+hw AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + m)) AS p FROM h) GROUP BY r),
+hi AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated
+FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)""".replace("lower_ascii(coalesce(text, ''))", _LOWER),
+    "op9_substring": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents),
+x AS (SELECT r, k, sha256(array_to_string(w[k : k + 34], ' ')) AS h
+      FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35)),
+rep AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY h) AS c FROM x) WHERE c > 1),
+gone AS (SELECT r, list(DISTINCT p) AS gone FROM (SELECT r, unnest(range(k, k + 35)) AS p FROM rep) GROUP BY r),
+kept AS (SELECT r, string_agg(t, ' ' ORDER BY p) AS kept
+         FROM (SELECT r, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d) x
+         WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT r, unnest(gone) AS p FROM gone) g WHERE g.r = x.r AND g.p = x.p)
+         GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)""",
 }
