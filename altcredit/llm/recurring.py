@@ -19,7 +19,7 @@ from altcredit.llm.common import pieces_of, total_bytes
 
 GROUP_BYTES = 4 << 20
 SENT = "bucket int, g int, keys binary, many binary"
-ANSWER = "g int, keys binary"
+ANSWER = "g int, bucket int, keys binary"
 
 
 def dealt(docs: DataFrame, key: str, text: str, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
@@ -35,15 +35,14 @@ def buckets_of(groups: int) -> int:
     return pieces_of(groups, 4, 8)
 
 
-def pack(g: int, buckets: int, keys: np.ndarray, **more: np.ndarray) -> pa.Table:
-    """One row a bucket; ``keys`` are sorted and distinct, ``more`` goes with them."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int32)
+def pack(g: int, bucket: np.ndarray, **more: np.ndarray) -> pa.Table:
+    """One row a bucket with its part of each array."""
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    full = np.flatnonzero(cuts[1:] > cuts[:-1])
-    parts = {n: [a[order[cuts[b] : cuts[b + 1]]].tobytes() for b in full] for n, a in (("keys", keys), *more.items())}
+    full, cuts = np.unique(bucket[order], return_index=True)
+    cuts = [*cuts.tolist(), len(order)]
+    parts = {n: [a[order[i:j]].tobytes() for i, j in zip(cuts, cuts[1:])] for n, a in more.items()}
     return pa.table(
-        {"bucket": pa.array(full, pa.int32()), "g": pa.array(np.full(len(full), g), pa.int32())}
+        {"bucket": pa.array(full.astype(np.int32)), "g": pa.array(np.full(len(full), g, np.int32))}
         | {n: pa.array(v, pa.binary()) for n, v in parts.items()}
     )
 
@@ -52,14 +51,21 @@ def unpack(column, dtype=np.uint64) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
-def send(g: int, buckets: int, keys: np.ndarray) -> pa.Table:
-    """``keys`` as they occur in a group: distinct, with a mark on those that occur twice."""
+def codes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and upper half of a fingerprint. Enough where a rare false recurrence only costs work."""
+    return (keys % np.uint64(buckets)) << np.uint64(32) | keys >> np.uint64(32)
+
+
+def send(g: int, buckets: int, keys: np.ndarray, narrow: bool = False) -> pa.Table:
+    """``keys`` (``codes`` if narrow) of a group: distinct, with a mark on those that occur twice."""
     keys, counts = np.unique(keys, return_counts=True)
-    return pack(g, buckets, keys, many=(counts > 1))
+    if narrow:
+        return pack(g, (keys >> np.uint64(32)).astype(np.int32), keys=keys.astype(np.uint32), many=counts > 1)
+    return pack(g, (keys % np.uint64(buckets)).astype(np.int32), keys=keys, many=counts > 1)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    sent = unpack(table["keys"])
+def _answer(table: pa.Table, dtype) -> pa.Table:
+    sent = unpack(table["keys"], dtype)
     every, many = np.concatenate(sent), np.concatenate(unpack(table["many"], bool))
     order = np.argsort(every)
     ordered = every[order]
@@ -70,15 +76,21 @@ def _answer(table: pa.Table) -> pa.Table:
     found = np.unique(ordered[again])
     keep = [(g, a[K.member(found, a)]) for g, a in zip(table["g"].to_pylist(), sent)]
     keep = [(g, a.tobytes()) for g, a in keep if len(a)]
-    return pa.table({"g": pa.array([g for g, _ in keep], pa.int32()), "keys": pa.array([a for _, a in keep], pa.binary())})
+    bucket = np.full(len(keep), table["bucket"][0].as_py(), np.int32)
+    return pa.table({"g": pa.array([g for g, _ in keep], pa.int32()), "bucket": pa.array(bucket), "keys": pa.array([a for _, a in keep], pa.binary())})
 
 
-def answers(sent: DataFrame) -> DataFrame:
+def answers(sent: DataFrame, narrow: bool = False) -> DataFrame:
     """For each group its fingerprints that occur more than once, anywhere."""
-    return sent.groupBy("bucket").applyInArrow(_answer, ANSWER)
+    dtype = np.uint32 if narrow else np.uint64
+    return sent.groupBy("bucket").applyInArrow(lambda table: _answer(table, dtype), ANSWER)
 
 
-def received(table: pa.Table) -> np.ndarray:
+def received(table: pa.Table, narrow: bool = False) -> np.ndarray:
     """What came back to a group, sorted."""
-    parts = unpack(table["keys"])
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    parts = unpack(table["keys"], np.uint32 if narrow else np.uint64)
+    if not parts:
+        return np.zeros(0, np.uint64)
+    if narrow:
+        parts = [a.astype(np.uint64) | np.uint64(b << 32) for a, b in zip(parts, table["bucket"].to_pylist())]
+    return np.sort(np.concatenate(parts))

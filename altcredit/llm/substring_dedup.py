@@ -36,12 +36,6 @@ def _windows(table: pa.Table, window: int, seed: int):
     return (data, offsets, starts, ends, first), words, valid, runs, at
 
 
-def _extended(words, valid, runs, at, window, anchors):
-    """Windows that selected a recurring anchor, and their hashes."""
-    near = valid[K.member(anchors, runs[at])] if len(valid) else valid
-    return near, K.window_hashes(words, window)[near] if len(near) else np.zeros(0, np.uint64)
-
-
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, seed: int = 8) -> DataFrame:
     """Rows (id, kept, n_words, n_removed[, row]): ``kept`` is the kept words, one space between."""
     small_batches(docs.sparkSession)
@@ -50,12 +44,13 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     def seeds(key, table):
         _, _, _, runs, at = _windows(table, window, seed)
-        return R.send(key[0].as_py(), buckets, runs[np.unique(at)])
+        return R.send(key[0].as_py(), buckets, R.codes(runs[np.unique(at)], buckets), narrow=True)
 
     def extensions(key, table, found):
         _, words, valid, runs, at = _windows(table, window, seed)
-        _, hashes = _extended(words, valid, runs, at, window, R.received(found))
-        return R.send(key[0].as_py(), buckets, hashes)
+        anchors = R.received(found, narrow=True)
+        near = valid[K.member(anchors, R.codes(runs[at], buckets))] if len(valid) else valid
+        return R.send(key[0].as_py(), buckets, K.window_hashes(words, window)[near] if len(near) else words[:0])
 
     def cut(key, table, found):
         spans, words, valid, _, _ = _windows(table, window, seed)
@@ -71,6 +66,6 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     schema = StructType([StructField("id", rows.schema["id"].dataType), StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
     schema = StructType(schema.fields + [f for f in rows.schema.fields if f.name == "row"])
     by = rows.groupBy("g")
-    anchors = R.answers(by.applyInArrow(seeds, R.SENT))
+    anchors = R.answers(by.applyInArrow(seeds, R.SENT), narrow=True)
     repeats = R.answers(by.cogroup(anchors.groupBy("g")).applyInArrow(extensions, R.SENT))
     return by.cogroup(repeats.groupBy("g")).applyInArrow(cut, schema)
