@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from altcredit.llm import decontamination, quality, sharding, substring_dedup
+from altcredit.llm import decontamination, ngram_jaccard, quality, sharding, substring_dedup
 from altcredit.llm.common import utf8_bytes
 
 
@@ -15,6 +15,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_jaccard.jaccard_components(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
@@ -58,6 +63,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op8_quality": op8_quality,
