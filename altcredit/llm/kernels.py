@@ -89,17 +89,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray):
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each span; spans are in order and do not overlap."""
+    """Hash of each span; spans are ordered by start and may overlap."""
     out, values, i = np.empty(len(starts), U), byte_values(), 0
     up, down = powers(STEP)
     while i < len(starts):
         low = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, low + STEP, "right")))
-        width = ends[j - 1] - low
+        j = int(np.searchsorted(starts, low + STEP))
+        width = ends[i:j].max() - low
         if width > len(up):
             up, down = powers(int(width))
         total = np.zeros(width + 1, U)
-        np.cumsum(values[data[low : ends[j - 1]]] * up[:width], out=total[1:])
+        np.cumsum(values[data[low : low + width]] * up[:width], out=total[1:])
         out[i:j] = (total[ends[i:j] - low] - total[starts[i:j] - low]) * down[starts[i:j] - low]
         i = j
     return mix(out + (ends - starts).astype(U) * U(0xA0761D6478BD642F))

@@ -94,3 +94,59 @@ def received(table: pa.Table, narrow: bool = False) -> np.ndarray:
     if narrow:
         parts = [a.astype(np.uint64) | np.uint64(b << 32) for a, b in zip(parts, table["bucket"].to_pylist())]
     return np.sort(np.concatenate(parts))
+
+
+LEAST = "bucket int, g int, keys binary, least binary"
+LOWER = "g int, keys binary, least binary"
+
+
+def least_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the smallest value of each."""
+    if not len(keys):
+        return keys, values
+    order = np.lexsort((values, keys))
+    keys, values = keys[order], values[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    return keys[new], values[new]
+
+
+def send_least(g: int, buckets: int, keys: np.ndarray, values: np.ndarray) -> pa.Table:
+    keys, values = least_of(keys, values)
+    return pack(g, (keys % np.uint64(buckets)).astype(np.int32), keys=keys, least=values)
+
+
+def lower_than(sent: list[np.ndarray], values: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each sender its keys for which someone sent a smaller value, with the smallest."""
+    known, least = least_of(np.concatenate(sent), np.concatenate(values))
+    out = []
+    for a, v in zip(sent, values):
+        best = least[np.searchsorted(known, a)]
+        out.append((a[best < v], best[best < v]))
+    return out
+
+
+def _lower(table: pa.Table) -> pa.Table:
+    found = lower_than(unpack(table["keys"]), unpack(table["least"], np.int64))
+    keep = [(g, a.tobytes(), v.tobytes()) for g, (a, v) in zip(table["g"].to_pylist(), found) if len(a)]
+    g, keys, least = zip(*keep) if keep else ((), (), ())
+    return pa.table({"g": pa.array(g, pa.int32()), "keys": pa.array(keys, pa.binary()), "least": pa.array(least, pa.binary())})
+
+
+def lower(sent: DataFrame) -> DataFrame:
+    """For each group those of its fingerprints that come with a smaller value elsewhere."""
+    return sent.groupBy("bucket").applyInArrow(_lower, LOWER)
+
+
+def received_least(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = unpack(table["keys"]), unpack(table["least"], np.int64)
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return least_of(np.concatenate(keys), np.concatenate(values))
+
+
+def lookup(known: np.ndarray, values: np.ndarray, keys: np.ndarray, default: np.ndarray) -> np.ndarray:
+    """The value known for each key, at most its default."""
+    if not len(known) or not len(keys):
+        return default
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, np.minimum(values[at], default), default)
