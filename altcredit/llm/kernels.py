@@ -13,6 +13,7 @@ import pyarrow as pa
 U = np.uint64
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
+LENGTH = U(0xA0761D6478BD642F)
 STEP = 1 << 18
 WHITE = (9, 10, 11, 12, 13, 32)
 
@@ -102,11 +103,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         np.cumsum(values[data[low : low + width]] * up[:width], out=total[1:])
         out[i:j] = (total[ends[i:j] - low] - total[starts[i:j] - low]) * down[starts[i:j] - low]
         i = j
-    return mix(out + (ends - starts).astype(U) * U(0xA0761D6478BD642F))
+    return mix(out + (ends - starts).astype(U) * LENGTH)
 
 
 def window_hashes(items: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k items."""
+    """Hash of each run of k items; over byte values the same as ``span_hashes`` of k bytes."""
     n = len(items)
     if n < k:
         return np.zeros(0, U)
@@ -118,7 +119,7 @@ def window_hashes(items: np.ndarray, k: int) -> np.ndarray:
         np.cumsum(part * up[: len(part)], out=total[1:])
         m = len(part) - k + 1
         out[low : low + m] = (total[k:] - total[:m]) * down[:m]
-    return mix(out + U(k))
+    return mix(out + np.array([k], U) * LENGTH)
 
 
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
@@ -189,3 +190,38 @@ def gathered(batches, size: int = 8 << 20):
             held, n = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+def smallest_seeds(data: np.ndarray, offsets: np.ndarray, length: int, seed: int, step: int = 1 << 20):
+    """Runs of windows of ``length`` bytes that select the same seed of ``seed`` bytes.
+
+    A window selects its seed with the smallest hash, so equal windows select equal seeds. Gives the
+    first window of each run, the number of its windows and the hash of the seed; windows lie inside
+    one text. Takes ``step`` windows at a time, whatever the length of a text.
+    """
+    inside = np.ones(len(data), bool)
+    tail = np.minimum(np.diff(offsets), length - 1)
+    inside[ranges(offsets[1:] - tail, tail)] = False
+    values, span = byte_values(), length - seed + 1
+    assert span <= 64
+    low6 = U(63)
+    out: list[tuple] = []
+    for low in range(0, len(data), step):
+        part = data[low : low + step + length - 1]
+        at = np.flatnonzero(inside[low : low + step])
+        if not len(at):
+            continue
+        grams = window_hashes(values[part], seed)
+        # The place modulo 64 rides in the low bits, so one minimum finds value and place.
+        best = (grams & ~low6) | (np.arange(len(grams), dtype=U) & low6)
+        have = 1
+        while have < span:
+            move = min(have, span - have)
+            best = np.minimum(best[:-move], best[move:])
+            have += move
+        chosen = at + (((best[at] & low6).astype(np.int64) - at) & 63)
+        new = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)))
+        out.append((at[new] + low, np.diff(np.append(new, len(at))), grams[chosen[new]]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+    return tuple(np.concatenate(x) for x in zip(*out))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from altcredit.llm import decontamination, ngram_jaccard, quality, sharding, substring_dedup
+from altcredit.llm import decontamination, ngram_jaccard, quality, sharding, substring_dedup, suffix_dedup
 from altcredit.llm.common import utf8_bytes
 
 
@@ -46,6 +46,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.suffix_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     rules = quality.order(quality.RULES, quality.measure(docs, "text"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_quality": op8_quality,
     "op9_substring": op9_substring,
 }

@@ -96,44 +96,45 @@ def received(table: pa.Table, narrow: bool = False) -> np.ndarray:
     return np.sort(np.concatenate(parts))
 
 
-LEAST = "bucket int, g int, keys binary, least binary"
+RANGE = "bucket int, g int, keys binary, least binary, most binary"
 LOWER = "g int, keys binary, least binary"
 
 
-def least_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the smallest value of each."""
+def range_of(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with the smallest and the largest value of each."""
     if not len(keys):
-        return keys, values
-    order = np.lexsort((values, keys))
-    keys, values = keys[order], values[order]
-    new = np.append(True, keys[1:] != keys[:-1])
-    return keys[new], values[new]
+        return keys, least, most
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[new], np.minimum.reduceat(least[order], new), np.maximum.reduceat(most[order], new)
 
 
-def send_least(g: int, buckets: int, keys: np.ndarray, values: np.ndarray) -> pa.Table:
-    keys, values = least_of(keys, values)
-    return pack(g, (keys % np.uint64(buckets)).astype(np.int32), keys=keys, least=values)
+def send_range(g: int, buckets: int, keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> pa.Table:
+    keys, least, most = range_of(keys, least, most)
+    return pack(g, (keys % np.uint64(buckets)).astype(np.int32), keys=keys, least=least, most=most)
 
 
-def lower_than(sent: list[np.ndarray], values: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each sender its keys for which someone sent a smaller value, with the smallest."""
-    known, least = least_of(np.concatenate(sent), np.concatenate(values))
+def lower_than(sent: list[np.ndarray], least: list[np.ndarray], most: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each sender the smallest value of all for those of its keys that it has with a larger one."""
+    every = np.concatenate(least)
+    known, smallest, _ = range_of(np.concatenate(sent), every, every)
     out = []
-    for a, v in zip(sent, values):
-        best = least[np.searchsorted(known, a)]
-        out.append((a[best < v], best[best < v]))
+    for a, m in zip(sent, most):
+        best = smallest[np.searchsorted(known, a)]
+        out.append((a[best < m], best[best < m]))
     return out
 
 
 def _lower(table: pa.Table) -> pa.Table:
-    found = lower_than(unpack(table["keys"]), unpack(table["least"], np.int64))
-    keep = [(g, a.tobytes(), v.tobytes()) for g, (a, v) in zip(table["g"].to_pylist(), found) if len(a)]
+    parts = (unpack(table["keys"]), unpack(table["least"], np.int64), unpack(table["most"], np.int64))
+    keep = [(g, a.tobytes(), v.tobytes()) for g, (a, v) in zip(table["g"].to_pylist(), lower_than(*parts)) if len(a)]
     g, keys, least = zip(*keep) if keep else ((), (), ())
     return pa.table({"g": pa.array(g, pa.int32()), "keys": pa.array(keys, pa.binary()), "least": pa.array(least, pa.binary())})
 
 
 def lower(sent: DataFrame) -> DataFrame:
-    """For each group those of its fingerprints that come with a smaller value elsewhere."""
+    """For each group the smallest values of its fingerprints that it has with larger ones."""
     return sent.groupBy("bucket").applyInArrow(_lower, LOWER)
 
 
@@ -141,7 +142,7 @@ def received_least(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys, values = unpack(table["keys"]), unpack(table["least"], np.int64)
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return least_of(np.concatenate(keys), np.concatenate(values))
+    return range_of(np.concatenate(keys), *[np.concatenate(values)] * 2)[:2]
 
 
 def lookup(known: np.ndarray, values: np.ndarray, keys: np.ndarray, default: np.ndarray) -> np.ndarray:
