@@ -58,8 +58,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
+#: Removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: its lineage ends there."""
+    """The frame as a table in the shared folder: its lineage ends there, its shuffle files go."""
     spark, path = frame.sparkSession, scratch(frame.sparkSession, name)
-    frame.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)

@@ -8,9 +8,10 @@
    links its sets; one set a component and block then meets those of the block's other trees.
 3. Whatever links are left are between different components. Two linked sets share a recurring
    n-gram of their prefixes (prefix filter: the smallest n-grams, one more than may be missing).
-   n-grams whose sets are in several components are open; the sets that have one go to a block for
-   each distinct group of sets that an open n-gram has, and these blocks' trees are traversed too,
-   large ones as pairs of parts. This finds every link that could join two components.
+   n-grams whose sets are in several components are open. First one set a component and open n-gram
+   is compared, which joins the parts of a family; then, for n-grams still open, all sets that have
+   one. A block is a distinct group of sets that an open n-gram has, its trees are traversed as in
+   step 2, large blocks as pairs of parts. This finds every link that could join two components.
 4. Components of the linked components come from min-label propagation with pointer jumping.
 
 So no block holds a group's copies (equal sets are one), a family of near copies collapses in
@@ -111,7 +112,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     made = written(by.cogroup(found.groupBy("g")).applyInArrow(sets_of, f"{SETS}, {fields}"), "sets")
     sets = made.where("tokens is not null").select("name", "size", "block", "tokens")
     linked = written(_linked_in_blocks(sets, percent), "trees")
-    merged = _components(_links_between(sets, linked, percent), linked)
+    roots = _components(_links_between(sets, linked, linked.select("name", "root"), percent, one_each=True), linked.select("name", "root"))
+    merged = _components(_links_between(sets, linked, roots, percent, one_each=False), roots)
     ids = made.where("name is not null").groupBy("name").agg(F.min("id").alias("least"))
     least = ids.join(merged, "name").groupBy("root").agg(F.min("least").alias("component"))
     names = merged.join(least, "root").select("name", "component")
@@ -177,23 +179,27 @@ def _linked_in_blocks(sets: DataFrame, percent: int) -> DataFrame:
     return first.join(moved, "root", "left").select("name", F.coalesce("to", "root").alias("root"), "prefix")
 
 
-def _links_between(sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """Step 3: links (a, b) between components."""
-    grams = linked.select("name", "root", F.explode("prefix").alias("gram"))
+def _links_between(sets: DataFrame, linked: DataFrame, roots: DataFrame, percent: int, one_each: bool) -> DataFrame:
+    """Step 3: links (a, b) between components; with ``one_each`` by one set a component and n-gram."""
+    grams = linked.select("name", F.explode("prefix").alias("gram")).join(roots, "name")
     several = grams.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("gram")
-    opened = written(grams.join(several, "gram").select("gram", "name", "root"), "open")
+    opened = grams.join(several, "gram").select("gram", "name", "root")
+    if one_each:
+        opened = opened.groupBy("gram", "root").agg(F.min("name").alias("name"))
+    opened = written(opened, "open")
     # n-grams that the same sets have make one block.
     alike = opened.groupBy("gram").agg(F.sum(F.xxhash64("name").cast("decimal(38,0)")).alias("s"), F.count("*").alias("c"))
     alike = alike.select("gram", F.xxhash64("s", "c").alias("block"))
     where = opened.join(alike, "gram").select("block", "name", "root").distinct()
-    unique = sets.dropDuplicates(["name"]).select("name", "size", "tokens")
-    return _pairs_of_parts(where.join(unique, "name"), percent)
+    return _pairs_of_parts(where.join(sets.select("name", "size", "tokens"), "name"), percent)
 
 
 def _pairs_of_parts(members: DataFrame, percent: int) -> DataFrame:
     """Trees over each block; a block beyond a tree's bytes as all pairs of its parts."""
     weight = F.octet_length("tokens") + F.lit(64)
     members = written(members, "members")
+    if members.isEmpty():
+        return members.select(F.col("name").alias("a"), F.col("name").alias("b"))
     total = members.agg(F.sum(weight).alias("n")).first()["n"] or 0
     large = members.groupBy("block").agg(F.sum(weight).alias("bytes")).where(F.col("bytes") > TREE_BYTES)
     large = large.select("block", F.ceil(F.col("bytes") * 2 / TREE_BYTES).cast("int").alias("parts"))
@@ -208,10 +214,9 @@ def _pairs_of_parts(members: DataFrame, percent: int) -> DataFrame:
     return out.where("root <> before").select(F.col("root").alias("a"), F.col("before").alias("b")).distinct()
 
 
-def _components(links: DataFrame, linked: DataFrame) -> DataFrame:
-    """Rows (name, root) once the links between components are followed."""
+def _components(links: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows (name, root) once the links between roots are followed."""
     links = written(links, "links")
-    names = linked.select("name", "root")
     if links.isEmpty():
         return names
     both = written(links.union(links.select("b", "a")).distinct(), "edges")
@@ -225,4 +230,4 @@ def _components(links: DataFrame, linked: DataFrame) -> DataFrame:
             break
         label = after
     final = label.select(F.col("node").alias("root"), F.col("label").alias("to"))
-    return names.join(final, "root", "left").select("name", F.coalesce("to", "root").alias("root"))
+    return written(names.join(final, "root", "left").select("name", F.coalesce("to", "root").alias("root")), "roots")

@@ -60,13 +60,20 @@ def send(g: int, buckets: int, keys: np.ndarray, narrow: bool = False) -> pa.Tab
     """``keys`` (``codes`` if narrow) of a group: distinct, with a mark on those that occur twice."""
     keys, counts = np.unique(keys, return_counts=True)
     if narrow:
-        return pack(g, (keys >> np.uint64(32)).astype(np.int32), keys=keys.astype(np.uint32), many=counts > 1)
-    return pack(g, (keys % np.uint64(buckets)).astype(np.int32), keys=keys, many=counts > 1)
+        return _marked(pack(g, (keys >> np.uint64(32)).astype(np.int32), keys=keys.astype(np.uint32), many=counts > 1))
+    return _marked(pack(g, (keys % np.uint64(buckets)).astype(np.int32), keys=keys, many=counts > 1))
+
+
+def _marked(table: pa.Table) -> pa.Table:
+    """Marks as bits."""
+    marks = pa.array([np.packbits(a).tobytes() for a in unpack(table["many"], bool)], pa.binary())
+    return table.set_column(table.column_names.index("many"), "many", marks)
 
 
 def _answer(table: pa.Table, dtype) -> pa.Table:
     sent = unpack(table["keys"], dtype)
-    every, many = np.concatenate(sent), np.concatenate(unpack(table["many"], bool))
+    marks = [np.unpackbits(m, count=len(a)) for m, a in zip(unpack(table["many"], np.uint8), sent)]
+    every, many = np.concatenate(sent), np.concatenate(marks).astype(bool)
     order = np.argsort(every)
     ordered = every[order]
     same = ordered[1:] == ordered[:-1]
