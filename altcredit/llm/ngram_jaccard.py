@@ -10,8 +10,9 @@
    n-gram of their prefixes (prefix filter: the smallest n-grams, one more than may be missing).
    n-grams whose sets are in several components are open. First one set a component and open n-gram
    is compared, which joins the parts of a family; then, for n-grams still open, all sets that have
-   one. A block is a distinct group of sets that an open n-gram has, its trees are traversed as in
-   step 2, large blocks as pairs of parts. This finds every link that could join two components.
+   one. Open n-grams whose smallest set is the same make one block of all their sets, as those of a
+   family mostly do; its trees are traversed as in step 2, a large block as pairs of parts. Every
+   pair that shares an open n-gram meets, so no link that could join two components is missed.
 4. Components of the linked components come from min-label propagation with pointer jumping.
 
 So no block holds a group's copies (equal sets are one), a family of near copies collapses in
@@ -110,7 +111,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = R.answers(by.applyInArrow(grams_of, R.SENT), narrow=True)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in ("id", "row"))
     made = written(by.cogroup(found.groupBy("g")).applyInArrow(sets_of, f"{SETS}, {fields}"), "sets")
-    sets = made.where("tokens is not null").select("name", "size", "block", "tokens")
+    sets = written(made.where("tokens is not null").select("name", "size", "block", "tokens").dropDuplicates(["name"]), "distinct")
     linked = written(_linked_in_blocks(sets, percent), "trees")
     roots = _components(_links_between(sets, linked, linked.select("name", "root"), percent, one_each=True), linked.select("name", "root"))
     merged = _components(_links_between(sets, linked, roots, percent, one_each=False), roots)
@@ -187,21 +188,20 @@ def _links_between(sets: DataFrame, linked: DataFrame, roots: DataFrame, percent
     if one_each:
         opened = opened.groupBy("gram", "root").agg(F.min("name").alias("name"))
     opened = written(opened, "open")
-    # n-grams that the same sets have make one block.
-    alike = opened.groupBy("gram").agg(F.sum(F.xxhash64("name").cast("decimal(38,0)")).alias("s"), F.count("*").alias("c"))
-    alike = alike.select("gram", F.xxhash64("s", "c").alias("block"))
-    where = opened.join(alike, "gram").select("block", "name", "root").distinct()
-    return _pairs_of_parts(where.join(sets.select("name", "size", "tokens"), "name"), percent)
+    # A block is all sets that share an open n-gram whose smallest set is the same.
+    least = opened.groupBy("gram").agg(F.min("name").alias("block"))
+    where = opened.join(least, "gram").select("block", "name", "root").distinct()
+    return _pairs_of_parts(written(where, "blocks"), sets.select("name", "size", "tokens"), percent)
 
 
-def _pairs_of_parts(members: DataFrame, percent: int) -> DataFrame:
+def _pairs_of_parts(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Trees over each block; a block beyond a tree's bytes as all pairs of its parts."""
-    weight = F.octet_length("tokens") + F.lit(64)
-    members = written(members, "members")
     if members.isEmpty():
         return members.select(F.col("name").alias("a"), F.col("name").alias("b"))
-    total = members.agg(F.sum(weight).alias("n")).first()["n"] or 0
-    large = members.groupBy("block").agg(F.sum(weight).alias("bytes")).where(F.col("bytes") > TREE_BYTES)
+    weights = sets.select("name", (F.octet_length("tokens") + F.lit(64)).alias("weight"))
+    sizes = written(members.join(weights, "name").groupBy("block").agg(F.sum("weight").alias("bytes")), "sizes")
+    total = sizes.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+    large = sizes.where(F.col("bytes") > TREE_BYTES)
     large = large.select("block", F.ceil(F.col("bytes") * 2 / TREE_BYTES).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
     pairs = F.transform(
@@ -210,7 +210,8 @@ def _pairs_of_parts(members: DataFrame, percent: int) -> DataFrame:
     )
     dealt = members.join(large, "block", "left").select("*", F.explode(F.coalesce(pairs, F.array(F.lit(0)))).alias("part")).drop("parts")
     task = F.pmod(F.xxhash64("block", "part"), F.lit(pieces_of(total, TASK_BYTES, 8))).cast("int")
-    out = dealt.withColumn("task", task).groupBy("task").applyInArrow(_tree_kernel(percent, False), "name bigint, root bigint, before bigint")
+    filled = dealt.withColumn("task", task).join(sets, "name")
+    out = filled.groupBy("task").applyInArrow(_tree_kernel(percent, False), "name bigint, root bigint, before bigint")
     return out.where("root <> before").select(F.col("root").alias("a"), F.col("before").alias("b")).distinct()
 
 
