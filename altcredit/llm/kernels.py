@@ -196,7 +196,7 @@ def smallest_seeds(data: np.ndarray, offsets: np.ndarray, length: int, seed: int
     """Runs of windows of ``length`` bytes that select the same seed of ``seed`` bytes.
 
     A window selects its seed with the smallest hash, so equal windows select equal seeds. Gives the
-    first window of each run, the number of its windows and the hash of the seed; windows lie inside
+    first window of each run, the number of its windows, the seed's place and hash; windows lie inside
     one text. Takes ``step`` windows at a time, whatever the length of a text.
     """
     inside = np.ones(len(data), bool)
@@ -221,7 +221,7 @@ def smallest_seeds(data: np.ndarray, offsets: np.ndarray, length: int, seed: int
             have += move
         chosen = at + (((best[at] & low6).astype(np.int64) - at) & 63)
         new = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)))
-        out.append((at[new] + low, np.diff(np.append(new, len(at))), grams[chosen[new]]))
+        out.append((at[new] + low, np.diff(np.append(new, len(at))), chosen[new] + low, grams[chosen[new]]))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, U))
     return tuple(np.concatenate(x) for x in zip(*out))

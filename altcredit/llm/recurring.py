@@ -103,10 +103,6 @@ def received(table: pa.Table, narrow: bool = False) -> np.ndarray:
     return np.sort(np.concatenate(parts))
 
 
-RANGE = "bucket int, g int, keys binary, least binary, most binary"
-LOWER = "g int, keys binary, least binary"
-
-
 def range_of(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys with the smallest and the largest value of each."""
     if not len(keys):
@@ -117,9 +113,38 @@ def range_of(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.
     return keys[new], np.minimum.reduceat(least[order], new), np.maximum.reduceat(most[order], new)
 
 
-def send_range(g: int, buckets: int, keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> pa.Table:
+def packed_range(g: int, buckets: int, keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> pa.Table:
+    """Rows as ``pack`` makes them; the largest values only where they differ, numbers as short as they can be."""
     keys, least, most = range_of(keys, least, most)
-    return pack(g, (keys % np.uint64(buckets)).astype(np.int32), keys=keys, least=least, most=most)
+    table = pack(g, (keys % np.uint64(buckets)).astype(np.int32), keys=keys, least=least, most=most)
+    kept_least, kept_most = [], []
+    for low, high in zip(unpack(table["least"], least.dtype), unpack(table["most"], most.dtype)):
+        kept_least.append(_short(low).tobytes())
+        kept_most.append(np.packbits(high != low).tobytes() + _short(high[high != low]).tobytes())
+    return table.set_column(3, "least", pa.array(kept_least, pa.binary())).set_column(4, "most", pa.array(kept_most, pa.binary()))
+
+
+def _short(values: np.ndarray) -> np.ndarray:
+    """As 32-bit numbers, if all fit."""
+    fits = values.dtype == np.int64 and len(values) and values.min() >= -(2**31) and values.max() < 2**31
+    return values.astype(np.int32) if fits else values
+
+
+def _long(raw: bytes, n: int, dtype) -> np.ndarray:
+    return np.frombuffer(raw, np.int32 if n and len(raw) == 4 * n else dtype).astype(dtype)
+
+
+def unpacked_range(table: pa.Table, dtype=np.int64) -> tuple[list, list, list]:
+    """Keys, smallest and largest values of each row of ``packed_range``."""
+    keys, least, most = unpack(table["keys"]), [], []
+    for k, low, high in zip(keys, table["least"].to_pylist(), table["most"].to_pylist()):
+        least.append(_long(low, len(k), dtype))
+        marks = -(-len(k) // 8)
+        differ = np.unpackbits(np.frombuffer(high[:marks], np.uint8), count=len(k)).astype(bool)
+        value = least[-1].copy()
+        value[differ] = _long(high[marks:], int(differ.sum()), dtype)
+        most.append(value)
+    return keys, least, most
 
 
 def lower_than(sent: list[np.ndarray], least: list[np.ndarray], most: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -133,25 +158,27 @@ def lower_than(sent: list[np.ndarray], least: list[np.ndarray], most: list[np.nd
     return out
 
 
-def _lower(table: pa.Table) -> pa.Table:
-    parts = (unpack(table["keys"]), unpack(table["least"], np.int64), unpack(table["most"], np.int64))
-    keep = [(g, a.tobytes(), v.tobytes()) for g, (a, v) in zip(table["g"].to_pylist(), lower_than(*parts)) if len(a)]
-    g, keys, least = zip(*keep) if keep else ((), (), ())
-    return pa.table({"g": pa.array(g, pa.int32()), "keys": pa.array(keys, pa.binary()), "least": pa.array(least, pa.binary())})
-
-
-def lower(sent: DataFrame) -> DataFrame:
-    """For each group the smallest values of its fingerprints that it has with larger ones."""
-    return sent.groupBy("bucket").applyInArrow(_lower, LOWER)
-
-
 def received_least(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys, values = unpack(table["keys"]), unpack(table["least"], np.int64)
+    keys = unpack(table["keys"])
+    values = [_long(v, len(k), np.int64) for k, v in zip(keys, table["least"].to_pylist())]
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return range_of(np.concatenate(keys), *[np.concatenate(values)] * 2)[:2]
 
 
+def short_bytes(values: np.ndarray) -> bytes:
+    return _short(values).tobytes()
+
+
+def pairs_bytes(first: np.ndarray, second: np.ndarray) -> bytes:
+    """Two columns of numbers that fit 32 bits, as places inside a group do."""
+    return np.stack([first, second]).astype(np.int32).tobytes()
+
+
+def pairs(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int32).astype(np.int64).reshape(2, -1)
+
+
 def lookup(known: np.ndarray, values: np.ndarray, keys: np.ndarray, default: np.ndarray) -> np.ndarray:
     """The value known for each key, at most its default."""
     if not len(known) or not len(keys):

@@ -12,7 +12,9 @@ id. The texts stay in groups of a few megabytes; groups exchange fingerprints by
    region has no other occurrence of any of its windows.
 3. What remains are the first occurrences of regions whose seed has others too. Their suffix arrays are
    built by grouping (``suffix_order``), over strings of regions of one seed; neighbours that agree in
-   ``length`` bytes form a class with its smallest document, and classes of all groups are merged.
+   ``length`` bytes form a class with its smallest document, and classes of all groups are merged. A
+   group also sends itself the places it has decided and those still open, so that the last pass
+   finds no seeds again; the rows of a group are put in one order first.
 
 Strings are judged on the input. Ids must be integers. Defined results: a null id neither removes
 nor loses anything; equal ids don't remove from each other; null and empty texts have no bytes; an
@@ -24,13 +26,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from altcredit.llm import kernels as K
 from altcredit.llm import recurring as R
 from altcredit.llm import suffix_order
-from altcredit.llm.common import small_batches
+from altcredit.llm.common import small_batches, written
 
 NO_ID = np.iinfo(np.int64).max
 #: Bytes of one string, and of the strings whose suffix arrays are built together.
@@ -38,7 +39,21 @@ STRING_BYTES = 1 << 10
 BATCH_BYTES = 1 << 20
 SENT = "bucket int, g int, kind int, keys binary, least binary, most binary"
 ANSWER = "g int, kind int, keys binary, least binary"
-REGION, SEED, WINDOW = 0, 1, 2
+REGION, SEED, WINDOW, PLACES = range(4)
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    """A group's rows by id, equal ids by text, whatever order they arrive in."""
+    ids = _ids(table)
+    order = np.argsort(ids, kind="stable")
+    if (ids[order][1:] == ids[order][:-1]).any():
+        data, offsets = K.flat(table["text"])
+        order = np.lexsort((K.span_hashes(data, offsets[:-1], offsets[1:]), ids))
+    return table.take(pa.array(order))
+
+
+def _ids(table: pa.Table) -> np.ndarray:
+    return table["id"].combine_chunks().cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
 class _Group:
@@ -47,9 +62,8 @@ class _Group:
     def __init__(self, table: pa.Table, length: int, seed: int):
         self.length = length
         self.data, self.offsets = K.flat(table["text"])
-        self.start, self.count, self.seed = K.smallest_seeds(self.data, self.offsets, length, seed)
-        ids = table["id"].combine_chunks().cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        self.id = ids[np.searchsorted(self.offsets, self.start, "right") - 1]
+        self.start, self.count, _, self.seed = K.smallest_seeds(self.data, self.offsets, length, seed)
+        self.id = _ids(table)[np.searchsorted(self.offsets, self.start, "right") - 1]
         known = self.id != NO_ID
         self.start, self.count, self.seed, self.id = (a[known] for a in (self.start, self.count, self.seed, self.id))
 
@@ -78,28 +92,28 @@ def _seeds(g: int, buckets: int, texts: _Group) -> pa.Table:
 def _regions(g: int, buckets: int, texts: _Group, recurring: np.ndarray) -> pa.Table:
     own = K.member(recurring, R.codes(texts.seed, buckets))
     hashes = texts.regions(own)
-    part = lambda keys: (keys % np.uint64(buckets)).astype(np.int32)
-    keys, least, most = R.range_of(hashes, texts.id[own], texts.id[own])
-    seeds, low, high = R.range_of(texts.seed[own], hashes, hashes)
-    sent = (R.pack(g, part(keys), keys=keys, least=least, most=most), R.pack(g, part(seeds), keys=seeds, least=low, most=high))
+    sent = (R.packed_range(g, buckets, hashes, texts.id[own], texts.id[own]), R.packed_range(g, buckets, texts.seed[own], hashes, hashes))
     kinds = [t.append_column("kind", pa.array(np.full(len(t), k, np.int32))) for t, k in zip(sent, (REGION, SEED))]
     return pa.concat_tables(kinds).select(["bucket", "g", "kind", "keys", "least", "most"])
 
 
 def _resolve(table: pa.Table) -> pa.Table:
+    """A bucket's answers: smaller documents of regions and windows, seeds that have several regions."""
     kind = table["kind"].to_numpy()
     out: list[tuple] = []
-    regions = table.filter(pa.array(kind == REGION))
-    if len(regions):
-        found = R.lower_than(R.unpack(regions["keys"]), *(R.unpack(regions[c], np.int64) for c in ("least", "most")))
-        out += [(g, REGION, a.tobytes(), v.tobytes()) for g, (a, v) in zip(regions["g"].to_pylist(), found) if len(a)]
+    for k in (REGION, WINDOW):
+        rows = table.filter(pa.array(kind == k))
+        if len(rows):
+            found = R.lower_than(*R.unpacked_range(rows))
+            out += [(g, k, a.tobytes(), R.short_bytes(v)) for g, (a, v) in zip(rows["g"].to_pylist(), found) if len(a)]
     seeds = table.filter(pa.array(kind == SEED))
     if len(seeds):
-        keys = R.unpack(seeds["keys"])
-        known, low, high = R.range_of(*(np.concatenate(x) for x in (keys, R.unpack(seeds["least"]), R.unpack(seeds["most"]))))
+        keys, low, high = R.unpacked_range(seeds, np.uint64)
+        known, low, high = R.range_of(*(np.concatenate(x) for x in (keys, low, high)))
         several = known[low != high]
         answers = [(g, a[K.member(several, a)]) for g, a in zip(seeds["g"].to_pylist(), keys)]
         out += [(g, SEED, a.tobytes(), b"") for g, a in answers if len(a)]
+    out += [(r["g"], PLACES, r["keys"], r["least"]) for r in table.filter(pa.array(kind == PLACES)).to_pylist()]
     g, kinds, keys, least = zip(*out) if out else ((), (), (), ())
     return pa.table({"g": pa.array(g, pa.int32()), "kind": pa.array(kinds, pa.int32()), "keys": pa.array(keys, pa.binary()), "least": pa.array(least, pa.binary())})
 
@@ -134,7 +148,7 @@ def _classes(texts: _Group, which: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(keys), np.concatenate(least), np.concatenate(most)
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, seed: int = 16) -> DataFrame:
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, seed: int = 24) -> DataFrame:
     """Rows (id, kept, n_bytes, n_removed, n_spans[, row]): ``kept`` is the remaining bytes."""
     small_batches(docs.sparkSession)
     rows, groups = R.dealt(docs, key, text)
@@ -147,34 +161,40 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
         return _regions(key[0].as_py(), buckets, _Group(table, length, seed), R.received(found, narrow=True))
 
     def windows(key, table, found):
-        texts = _Group(table, length, seed)
+        g = key[0].as_py()
+        texts = _Group(_ordered(table), length, seed)
         hashes, least, several = texts.first_of(found)
-        own = np.flatnonzero(several & (texts.id == least))
+        gone = least < texts.id
+        own = np.flatnonzero(several & ~gone)
+        places = [R.pairs_bytes(texts.start[x], texts.count[x]) for x in (gone, own)]
+        rest = pa.table({"bucket": pa.array([buckets + g], pa.int32()), "g": pa.array([g], pa.int32()), "kind": pa.array([PLACES], pa.int32())}
+                        | {c: pa.array([v], pa.binary()) for c, v in zip(("keys", "least"), places)}
+                        | {"most": pa.array([b""], pa.binary())})
         own = own[np.sort(np.unique(hashes[own], return_index=True)[1])]
-        return R.send_range(key[0].as_py(), buckets, *_classes(texts, own))
+        sent = R.packed_range(g, buckets, *_classes(texts, own))
+        sent = sent.append_column("kind", pa.array(np.full(len(sent), WINDOW, np.int32)))
+        return pa.concat_tables([sent.select(rest.column_names), rest])
 
     def cut(key, table, found):
-        texts = _Group(table, length, seed)
-        _, least, several = texts.first_of(found)
-        gone = least < texts.id
-        whole = K.ranges(texts.start[gone], texts.count[gone])
-        some = np.flatnonzero(several & ~gone)
-        at = K.ranges(texts.start[some], texts.count[some])
-        owner = np.repeat(texts.id[some], texts.count[some])
-        hashes = K.span_hashes(texts.data, at, at + length)
-        lower = R.received_least(found.filter(pa.array(found["kind"].to_numpy() == WINDOW)))
-        part = at[R.lookup(*lower, hashes, owner) < owner]
-        removed = K.covered(np.concatenate([whole, part]), length, len(texts.data))
+        table = _ordered(table)
+        data, o = K.flat(table["text"])
+        ids = _ids(table)
+        kind = found["kind"].to_numpy()
+        places = found.filter(pa.array(kind == PLACES)).to_pylist()[0]
+        whole, at = (K.ranges(*R.pairs(places[c])) for c in ("keys", "least"))
+        owner = ids[np.searchsorted(o, at, "right") - 1]
+        lower = R.received_least(found.filter(pa.array(kind == WINDOW)))
+        part = at[R.lookup(*lower, K.span_hashes(data, at, at + length), owner) < owner]
+        removed = K.covered(np.concatenate([whole, part]), length, len(data))
         total = np.append(0, np.cumsum(removed))
         begins = removed.copy()
         begins[1:] &= ~removed[:-1]
-        border = texts.offsets[:-1][texts.offsets[:-1] < len(removed)]
+        border = o[:-1][o[:-1] < len(removed)]
         begins[border] = removed[border]
         spans = np.append(0, np.cumsum(begins))
-        o = texts.offsets
         out = {
             "id": table["id"],
-            "kept": K.texts(texts.data[~removed], o - total[o], pa.large_binary()).cast(pa.binary()),
+            "kept": K.texts(data[~removed], o - total[o], pa.large_binary()).cast(pa.binary()),
             "n_bytes": pa.array(np.diff(o)),
             "n_removed": pa.array(np.diff(total[o])),
             "n_spans": pa.array(np.diff(spans[o])),
@@ -187,7 +207,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     by = rows.groupBy("g")
     recurring = R.answers(by.applyInArrow(seeds, R.SENT), narrow=True)
     asked = by.cogroup(recurring.groupBy("g")).applyInArrow(regions, SENT)
-    resolved = asked.groupBy("bucket").applyInArrow(_resolve, ANSWER)
-    lower = R.lower(by.cogroup(resolved.groupBy("g")).applyInArrow(windows, R.RANGE))
-    both = resolved.unionByName(lower.withColumn("kind", F.lit(WINDOW)))
-    return by.cogroup(both.groupBy("g")).applyInArrow(cut, schema)
+    # What the first two passes shuffled goes before the texts are shuffled for the last two.
+    resolved = written(asked.groupBy("bucket").applyInArrow(_resolve, ANSWER), "regions")
+    sent = by.cogroup(resolved.groupBy("g")).applyInArrow(windows, SENT)
+    final = sent.groupBy("bucket").applyInArrow(_resolve, ANSWER)
+    return by.cogroup(final.groupBy("g")).applyInArrow(cut, schema)

@@ -41,14 +41,15 @@ def suffix_arrays(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     before = np.arange(-1, n - 1)
-    _group_by_lyndon_prefix(char, first[1:], length[1:], order, group, size, place, before)
+    mark = np.zeros(n, bool)
+    _group_by_lyndon_prefix(char, first[1:], length[1:], order, group, size, place, before, mark)
     out = _emit(char, first[1:], length[1:], group, before)
     # Without the marks, in places of ``data``.
     keep = out[K.ranges(low + 1, sizes)]
     return keep - np.repeat(np.arange(1, strings + 1), sizes)
 
 
-def _group_by_lyndon_prefix(char, first, length, order, group, size, place, before) -> None:
+def _group_by_lyndon_prefix(char, first, length, order, group, size, place, before, mark) -> None:
     end = first + length
     while True:
         live = np.flatnonzero(end > first + 1)
@@ -61,7 +62,7 @@ def _group_by_lyndon_prefix(char, first, length, order, group, size, place, befo
         pointed = before[members]
         pointed, pointers = np.unique(pointed[char[pointed] > 0], return_counts=True)
         if len(pointed):
-            _split(pointed, pointers, order, group, size, place)
+            _split(pointed, pointers, order, group, size, place, mark)
 
 
 def _point_back(members, group, before) -> None:
@@ -72,7 +73,7 @@ def _point_back(members, group, before) -> None:
         before[members] = before[before[members]]
 
 
-def _split(pointed, pointers, order, group, size, place) -> None:
+def _split(pointed, pointers, order, group, size, place, mark) -> None:
     """Moves suffixes to new groups above their old one, ordered by the number of pointers."""
     old = group[pointed]
     sort = np.lexsort((pointers, old))
@@ -85,8 +86,9 @@ def _split(pointed, pointers, order, group, size, place) -> None:
     at = place[pointed]
     free = at[at < np.repeat(top, moved)]
     there = order[target]
-    stays = np.ones(len(there), bool)
-    stays[np.isin(there, pointed)] = False
+    mark[pointed] = True
+    stays = ~mark[there]
+    mark[pointed] = False
     order[free], place[there[stays]] = there[stays], free
     order[target], place[pointed] = pointed, target
     new = np.flatnonzero(head | np.append(True, pointers[1:] != pointers[:-1]))
