@@ -15,6 +15,8 @@ from altcredit.llm import kernels as K
 
 MARK = "▁"
 MODEL_BYTES = 64 << 20
+#: normalizer_spec { add_dummy_prefix: false }
+NO_DUMMY_PREFIX = bytes([0x1A, 2, 0x18, 0])
 
 
 def read_model(path: str) -> bytes:
@@ -31,11 +33,12 @@ class Vocabulary:
     def __init__(self, model: bytes):
         import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        size, of = self.library.get_piece_size(), self.library
-        if of.encode(f" a  {MARK}béé", out_type=str) and of.decode(of.encode(" a  b é")) != " a  b é":
+        of = sentencepiece.SentencePieceProcessor(model_proto=model)
+        if of.decode(of.encode(" a  b\u00e9e\u0301 ")) != " a  b\u00e9e\u0301 ":
             raise ValueError("the model rewrites characters or drops white space")
-        of.override_normalizer_spec(add_dummy_prefix=False)
+        # A later value of a field in a serialised message replaces the earlier one.
+        of = self.library = sentencepiece.SentencePieceProcessor(model_proto=model + NO_DUMMY_PREFIX)
+        size = of.get_piece_size()
         self.byte_id = np.full(256, -1, np.int32)
         self.bytes: list[bytes] = []
         normal = np.zeros(size, bool)
@@ -63,7 +66,9 @@ def marked(column) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.replace_substring(column.fill_null("").cast(pa.large_utf8()), MARK, " ")
-    return K.flat(pc.if_else(pc.equal(pc.binary_length(column), 0), column, pc.binary_join_element_wise(" ", column, "")))
+    space, nothing = pa.scalar(" ", pa.large_utf8()), pa.scalar("", pa.large_utf8())
+    led = pc.binary_join_element_wise(space, column, nothing)
+    return K.flat(pc.if_else(pc.equal(pc.binary_length(column), 0), column, led))
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, joint: np.ndarray) -> tuple[pa.Array, np.ndarray]:

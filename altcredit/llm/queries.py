@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from altcredit.llm import decontamination, ngram_jaccard, quality, sharding, substring_dedup, suffix_dedup
+from altcredit.llm import (
+    decontamination,
+    language_id,
+    ngram_jaccard,
+    quality,
+    sentencepiece_viterbi,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+)
 from altcredit.llm.common import utf8_bytes
 
 
@@ -15,11 +25,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def model_path() -> str:
+    """The public SentencePiece model of the registered queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def fold(divisor: int):
+    """Remainder of the CRC-32 of the document's id as text; -1 without an id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor, F.lit(-1))
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_jaccard.jaccard_components(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.token_counts(documents(spark, sf_dir).select("doc_id", "text"), model_path())
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
@@ -51,6 +78,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = language_id.identified(docs, (fold(3) != 1) & (fold(3) >= 0))
+    return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     rules = quality.order(quality.RULES, quality.measure(docs, "text"))
@@ -67,13 +100,29 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = sentencepiece_viterbi.encoded(documents(spark, sf_dir).select("doc_id", "text"), model_path())
+    back = sentencepiece_viterbi.decoded(ids, model_path())
+    return back.select(
+        "doc_id",
+        utf8_bytes("text").alias("n_bytes"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.col("decoded") == F.col("text"), F.col("decoded") == "").alias("round_trip"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_token_counts": op2_token_counts,
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
     "op9_substring": op9_substring,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 #: Lower case for A-Z only.

@@ -35,8 +35,8 @@ def frequent_segments(docs: DataFrame, text: str, model, per_task: int, frequent
         seen: dict[bytes, int] = {}
         for table in K.gathered(batches):
             found = P.segments(*P.marked(table["text"]), joint)[0].value_counts()
-            top = pc.select_k_unstable(found, k=min(len(found), 2 * per_task), sort_keys=[("counts", "descending")])
-            for row in found.take(top).to_pylist():
+            order = np.argsort(-found.field("counts").to_numpy(), kind="stable")[: 2 * per_task]
+            for row in found.take(pa.array(order)).to_pylist():
                 seen[row["values"]] = seen.get(row["values"], 0) + row["counts"]
             if len(seen) > 8 * per_task:
                 seen = dict(sorted(seen.items(), key=lambda x: -x[1])[: 4 * per_task])
