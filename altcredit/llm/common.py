@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: One or more of these separates words: space, tab, line feed, vertical tab, form feed, return.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -72,3 +73,14 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def packed(docs: DataFrame, **columns: str) -> DataFrame:
+    """The named columns under new names, and the whole input row as struct ``row``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()], row)
+
+
+def schema(frame: DataFrame, names: list[str], ddl: str) -> StructType:
+    """Fields of a frame as they are, then those of a DDL string."""
+    return StructType([frame.schema[n] for n in names] + StructType.fromDDL(ddl).fields)

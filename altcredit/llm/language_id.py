@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altcredit.llm import kernels as K
-from altcredit.llm.common import small_batches
+from altcredit.llm.common import packed, schema, small_batches
 
 MAX_LANGUAGES = 1000
 SLICE = 1 << 20
@@ -172,7 +172,5 @@ def identified(
             answer = np.where(known, np.array(names or [UNKNOWN], object)[best], UNKNOWN)
             yield from pa.table({"row": rows["row"], "language": pa.array(answer, pa.string()), "score": value}).to_batches()
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(F.col(text).alias("text"), row.alias("row"))
-    kind = f"row {packed.schema['row'].dataType.simpleString()}, language string, score double"
-    return packed.mapInArrow(predict, kind).select("row.*", F.col("language").alias(out), F.col("score").alias(score))
+    rows = packed(docs, text=text)
+    return rows.mapInArrow(predict, schema(rows, ["row"], "language string, score double")).select("row.*", F.col("language").alias(out), F.col("score").alias(score))

@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from altcredit.llm import kernels as K
 from altcredit.llm import recurring as R
 from altcredit.llm import signature_tree as T
-from altcredit.llm.common import pieces_of, small_batches, written
+from altcredit.llm.common import pieces_of, schema, small_batches, written
 
 #: Bytes of tokens in one tree, and in one task.
 TREE_BYTES = 32 << 20
 TASK_BYTES = 16 << 20
-SETS = "at bigint, size bigint, name bigint, block bigint, tokens binary"
+SETS = "size bigint, name bigint, block bigint, tokens binary"
 
 
 def _sets(column, n: int):
@@ -76,7 +76,10 @@ def _candidates(grams, begin, recurs, percent):
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """Rows (id, n_shingles, component, row), one for each document; ``row`` as in ``recurring.dealt``."""
+    """Rows (id, n_shingles, component, root[, row]), one for each document; ``row`` as in ``recurring.dealt``.
+
+    ``root`` is a number that the documents of a component share; null for one without any link.
+    """
     small_batches(docs.sparkSession)
     rows, groups = R.dealt(docs, key, text)
     buckets = R.buckets_of(groups)
@@ -84,6 +87,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def grams_of(key, table):
         return R.send(key[0].as_py(), buckets, R.codes(_sets(table["text"], n)[0], buckets), narrow=True)
 
+    fields = [f.name for f in rows.schema.fields if f.name in ("id", "row")]
+
     def sets_of(key, table, found):
         grams, begin, name = _sets(table["text"], n)
         size = np.diff(begin)
@@ -98,29 +103,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         tokens = [recurring[of[i] : of[i + 1]].tobytes() if h else None for i, h in enumerate(holds.tolist())]
         block = [np.frombuffer(t[:8], np.int64)[0] if t else None for t in tokens]
         out = {
-            "at": pa.array(np.arange(len(size))),
             "size": pa.array(size),
             "name": pa.array(name.view(np.int64), mask=~enough),
             "block": pa.array(block, pa.int64()),
             "tokens": pa.array(tokens, pa.binary()),
-            "id": table["id"],
         }
-        return pa.table(out | ({"row": table["row"]} if "row" in table.column_names else {}))
+        return pa.table({name: table[name] for name in fields} | out)
 
     by = rows.groupBy("g")
     found = R.answers(by.applyInArrow(grams_of, R.SENT), narrow=True)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in ("id", "row"))
-    made = written(by.cogroup(found.groupBy("g")).applyInArrow(sets_of, f"{SETS}, {fields}"), "sets")
+    made = written(by.cogroup(found.groupBy("g")).applyInArrow(sets_of, schema(rows, fields, SETS)), "sets")
     sets = written(made.where("tokens is not null").select("name", "size", "block", "tokens").dropDuplicates(["name"]), "distinct")
     linked = written(_linked_in_blocks(sets, percent), "trees")
     roots = _components(_links_between(sets, linked, linked.select("name", "root"), percent, one_each=True), linked.select("name", "root"))
     merged = _components(_links_between(sets, linked, roots, percent, one_each=False), roots)
     ids = made.where("name is not null").groupBy("name").agg(F.min("id").alias("least"))
     least = ids.join(merged, "name").groupBy("root").agg(F.min("least").alias("component"))
-    names = merged.join(least, "root").select("name", "component")
+    names = merged.join(least, "root").select("name", "root", "component")
     keep = [c for c in ("row",) if c in made.columns]
     return made.join(names, "name", "left").select(
-        "id", F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component"), *keep
+        "id", F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component"), "root", *keep
     )
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from altcredit.llm import kernels as K
 from altcredit.llm import pieces as P
-from altcredit.llm.common import small_batches
+from altcredit.llm.common import packed, schema, small_batches
 
 UNKNOWN_PENALTY = 10.0
 #: Segments are searched this many bytes at a time.
@@ -140,10 +140,8 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "id
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield from pa.table({"row": rows["row"], "ids": lists}).to_batches()
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(F.col(text).alias("text"), row.alias("row"))
-    kind = f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>"
-    return packed.mapInArrow(encode, kind).select("row.*", F.col("ids").alias(ids))
+    rows = packed(docs, text=text)
+    return rows.mapInArrow(encode, schema(rows, ["row"], "ids array<int>")).select("row.*", F.col("ids").alias(ids))
 
 
 def decoded(frame: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -168,7 +166,5 @@ def decoded(frame: DataFrame, model_path: str, ids: str = "ids", text: str = "de
             moved = np.append(0, np.cumsum(keep))
             yield from pa.table({"row": rows["row"], "text": K.texts(out[keep], moved[offsets]).cast(pa.string())}).to_batches()
 
-    row = F.struct(*[F.col(f"`{c}`") for c in frame.columns])
-    packed = frame.select(F.col(ids).alias("ids"), row.alias("row"))
-    kind = f"row {packed.schema['row'].dataType.simpleString()}, text string"
-    return packed.mapInArrow(decode, kind).select("row.*", F.col("text").alias(text))
+    rows = packed(frame, ids=ids)
+    return rows.mapInArrow(decode, schema(rows, ["row"], "text string")).select("row.*", F.col("text").alias(text))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -36,8 +37,13 @@ def _windows(table: pa.Table, window: int, seed: int):
     return (data, offsets, starts, ends, first), words, valid, runs, at
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, seed: int = 8) -> DataFrame:
-    """Rows (id, kept, n_words, n_removed[, row]): ``kept`` is the kept words, one space between."""
+def substring_dedup(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, seed: int = 8, whole: bool = False
+) -> DataFrame:
+    """Rows (id, kept, n_words, n_removed[, row]): ``kept`` is the kept words, one space between.
+
+    With ``whole`` a text that loses nothing is kept as it is, white space included.
+    """
     small_batches(docs.sparkSession)
     rows, groups = R.dealt(docs, key, text)
     buckets = R.buckets_of(groups)
@@ -60,7 +66,10 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         gone = K.covered(valid[K.member(repeated, hashes[valid])], window, len(words)) if len(valid) else np.zeros(len(words), bool)
         kept, bounds = K.joined_words(data, offsets, starts, ends, first, ~gone)
         lost = np.concatenate([[0], np.cumsum(gone)])[first]
-        out = {"id": table["id"], "kept": K.texts(kept, bounds).cast(pa.string()), "n_words": pa.array(np.diff(first)), "n_removed": pa.array(np.diff(lost))}
+        kept = K.texts(kept, bounds).cast(pa.string())
+        if whole:
+            kept = pc.if_else(pa.array(np.diff(lost) > 0), kept, table["text"].combine_chunks().cast(pa.string()))
+        out = {"id": table["id"], "kept": kept, "n_words": pa.array(np.diff(first)), "n_removed": pa.array(np.diff(lost))}
         return pa.table(out | ({"row": table["row"]} if "row" in table.column_names else {}))
 
     schema = StructType([StructField("id", rows.schema["id"].dataType), StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])

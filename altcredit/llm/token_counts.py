@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from altcredit.llm import kernels as K
 from altcredit.llm import pieces as P
-from altcredit.llm.common import small_batches, utf8_bytes
+from altcredit.llm.common import packed, schema, small_batches, utf8_bytes
 
 CACHE_ENTRIES = 400_000
 
@@ -76,12 +76,11 @@ def token_counts(
                 missing = np.flatnonzero(at == len(known))
                 size[missing] = _misses(coded.dictionary.take(pa.array(missing)).to_pylist(), cache, words.library)
                 np.cumsum(size[coded.indices.to_numpy()], out=total[1:])
-            yield from pa.table({"row": rows["row"], n_tokens: pa.array(total[first[1:]] - total[first[:-1]])}).to_batches()
+            yield from pa.table({"row": rows["row"], "n_tokens": pa.array(total[first[1:]] - total[first[:-1]])}).to_batches()
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(F.col(text).alias("text"), row.alias("row"))
-    counted = packed.mapInArrow(count, f"row {packed.schema['row'].dataType.simpleString()}, `{n_tokens}` bigint")
-    return counted.select("row.*", n_tokens).withColumn(n_bytes, utf8_bytes(text))
+    rows = packed(docs, text=text)
+    counted = rows.mapInArrow(count, schema(rows, ["row"], "n_tokens bigint"))
+    return counted.select("row.*", F.col("n_tokens").alias(n_tokens)).withColumn(n_bytes, utf8_bytes(text))
 
 
 def _misses(wanted: list[bytes], cache: dict[bytes, int], library) -> list[int]:
