@@ -84,3 +84,9 @@ def packed(docs: DataFrame, **columns: str) -> DataFrame:
 def schema(frame: DataFrame, names: list[str], ddl: str) -> StructType:
     """Fields of a frame as they are, then those of a DDL string."""
     return StructType([frame.schema[n] for n in names] + StructType.fromDDL(ddl).fields)
+
+
+def unpacked(frame: DataFrame, docs: DataFrame, **columns: Column) -> DataFrame:
+    """The input's columns out of ``row`` and new ones; an input column of a new one's name is replaced."""
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in columns]
+    return frame.select(*kept, *[c.alias(name) for name, c in columns.items()])

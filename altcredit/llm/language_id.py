@@ -14,7 +14,8 @@ are refused.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; equal distances go to
 the first language in alphabetical order; documents without a language are predicted but not learned
-from; without any training document every document is ``und``; other columns are kept.
+from; without any training document every document is ``und``; other columns are kept, and
+an input column with the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altcredit.llm import kernels as K
-from altcredit.llm.common import packed, schema, small_batches
+from altcredit.llm.common import packed, schema, small_batches, unpacked
 
 MAX_LANGUAGES = 1000
 SLICE = 1 << 20
@@ -173,4 +174,5 @@ def identified(
             yield from pa.table({"row": rows["row"], "language": pa.array(answer, pa.string()), "score": value}).to_batches()
 
     rows = packed(docs, text=text)
-    return rows.mapInArrow(predict, schema(rows, ["row"], "language string, score double")).select("row.*", F.col("language").alias(out), F.col("score").alias(score))
+    found = rows.mapInArrow(predict, schema(rows, ["row"], "language string, score double"))
+    return unpacked(found, docs, **{out: F.col("language"), score: F.col("score")})

@@ -7,9 +7,9 @@ first that rejects. The order changes the work, never the verdict.
 
 Defined results: a null text has no words and no lines (all counts 0) and is rejected; an empty
 table gives an empty result and keeps the declared order; copies get equal results; columns of
-the input are kept whatever their names, as the statistics are computed in one struct column
-whose name the caller may choose. There is no bound on the length of a text: the costliest
-statistic sorts the three-word windows of a text, nothing is compared pairwise.
+the input are kept, and one with the name of a result (the caller may choose it) is replaced. There
+is no bound on the length of a text: the costliest statistic sorts the three-word windows of a text,
+nothing is compared pairwise.
 """
 
 from __future__ import annotations
@@ -104,12 +104,13 @@ def measure(docs: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_ro
     """Cost and selectivity of each rule on a sample of about ``sample_rows`` rows.
 
     The sample decides the order of the rules and nothing else. It is written to the shared
-    checkpoint folder once, so that each rule is timed on its own over the same rows.
+    checkpoint folder once, so that each rule is timed on its own over the same rows. Drawing it reads
+    the texts once in parallel; one task gets the sampled rows.
     """
     checkpoint_folder(docs.sparkSession)
     rows = docs.count()
     part = docs.select(text_of(text).alias("text")).sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=seed)
-    part = part.coalesce(1).select("text", words_of("text").alias("words")).checkpoint()
+    part = part.repartition(1).select("text", words_of("text").alias("words")).checkpoint()
     size = part.count()
     found = []
     for rule in rules:

@@ -13,7 +13,7 @@ but not always the ids that merging gives. ``decoded`` inverts ``encoded`` exact
 character itself, which the format can't tell from a space.
 
 Defined results: null and empty texts have no ids and decode to empty texts; an empty table gives
-an empty result; other columns are kept whatever their names.
+an empty result; other columns are kept, and an input column with the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from altcredit.llm import kernels as K
 from altcredit.llm import pieces as P
-from altcredit.llm.common import packed, schema, small_batches
+from altcredit.llm.common import packed, schema, small_batches, unpacked
 
 UNKNOWN_PENALTY = 10.0
 #: Segments are searched this many bytes at a time.
@@ -141,7 +141,7 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "id
             yield from pa.table({"row": rows["row"], "ids": lists}).to_batches()
 
     rows = packed(docs, text=text)
-    return rows.mapInArrow(encode, schema(rows, ["row"], "ids array<int>")).select("row.*", F.col("ids").alias(ids))
+    return unpacked(rows.mapInArrow(encode, schema(rows, ["row"], "ids array<int>")), docs, **{ids: F.col("ids")})
 
 
 def decoded(frame: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -167,4 +167,4 @@ def decoded(frame: DataFrame, model_path: str, ids: str = "ids", text: str = "de
             yield from pa.table({"row": rows["row"], "text": K.texts(out[keep], moved[offsets]).cast(pa.string())}).to_batches()
 
     rows = packed(frame, ids=ids)
-    return rows.mapInArrow(decode, schema(rows, ["row"], "text string")).select("row.*", F.col("text").alias(text))
+    return unpacked(rows.mapInArrow(decode, schema(rows, ["row"], "text string")), frame, **{text: F.col("text")})

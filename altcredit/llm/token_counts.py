@@ -9,7 +9,8 @@ the task's cache while that has room. No segment is shuffled but those reports;
 cache only save work, the counts are the library's for any size of either.
 
 Defined results: null and empty texts have no bytes and no tokens; special strings inside a text
-are ordinary text; an empty table gives an empty result; other columns are kept.
+are ordinary text; an empty table gives an empty result; other columns
+are kept, and an input column with the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from altcredit.llm import kernels as K
 from altcredit.llm import pieces as P
-from altcredit.llm.common import packed, schema, small_batches, utf8_bytes
+from altcredit.llm.common import packed, schema, small_batches, unpacked, utf8_bytes
 
 CACHE_ENTRIES = 400_000
 
@@ -80,7 +81,7 @@ def token_counts(
 
     rows = packed(docs, text=text)
     counted = rows.mapInArrow(count, schema(rows, ["row"], "n_tokens bigint"))
-    return counted.select("row.*", F.col("n_tokens").alias(n_tokens)).withColumn(n_bytes, utf8_bytes(text))
+    return unpacked(counted, docs, **{n_bytes: utf8_bytes(f"row.`{text}`"), n_tokens: F.col("n_tokens")})
 
 
 def _misses(wanted: list[bytes], cache: dict[bytes, int], library) -> list[int]:

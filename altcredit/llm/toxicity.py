@@ -18,7 +18,8 @@ that have none. Only the text enters a score.
 
 Defined results: null and empty texts score like texts without a known word; without labelled rows of
 both classes all documents score alike; labels of documents that don't exist, null labels and repeated
-label rows do no harm; an empty table gives an empty result; other columns are kept.
+label rows do no harm; an empty table gives an empty result; other columns are kept, and an
+input column with the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from altcredit.llm import kernels as K
 from altcredit.llm import language_id as N
-from altcredit.llm.common import packed, schema, small_batches, written
+from altcredit.llm.common import packed, schema, small_batches, unpacked, written
 
 MAX_FEATURES = 50_000
 PREFIXES = (4, 5, 6)
@@ -275,7 +276,7 @@ def scored(
     absent = (missed + 0.5) / (missed + clean + 10)
     slope, start = logistic(seen.total.to_numpy(float)[hit], label[hit], weight[hit])
     value = F.when(F.col("number") > 0, 1 / (1 + F.exp(-(F.col("total") * F.lit(slope) + F.lit(start))))).otherwise(F.lit(absent))
-    return matched(docs).select("row.*", value.alias(score))
+    return unpacked(matched(docs), docs, **{score: value})
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> tuple[float, float]:

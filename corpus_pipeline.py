@@ -64,7 +64,8 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     packed = docs.select(F.col("text").alias("text"), F.struct(*rest).alias("rest"))
     ids = sentencepiece_viterbi.encoded(packed, model_path()).drop("text")
     back = sentencepiece_viterbi.decoded(ids, model_path(), text="text")
-    return back.select("rest.*", "text", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    kept = [F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in ("text", "ids", "n_tokens")]
+    return back.select(*kept, "text", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
 STAGES = [
