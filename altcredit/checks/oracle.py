@@ -93,7 +93,7 @@ cte(
   CAST(sum({cents('o_totalprice * 18e-2')}) AS BIGINT) AS tax,
   CAST(max(o_orderdate) AS DATE) AS filing_date,
   bool_or(o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') AS is_delayed
-FROM orders WHERE o_custkey % 5 <> 0 GROUP BY ALL""",
+FROM orders GROUP BY ALL""",
 )
 cte(
     "ol_t",
@@ -115,7 +115,7 @@ FROM (SELECT customer_id, k, y, m,
   max({cents('greatest(c_acctbal, 0e0) * 3')}) AS adb,
   CAST(count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber = 1) AS INTEGER) AS cheques,
   CAST(coalesce(sum({cents('l_extendedprice')}) FILTER (l_linenumber = 7), 0) AS BIGINT) AS cash
-FROM ol_t WHERE k % 11 <> 0 GROUP BY ALL)""",
+FROM ol_t GROUP BY ALL)""",
 )
 cte(
     "epfo_t",
@@ -125,17 +125,17 @@ FROM (SELECT customer_id, k, y, m, CAST(count(*) AS INTEGER) AS heads,
   bool_or(l_returnflag = 'R' AND l_linestatus = 'O' AND l_linenumber = 6) AS late,
   CAST(count(*) FILTER (l_returnflag = 'R' AND l_linenumber = 5) AS INTEGER) AS churn,
   CAST(max(l_shipdate) AS DATE) AS contribution_date
-FROM ol_t WHERE k % 7 <> 0 GROUP BY ALL)""",
+FROM ol_t GROUP BY ALL)""",
 )
 cte(
     "upi_t",
     f"""SELECT *, collections // txns AS ticket, dayname(d) AS dow
 FROM (SELECT CAST(c AS VARCHAR) AS customer_id, c AS k,
   CAST(DATE '2024-01-01' + CAST(dayofyear(l_shipdate) - 1 AS INTEGER) AS DATE) AS d,
-  CAST(sum(CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 0 ELSE
+  CAST(sum(CASE WHEN (l_returnflag = 'R' AND l_linenumber = 1) OR l_linenumber > 1 + c % 7 THEN 0 ELSE
     {cents('l_quantity * (100 + ((l_extendedprice % 1000) * (c % 5)) / 20e0)')} END) AS BIGINT) AS collections,
   CAST(sum(CAST(l_quantity AS INTEGER)) AS INTEGER) AS txns
-FROM (SELECT *, l_suppkey // 2 AS c FROM lineitem) WHERE l_linenumber <= 1 + c % 7 GROUP BY ALL)""",
+FROM (SELECT *, l_suppkey // 2 AS c FROM lineitem) GROUP BY ALL)""",
 )
 cte(
     "customers_t",
@@ -272,10 +272,10 @@ FROM upi_s{s}""",
   a.* EXCLUDE (customer_id, card), a.customer_id IS NOT NULL AS aa_available,
   e.* EXCLUDE (customer_id, card), e.customer_id IS NOT NULL AS epfo_available
 FROM customers_t c CROSS JOIN {cards} d
-LEFT JOIN gst_r{s} g ON g.customer_id = c.customer_id AND g.card = d.card
+LEFT JOIN gst_r{s} g ON g.customer_id = c.customer_id AND g.card = d.card AND c.k % 5 <> 0
 LEFT JOIN upi_r{s} u ON u.customer_id = c.customer_id AND u.card = d.card
-LEFT JOIN aa_r{s} a ON a.customer_id = c.customer_id AND a.card = d.card
-LEFT JOIN epfo_r{s} e ON e.customer_id = c.customer_id AND e.card = d.card""",
+LEFT JOIN aa_r{s} a ON a.customer_id = c.customer_id AND a.card = d.card AND c.k % 11 <> 0
+LEFT JOIN epfo_r{s} e ON e.customer_id = c.customer_id AND e.card = d.card AND c.k % 7 <> 0""",
     )
     staff = div("e_last - e_first", "e_first")
     pairs = {
@@ -757,17 +757,22 @@ oracle(
     " UNION ALL ".join(
         f"SELECT customer_id, count(*) AS row_count, '{name}' AS table_name FROM {source} "
         "WHERE customer_id NOT IN (SELECT customer_id FROM customers_t WHERE k % 50 <> 0) GROUP BY ALL"
-        for name, source in (("gst_filings", "gst_t"), ("upi_transactions", "upi_t"))
+        for name, source in (("gst_filings", "gst_t"), ("upi_transactions", "upi_t"),
+                             ("bank_statements", "bank_t"), ("epfo_payroll", "epfo_t"))
     ),
 )
 oracle(
     "blocked_orphans",
-    """SELECT 'gst_filings.json' AS source_file, 'gst_filings' AS table_name, record_id AS record_identifier,
+    " UNION ALL ".join(
+        f"""SELECT '{t}.json' AS source_file, '{t}' AS table_name, record_id AS record_identifier,
   CAST(i - 1 AS INTEGER) AS position, found[i] AS error_reason
-FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT *,
+FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT *, list_concat(warnings,
   CASE WHEN len(blocking) = 0 AND CAST(customer_id AS BIGINT) % 50 = 0
-    THEN ['violates constraint: customer_id references customers']
-    ELSE list_concat(warnings, blocking) END AS found FROM checked_gst_filings))""",
+    THEN ['violates constraint: customer_id references customers'] ELSE blocking END) AS found
+FROM checked_{t}))"""
+        for t in INGEST
+        if t != "customers"
+    ),
 )
 cte(
     "batch_t",
@@ -776,8 +781,8 @@ cte(
 )
 oracle(
     "duplicate_keys",
-    "SELECT customer_id, y AS year, m AS month, count(*) AS row_count FROM batch_t "
-    "GROUP BY ALL HAVING count(*) > 1",
+    "SELECT customer_id, y AS year, m AS month, count(*) AS row_count FROM (SELECT *, "
+    "unnest(CASE WHEN m % 2 = 0 THEN [1, 2] ELSE [1] END) FROM gst_t) GROUP BY customer_id, y, m HAVING count(*) > 1",
 )
 cte("stored_t", "SELECT * FROM gst_t WHERE k % 7 <> 0")
 cte(
@@ -923,10 +928,10 @@ LABEL = "strftime(make_date(y, m, 1), '%b %Y') AS label"
 oracle(
     "revenue_trend",
     f"""SELECT customer_id, y AS year, m AS month, {LABEL}, {rnd('CAST(sales AS DOUBLE) / 1e2', 2)} AS value,
-  'gst_sales' AS series FROM gst_t
+  'gst_sales' AS series FROM gst_t WHERE k % 5 <> 0
 UNION ALL SELECT customer_id, y, m, {LABEL}, {rnd('CAST(total AS DOUBLE) / 1e2', 2)}, 'upi_collections'
 FROM (SELECT customer_id, CAST(year(d) AS INTEGER) AS y, CAST(month(d) AS INTEGER) AS m, sum(collections) AS total FROM upi_t
-  WHERE customer_id NOT IN (SELECT customer_id FROM gst_t) GROUP BY ALL)""",
+  WHERE customer_id NOT IN (SELECT customer_id FROM gst_t WHERE k % 5 <> 0) GROUP BY ALL)""",
 )
 oracle(
     "headcount_trend",
@@ -952,9 +957,9 @@ oracle(
   strftime(CASE WHEN is_gst_registered THEN g.first_month WHEN u.first_month IS NOT NULL THEN u.first_month
     WHEN is_epfo_available THEN e.first_month END, '%b %Y') AS first_month
 FROM facts_t f
-LEFT JOIN (SELECT customer_id, min(make_date(y, m, 1)) AS first_month FROM gst_t GROUP BY ALL) g ON g.customer_id = f.customer_id
+LEFT JOIN (SELECT customer_id, min(make_date(y, m, 1)) AS first_month FROM gst_t WHERE k % 5 <> 0 GROUP BY ALL) g ON g.customer_id = f.customer_id
 LEFT JOIN (SELECT customer_id, min(date_trunc('month', d)) AS first_month FROM upi_t GROUP BY ALL) u ON u.customer_id = f.customer_id
-LEFT JOIN (SELECT customer_id, min(make_date(y, m, 1)) AS first_month FROM epfo_t GROUP BY ALL) e ON e.customer_id = f.customer_id""",
+LEFT JOIN (SELECT customer_id, min(make_date(y, m, 1)) AS first_month FROM epfo_t WHERE k % 7 <> 0 GROUP BY ALL) e ON e.customer_id = f.customer_id""",
 )
 
 # --- listings -----------------------------------------------------------------------------

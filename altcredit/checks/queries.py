@@ -306,27 +306,40 @@ def load_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vd.load_status(vd.load_counts(_union(parts), ("table_name", "source_file")))
 
 
+CHILD_TABLES = {
+    "gst_filings": v.gst_filings,
+    "upi_transactions": v.upi_transactions,
+    "bank_statements": v.bank_statements,
+    "epfo_payroll": v.epfo_payroll,
+}
+
+
 @query
 def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = v.registered_customers(spark, sf_dir)
-    tables = {
-        "gst_filings": v.gst_filings(spark, sf_dir),
-        "upi_transactions": v.upi_transactions(spark, sf_dir),
-    }
     return _union(
         [
-            vd.orphans(rows, known).withColumn("table_name", F.lit(name))
-            for name, rows in tables.items()
+            vd.orphans(rows(spark, sf_dir), known).withColumn("table_name", F.lit(name))
+            for name, rows in CHILD_TABLES.items()
         ]
     )
 
 
 @query
 def blocked_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error rows of the GST feed when loaded against an incomplete customer master."""
-    checked = _checked(spark, sf_dir, "gst_filings")
-    flagged = vd.block_orphans(checked, v.registered_customers(spark, sf_dir))
-    return vd.error_rows(flagged, "gst_filings", F.lit("gst_filings.json"))
+    """Error rows of the child feeds when loaded against an incomplete customer master."""
+    known = v.registered_customers(spark, sf_dir)
+    parts = []
+    for name in CHILD_TABLES:
+        flagged = vd.block_orphans(_checked(spark, sf_dir, name), known)
+        parts.append(vd.error_rows(flagged, name, F.lit(f"{name}.json")))
+    return _union(parts)
+
+
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """Even months twice, as deliveries 1 and 2."""
+    copies = F.when(F.col("month") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select("*", F.explode(copies).alias("ordinal"))
 
 
 def _gst_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -338,21 +351,13 @@ def _gst_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         .withColumn("created_at", instant(EARLIER_TS))
         .withColumn("updated_at", F.col("created_at"))
     )
-    copies = F.when(F.col("month") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(
-        F.array(F.lit(1))
-    )
-    batch = (
-        rows.filter((v.key() + F.col("month")) % 3 == 0)
-        .select("*", F.explode(copies).alias("ordinal"))
-        .withColumn("gstr_sales_paise", F.col("gstr_sales_paise") + F.col("ordinal") * 1000)
-    )
-    return stored, batch
+    batch = _with_copies(rows.filter((v.key() + F.col("month")) % 3 == 0))
+    return stored, batch.withColumn("gstr_sales_paise", F.col("gstr_sales_paise") + F.col("ordinal") * 1000)
 
 
 @query
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, batch = _gst_batches(spark, sf_dir)
-    return vd.duplicate_keys(batch, FEEDS["gst_filings"].keys)
+    return vd.duplicate_keys(_with_copies(v.gst_filings(spark, sf_dir)), FEEDS["gst_filings"].keys)
 
 
 @query
@@ -431,7 +436,8 @@ def cross_validation_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def revenue_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.revenue_trend(v.gst_filings(spark, sf_dir), v.upi_transactions(spark, sf_dir))
+    filed = v.gst_filings(spark, sf_dir).filter(v.has_gst())
+    return series.revenue_trend(filed, v.upi_transactions(spark, sf_dir))
 
 
 @query
@@ -450,9 +456,9 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = reports.build_reports(
         sc.documents(_scored(spark, sf_dir)),
         v.customers(spark, sf_dir),
-        v.gst_filings(spark, sf_dir),
+        v.gst_filings(spark, sf_dir).filter(v.has_gst()),
         v.upi_transactions(spark, sf_dir),
-        v.epfo_payroll(spark, sf_dir),
+        v.epfo_payroll(spark, sf_dir).filter(v.has_epfo()),
         RUN_TS,
     )
     paths = {

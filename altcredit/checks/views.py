@@ -72,6 +72,21 @@ def key(customer_id: Column | None = None) -> Column:
     return (customer_id if customer_id is not None else F.col("customer_id")).cast("long")
 
 
+# Which customers have a source: reconciliation and scores must cope with absent ones.
+
+
+def has_gst() -> Column:
+    return key() % 5 != 0
+
+
+def has_bank() -> Column:
+    return key() % 11 != 0
+
+
+def has_epfo() -> Column:
+    return key() % 7 != 0
+
+
 def _per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-item sums per order; unused ones are pruned by the optimizer."""
     price, line = F.col("l_extendedprice"), F.col("l_linenumber")
@@ -164,7 +179,6 @@ def gst_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
         _orders(spark, sf_dir)
         .groupBy(*PERIOD)
         .agg(*_gst_aggregates())
-        .filter(key() % 5 != 0)
         .select(*PERIOD, *GST_COLUMNS)
     )
 
@@ -176,12 +190,12 @@ def _line_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bank_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = _line_months(spark, sf_dir).filter(key() % 11 != 0)
+    months = _line_months(spark, sf_dir)
     return months.join(_balances(spark, sf_dir), "customer_id").select(*PERIOD, *BANK_COLUMNS)
 
 
 def epfo_payroll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = _line_months(spark, sf_dir).filter(key() % 7 != 0)
+    months = _line_months(spark, sf_dir)
     known = _balances(spark, sf_dir).select("customer_id")
     return months.join(known, "customer_id", "left_semi").select(*PERIOD, *EPFO_COLUMNS)
 
@@ -196,9 +210,9 @@ def monthly_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = _add_derived(joined.groupBy(*PERIOD).agg(*_gst_aggregates(), *_line_aggregates()))
     months = months.join(_balances(spark, sf_dir), "customer_id")
     has = {
-        **dict.fromkeys(GST_COLUMNS, key() % 5 != 0),
-        **dict.fromkeys(BANK_COLUMNS, (key() % 11 != 0) & F.col("heads_known")),
-        **dict.fromkeys(EPFO_COLUMNS, (key() % 7 != 0) & F.col("heads_known")),
+        **dict.fromkeys(GST_COLUMNS, has_gst()),
+        **dict.fromkeys(BANK_COLUMNS, has_bank() & F.col("heads_known")),
+        **dict.fromkeys(EPFO_COLUMNS, has_epfo() & F.col("heads_known")),
     }
     return months.withColumn("heads_known", F.col("employee_count").isNotNull()).select(
         *PERIOD, *[F.when(present, F.col(c)).alias(c) for c, present in has.items()]
@@ -210,16 +224,14 @@ def upi_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     quantity = F.col("l_quantity")
     amount = cents(quantity * (100 + ((price % 1000) * (merchant % 5)) / F.lit(20.0)))
     refunded = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .withColumn("merchant", F.expr("l_suppkey div 2"))
-        .filter(F.col("l_linenumber") <= 1 + merchant % 7)
-    )
+    # Lines without an amount leave days on which nothing was collected.
+    unpaid = refunded | (F.col("l_linenumber") > 1 + merchant % 7)
+    lines = table(spark, sf_dir, "lineitem").withColumn("merchant", F.expr("l_suppkey div 2"))
     daily = (
         lines.select(
             merchant.cast("string").alias("customer_id"),
             F.dayofyear("l_shipdate").alias("day"),
-            F.when(refunded, F.lit(0)).otherwise(amount).alias("paise"),
+            F.when(unpaid, F.lit(0)).otherwise(amount).alias("paise"),
             quantity.cast("int").alias("quantity"),
         )
         .groupBy("customer_id", "day")
