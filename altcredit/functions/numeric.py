@@ -98,10 +98,13 @@ def percent(fraction: Column, places: int = 1) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A double as the shortest decimal text, never in exponent form (2.09, 20.0, 12345678.9)."""
+    """A double as the shortest decimal text, never in exponent form (2.09, 20.0, 12345678.9).
+
+    Beyond 34 digits before the point the exponent form stays.
+    """
     plain = x.cast("string")
-    long_form = F.regexp_replace(x.cast("decimal(38,4)").cast("string"), r"(\.\d+?)0+$", "$1")
-    return F.when(F.abs(x) < F.lit(1e7), plain).otherwise(long_form)
+    long_form = F.regexp_replace(x.try_cast("decimal(38,4)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(F.abs(x) < F.lit(1e7), plain).otherwise(F.coalesce(long_form, plain))
 
 
 def paise_to_lakh(paise: Column) -> Column:

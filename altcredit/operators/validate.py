@@ -16,6 +16,12 @@ from altcredit.functions import wording as wd
 from altcredit.operators.registry import BLOCKING, FEEDS, WARNING, FeedSpec
 
 EMPTY = "cast(array() as array<string>)"
+#: Largest amount of one row. A customer has at most 1212 monthly or 36 890 daily rows, so sums stay
+#: below 3.7e17, sums times positions below 7.4e18 and sums of squares below 3.7e30: all fit.
+MOST_PAISE = 10**13
+DAMAGED = f"{wd.TRANSFORM_FAILED}damaged record"
+UNREADABLE = "UNREADABLE"
+NOT_JSON = "not a JSON array of records"
 ORPHAN = "violates constraint: customer_id references customers"
 
 
@@ -61,6 +67,11 @@ def validate(normalized: DataFrame, spec: FeedSpec, as_of: date) -> DataFrame:
         (BLOCKING, F.length(name) > size, F.lit(f"violates constraint: {name} within {size} chars"))
         for name, size in spec.limits
     ]
+    rules += [
+        (BLOCKING, ~F.col(f.name).between(-MOST_PAISE, MOST_PAISE), F.lit(f"violates constraint: {f.name} within {MOST_PAISE}"))
+        for f in spec.fields
+        if f.name.endswith("_paise")
+    ]
     failed = F.col("problem").isNotNull()
     kept = [c for c in normalized.columns if c not in ("problem", "raw_customer_id")]
     return normalized.select(
@@ -99,14 +110,21 @@ def block_orphans(checked: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def accepted(checked: DataFrame) -> DataFrame:
-    """Rows without a blocking message.
+def block_damaged(checked: DataFrame) -> DataFrame:
+    """Marks records that could not be parsed (``corrupt``) as blocking, with that as the only reason."""
+    corrupt = F.col("corrupt")
+    return checked.withColumns(
+        {
+            "record_id": F.when(corrupt, F.lit(wd.UNKNOWN_ID)).otherwise(F.col("record_id")),
+            "blocking": F.when(corrupt, F.array(F.lit(DAMAGED))).otherwise(F.col("blocking")),
+            "warnings": F.when(corrupt, F.expr(EMPTY)).otherwise(F.col("warnings")),
+        }
+    )
 
-    Written as a generator of one row or none: a filter would be pushed below the cleaning
-    expressions and evaluate them a second time.
-    """
-    row = F.array(F.struct(*[F.col(c) for c in checked.columns]))
-    return checked.select(F.inline(F.when(F.size("blocking") == 0, row)))
+
+def accepted(checked: DataFrame) -> DataFrame:
+    """Rows without a blocking message."""
+    return checked.filter(F.size("blocking") == 0)
 
 
 def orphans(child: DataFrame, customers: DataFrame) -> DataFrame:
@@ -147,13 +165,43 @@ def dry_run_issues(checked: DataFrame, table: str) -> DataFrame:
     return checked.select(F.lit(table).alias("table_name"), F.explode(issue_lines()).alias("issue"))
 
 
-def load_counts(checked: DataFrame, by: tuple[str, ...] = ("source_file",)) -> DataFrame:
+def load_counts(
+    checked: DataFrame, by: tuple[str, ...] = ("source_file",), *more: Column
+) -> DataFrame:
     """Attempted, loaded and skipped records per source file."""
     ok = F.size("blocking") == 0
     return checked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("attempted"),
         F.count_if(ok).alias("loaded"),
         F.count_if(~ok).alias("skipped"),
+        *more,
+    )
+
+
+def file_results(
+    checked: DataFrame, by: tuple[str, ...], whole_files: bool, files: DataFrame | None = None
+) -> DataFrame:
+    """Counts, status and message per file; damaged records count as attempted and skipped.
+
+    With ``whole_files`` (JSON arrays) a file of which nothing could be parsed is unreadable and has
+    no records. ``files`` adds the files without records, which succeed with 0.
+    """
+    counted = load_counts(
+        checked, by, F.count_if("corrupt").alias("_damaged"), F.count_if(~F.col("corrupt")).alias("_parsed")
+    )
+    if files is not None:
+        counted = files.join(counted, list(by), "left").fillna(0)
+    unreadable = F.lit(whole_files) & (F.col("_damaged") > 0) & (F.col("_parsed") == 0)
+    counted = counted.withColumn("_unreadable", unreadable)
+    for name in ("attempted", "skipped"):
+        counted = counted.withColumn(name, F.when(F.col("_unreadable"), F.lit(0)).otherwise(F.col(name)))
+    return load_status(counted).select(
+        *by,
+        "attempted",
+        "loaded",
+        "skipped",
+        F.when(F.col("_unreadable"), F.lit(UNREADABLE)).otherwise(F.col("status")).alias("status"),
+        F.when(F.col("_unreadable"), F.lit(NOT_JSON)).otherwise(F.col("error_message")).alias("error_message"),
     )
 
 

@@ -18,22 +18,15 @@ from altcredit.sources.store import TableStore
 
 logger = logging.getLogger(__name__)
 
-UNREADABLE = "UNREADABLE"
-NOT_JSON = "not a JSON array of records"
-
-
 def _spec(table: str) -> FeedSpec:
     if table not in FEEDS:
         raise ValueError(f"Unknown table_name: {table}")
     return FEEDS[table]
 
 
-def _staged_path(store: TableStore, run_id: str, table: str) -> str:
-    return store.working_path(run_id, f"{table}_checked")
-
-
 def _check(raw: DataFrame, table: str, as_of: date, customers: DataFrame | None) -> DataFrame:
     checked = vd.check_feed(raw, table, as_of, passthrough=(*feeds.POSITION, "corrupt"))
+    checked = vd.block_damaged(checked)
     return checked if customers is None else vd.block_orphans(checked, customers)
 
 
@@ -45,67 +38,52 @@ def load_records(
     run_ts: datetime,
     run_id: str,
     files: DataFrame | None = None,
+    source: str = "",
+    whole_files: bool = True,
 ) -> DataFrame:
     """Checks raw records, merges the accepted ones and logs errors and lineage.
 
     The checked records are written out once; the merge, the error log and the counts all read
     that copy, so files are parsed a single time and a lost executor repeats no finished step.
-    The copy stays in the working folder, as the returned counts read it too.
-    Returns attempted, loaded and skipped records per file.
+    The copy is removed at the end. Log rows belong to the run, the table and the ``source``:
+    a repeated load replaces its own, another load under the same run id keeps them.
+    Returns attempted, loaded and skipped records per file, read from a small table of its own.
     """
     spec = _spec(table)
     customers = store.read("customers") if spec.is_child else None
-    staged_path = _staged_path(store, run_id, table)
-    _check(raw, table, as_of, customers).write.mode("overwrite").parquet(staged_path)
+    staged_path = store.fresh_path(f"{table}_checked")
+    _check(raw, table, as_of, customers).write.parquet(staged_path)
     staged = store.spark.read.parquet(staged_path)
-    checked = staged.filter(~F.col("corrupt"))
 
-    accepted = checked.filter(F.size("blocking") == 0).select(*spec.columns, *feeds.ORDER)
-    store.upsert(up.last_per_key(accepted, spec.keys, feeds.ORDER), table, run_ts, run_id)
+    accepted = vd.accepted(staged).select(*spec.columns, *feeds.ORDER)
+    store.upsert(up.last_per_key(accepted, spec.keys, feeds.ORDER), table, run_ts)
+
+    results_path = store.fresh_path(f"{table}_results")
+    by = ("source_path", "source_file")
+    vd.file_results(staged, by, whole_files, files).coalesce(1).write.parquet(results_path)
+    results = store.spark.read.parquet(results_path)
 
-    errors = vd.error_rows(checked, table).withColumn("logged_at", instant(run_ts))
-    store.append(errors, "validation_errors", f"{run_id}-{table}")
+    unreadable = results.filter(F.col("status") == vd.UNREADABLE).select("source_path")
+    readable = staged.join(unreadable, "source_path", "left_anti")
+    errors = vd.error_rows(readable, table).withColumn("logged_at", instant(run_ts))
+    store.append(errors, "validation_errors", run_id, f"{table}-{source}")
 
-    results = _file_results(staged, files)
+    failed = F.col("status") == vd.UNREADABLE
     lineage = results.select(
-        F.when(F.col("status") == UNREADABLE, F.col("source_path"))
-        .otherwise(F.col("source_file"))
-        .alias("source_file"),
+        F.when(failed, F.col("source_path")).otherwise(F.col("source_file")).alias("source_file"),
         F.lit(table).alias("table_name"),
         F.col("loaded").alias("record_count"),
         instant(run_ts).alias("load_timestamp"),
-        F.when(F.col("status") == UNREADABLE, F.lit(wd.FAILED))
-        .otherwise(F.col("status"))
-        .alias("status"),
+        F.when(failed, F.lit(wd.FAILED)).otherwise(F.col("status")).alias("status"),
         "error_message",
     )
-    store.append(lineage, "data_lineage", f"{run_id}-{table}")
+    store.append(lineage, "data_lineage", run_id, f"{table}-{source}")
+    paths.discard(store.spark, staged_path)
     return results.select(
         F.lit(table).alias("table_name"), "source_path", "attempted", "loaded", "skipped"
     )
 
 
-def _file_results(staged: DataFrame, files: DataFrame | None) -> DataFrame:
-    """Counts and status per file; a file without records succeeds with 0."""
-    by = ("source_path", "source_file")
-    ok, corrupt = F.size("blocking") == 0, F.col("corrupt")
-    counted = staged.groupBy(*by).agg(
-        F.count_if(~corrupt).alias("attempted"),
-        F.count_if(~corrupt & ok).alias("loaded"),
-        F.count_if(~corrupt & ~ok).alias("skipped"),
-        F.max(corrupt).alias("corrupt"),
-    )
-    if files is not None:
-        counted = files.join(counted, list(by), "left").fillna(0).fillna(False)
-    unreadable = F.col("corrupt") & (F.col("attempted") == 0)
-    return vd.load_status(counted).withColumns(
-        {
-            "status": F.when(unreadable, F.lit(UNREADABLE)).otherwise(F.col("status")),
-            "error_message": F.when(unreadable, F.lit(NOT_JSON)).otherwise(F.col("error_message")),
-        }
-    )
-
-
 def load_feed(
     store: TableStore,
     path: str,
@@ -123,7 +101,7 @@ def load_feed(
             "source_file string, table_name string, record_count bigint, status string, "
             "error_message string",
         ).withColumn("load_timestamp", instant(run_ts))
-        store.append(missing, "data_lineage", f"{run_id}-{table}")
+        store.append(missing, "data_lineage", run_id, f"{table}-{path}")
         return spark.createDataFrame(
             [(table, path, 0, 0, 0)],
             "table_name string, source_path string, attempted bigint, loaded bigint, "
@@ -131,7 +109,9 @@ def load_feed(
         )
     raw = feeds.read_feed(spark, path, spec, fmt)
     files = feeds.feed_files(spark, path)
-    return load_records(store, raw, table, as_of, run_ts, run_id, files)
+    return load_records(
+        store, raw, table, as_of, run_ts, run_id, files, source=path, whole_files=fmt == "json"
+    )
 
 
 def run_etl(
@@ -164,9 +144,11 @@ def validate_data(spark: SparkSession, data_dir: str, as_of: date, fmt: str = "j
             parts.append(spark.createDataFrame([(table, note)], "table_name string, issue string"))
             continue
         raw = feeds.read_feed(spark, path, spec, fmt)
-        checked = vd.check_feed(raw, table, as_of, passthrough=("source_file", "corrupt"))
-        unreadable = F.format_string("%s: failed to read/parse: " + NOT_JSON, F.col("source_file"))
-        lines = F.when(F.col("corrupt"), F.array(unreadable)).otherwise(vd.issue_lines())
+        checked = vd.block_damaged(vd.check_feed(raw, table, as_of, ("source_file", "corrupt")))
+        lines = vd.issue_lines()
+        if fmt == "json":
+            unreadable = F.format_string("%s: failed to read/parse: " + vd.NOT_JSON, F.col("source_file"))
+            lines = F.when(F.col("corrupt"), F.array(unreadable)).otherwise(lines)
         parts.append(
             checked.select(F.lit(table).alias("table_name"), F.explode(lines).alias("issue"))
         )

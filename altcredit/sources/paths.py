@@ -30,6 +30,31 @@ def discard(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+def files_below(spark: SparkSession, path: str) -> dict[str, int]:
+    """The files of a folder, or the file itself, with their sizes; hidden ones left out."""
+    system, target = _file_system(spark, path)
+    own = system.getFileStatus(target)
+    found = [own] if own.isFile() else [s for s in system.listStatus(target) if s.isFile()]
+    sizes = {s.getPath().toString(): s.getLen() for s in found if s.getPath().getName()[0] not in "._"}
+    return dict(sorted(sizes.items()))
+
+
+def first_lines(spark: SparkSession, path: str) -> dict[str, str]:
+    """The first line of each file that has one."""
+    lines: dict[str, str] = {}
+    for file in files_below(spark, path):
+        system, target = _file_system(spark, file)
+        stream = system.open(target)
+        try:
+            text = spark._jvm.java.io.InputStreamReader(stream, "UTF-8")
+            line = spark._jvm.java.io.BufferedReader(text).readLine()
+        finally:
+            stream.close()
+        if line is not None:
+            lines[file] = line.removeprefix("\ufeff")
+    return lines
+
+
 def working_folder(spark: SparkSession, fallback: str) -> str:
     """The shared folder the cluster names, or ``fallback`` where it names none."""
     return spark.conf.get(CHECKPOINT_DIR, None) or fallback

@@ -1,15 +1,17 @@
 """Stored tables as partitioned parquet.
 
-Feeds are partitioned by period and documents by date, so a merge reads and rewrites only the
-partitions its batch touches. A merge is first written to the working folder and then put in
-place: the place being written is never the one being read. A run that died while putting a
-merge in place is completed from that copy when it is repeated under the same run id, so no
-stored row depends on a half-replaced table. With a transactional table format ``upsert`` would
-be one MERGE.
+Feeds are partitioned by period, customers by a hash of their id and documents by date, so a merge
+reads and rewrites only the partitions its batch touches. A merge is first written beside
+the tables and then put in place: the place being written is never the one being read. A merge that
+was staged in full but not put in place completely is put in place by the next merge of its table,
+before that reads anything; the next merge's own batch is then merged as always. With a
+transactional table format ``upsert`` would be one MERGE.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
@@ -25,6 +27,7 @@ from altcredit.sources import paths
 
 LOGS = ("data_lineage", "validation_errors")
 DOCUMENT_KEYS = ("customer_id", "scorecard_date")
+CUSTOMER_BUCKETS = 32
 _DYNAMIC = ("partitionOverwriteMode", "dynamic")
 
 
@@ -38,6 +41,14 @@ class TableStore:
             raise ValueError(f"Unknown table_name: {table}")
         return f"{self.root}/{table}"
 
+    def fresh_path(self, name: str) -> str:
+        """A new place for an intermediate result."""
+        return self.working_path(f"{name}-{uuid.uuid4().hex}")
+
+    def staged_path(self, table: str) -> str:
+        """Where a merge waits to be put in place; beside the tables, as it may outlive a run."""
+        return f"{self.root}/_staged/{table}"
+
     def working_path(self, *names: str) -> str:
         """A place for intermediate results; stores sharing a working folder keep apart."""
         base = paths.working_folder(self.spark, f"{self.root}/_work")
@@ -46,6 +57,8 @@ class TableStore:
     def partition_columns(self, table: str) -> dict[str, Column]:
         if table in LOGS:
             return {"run_id": F.col("run_id")}
+        if table == "customers":
+            return {"bucket": F.pmod(F.xxhash64("customer_id"), F.lit(CUSTOMER_BUCKETS)).cast("int")}
         if table in FEEDS:
             return FEEDS[table].partition_by()
         return {"scorecard_date": F.col("scorecard_date")}
@@ -54,7 +67,7 @@ class TableStore:
         return FEEDS[table].keys if table in FEEDS else DOCUMENT_KEYS
 
     def _stored_schema(self, table: str) -> T.StructType:
-        extra = {"run_id": T.StringType(), "txn_month": T.DateType()}
+        extra = {"run_id": T.StringType(), "txn_month": T.DateType(), "bucket": T.IntegerType()}
         fields = list(TABLES[table].fields)
         for name in self.partition_columns(table):
             if name not in TABLES[table].names:
@@ -73,11 +86,12 @@ class TableStore:
     def read(self, table: str) -> DataFrame:
         return self._read_stored(table).select(*TABLES[table].names)
 
-    def append(self, rows: DataFrame, table: str, run_id: str) -> None:
-        """Adds a run's log rows; repeating the run replaces them instead of doubling them."""
+    def append(self, rows: DataFrame, table: str, run_id: str, source: str) -> None:
+        """Adds a load's log rows; repeating the load replaces them, also by none at all."""
         shaped = rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table].fields])
-        writer = shaped.withColumn("run_id", F.lit(run_id)).write.option(*_DYNAMIC)
-        writer.mode("overwrite").partitionBy("run_id").parquet(self.path(table))
+        of = f"{paths.as_name(run_id)}-{zlib.crc32(f'{run_id}|{source}'.encode()):08x}"
+        paths.discard(self.spark, f"{self.path(table)}/run_id={of}")
+        shaped.withColumn("run_id", F.lit(of)).write.mode("append").partitionBy("run_id").parquet(self.path(table))
 
     def _touched(self, batch: DataFrame, parts: dict[str, Column]) -> Column:
         """Condition selecting the partitions a batch touches, for static partition pruning.
@@ -97,13 +111,18 @@ class TableStore:
         tests = [(F.col(outer) == o) & F.col(inner).isin(i) for o, i in months.items()]
         return reduce(lambda a, b: a | b, tests)
 
-    def upsert(self, batch: DataFrame, table: str, run_ts: datetime, run_id: str) -> None:
+    def upsert(self, batch: DataFrame, table: str, run_ts: datetime) -> None:
         """Merges a batch that is unique on the table's key."""
-        staged = self.working_path(run_id, f"{table}_merged")
-        if not paths.finished(self.spark, staged):
-            self._merged(batch, table, run_ts).write.mode("overwrite").parquet(staged)
-        self._put_in_place(table, staged)
-        paths.discard(self.spark, staged)
+        staged = self.staged_path(table)
+        self._complete(table, staged)
+        self._merged(batch, table, run_ts).write.mode("overwrite").parquet(staged)
+        self._complete(table, staged)
+
+    def _complete(self, table: str, staged: str) -> None:
+        """Puts a merge in place that was staged in full."""
+        if paths.finished(self.spark, staged):
+            self._put_in_place(table, staged)
+            paths.discard(self.spark, staged)
 
     def _merged(self, batch: DataFrame, table: str, run_ts: datetime) -> DataFrame:
         """The new content of the partitions that a batch touches."""
@@ -119,9 +138,6 @@ class TableStore:
     def _put_in_place(self, table: str, staged: str) -> None:
         schema, parts = TABLES[table], self.partition_columns(table)
         ready = self.spark.read.schema(schema).parquet(staged)
-        if not parts:
-            ready.write.mode("overwrite").parquet(self.path(table))
-            return
         ready = ready.withColumns({n: c for n, c in parts.items() if n not in schema.names})
         # Splits big periods over several files and keeps small ones in one.
         writer = ready.hint("rebalance", *parts).write.option(*_DYNAMIC).partitionBy(*parts)

@@ -25,28 +25,35 @@ def stream_feed(
     as_of: date,
     run_ts: datetime,
     max_files: int = 1000,
+    fmt: str = "json",
+    progress: str | None = None,
 ) -> StreamingQuery:
-    """Loads the JSON array files of a directory that have not been loaded yet, then stops."""
+    """Loads the files of a directory that have not been loaded yet, then stops.
+
+    ``fmt`` is "json" (array files) or "jsonl". What has been loaded is kept at ``progress``, by default beside
+    the tables: it must live as long as they do.
+    """
     spec = FEEDS[table]
     name = f"stream-{table}-{paths.as_name(directory)}"
-    progress = store.working_path("streams", name)
-    schema = feeds.json_schema(spec)
-    arriving = (
-        store.spark.readStream.schema(schema)
-        .options(**feeds.json_options(many_lines=True))
-        .option("maxFilesPerTrigger", max_files)
-        .json(directory)
-    )
+    reader = store.spark.readStream.option("maxFilesPerTrigger", max_files)
+    if fmt == "json":
+        arriving = reader.schema(feeds.json_schema(spec)).options(**feeds.ARRAY_OPTIONS).json(directory)
+        positioned = feeds.positioned_json
+    elif fmt == "jsonl":
+        arriving = reader.option("encoding", "UTF-8").text(directory)
+        positioned = feeds.positioned_lines
+    else:
+        raise ValueError(f"unknown stream format {fmt!r}")
 
     def load(batch: DataFrame, batch_id: int) -> None:
         # Positions are numbered here, as a streaming plan may not contain row ids.
-        raw = feeds.positioned_json(batch, spec)
-        load_records(store, raw, table, as_of, run_ts, f"{name}-{batch_id:09d}")
+        raw = positioned(batch, spec)
+        load_records(store, raw, table, as_of, run_ts, f"{name}-{batch_id:09d}", whole_files=fmt == "json")
 
     return (
         arriving.select("*", "_metadata")
         .writeStream.foreachBatch(load)
-        .option("checkpointLocation", progress)
+        .option("checkpointLocation", progress or f"{store.root}/_progress/{name}")
         .trigger(availableNow=True)
         .start()
     )

@@ -179,16 +179,16 @@ def test_interrupted_merge_is_completed_from_its_copy(spark, folder):
     store.create_tables()
     scores = "customer_id string, scorecard_date date, scorecard_json string, composite_score int"
     first = spark.createDataFrame([("C1", s.AS_OF, "{}", 50), ("C2", s.AS_OF, "{}", 60)], scores)
-    store.upsert(first, "scorecards", s.RUN_TS, "r1")
+    store.upsert(first, "scorecards", s.RUN_TS)
     second = spark.createDataFrame([("C1", s.AS_OF, "{}", 70)], scores)
-    staged = store.working_path("r2", "scorecards_merged")
+    staged = store.staged_path("scorecards")
     store._merged(second, "scorecards", LATER).write.parquet(staged)
     # The run died after half of the old partition had been removed.
     one = store.read("scorecards").filter("customer_id = 'C1'").collect()
     spark.createDataFrame(one, store.read("scorecards").schema).write.option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("scorecard_date").mode("overwrite").parquet(store.path("scorecards"))
-    store.upsert(second, "scorecards", LATER, "r2")
+    store.upsert(second, "scorecards", LATER)
     rows = {r.customer_id: (r.composite_score, r.created_at) for r in store.read("scorecards").collect()}
     assert rows == {"C1": (70, s.RUN_TS), "C2": (60, s.RUN_TS)}
     assert not paths.exists(spark, staged)
