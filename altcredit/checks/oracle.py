@@ -1045,3 +1045,40 @@ oracle(
     f"SELECT r.customer_id, r.scorecard_date, r.generation_method, {STAMP}, s.composite_score, {FLAG_COLS} "
     "FROM report_t r JOIN flagged_h s ON s.customer_id = r.customer_id AND s.scorecard_date = r.scorecard_date",
 )
+
+# --- feed lines ---------------------------------------------------------------------------
+
+cte(
+    "lines_t",
+    f"""SELECT o_orderkey AS order_key, 'part' || (o_orderkey % 7) AS source_file, o_orderkey % 101 = 0 AS corrupt,
+  CAST(o_custkey AS VARCHAR) AS customer_id, month(o_orderdate) AS m, year(o_orderdate) AS y,
+  {cents('o_totalprice')} AS paise, CAST(o_orderdate AS DATE) AS d
+FROM orders, range(2) t(copy)
+WHERE (copy = 0 OR (o_orderkey % 103 = 0 AND o_orderkey % 101 <> 0))
+  AND (o_orderkey % 107 <> 0 OR o_orderkey % 101 = 0 OR o_orderkey % 103 = 0)""",
+)
+oracle(
+    "parsed_feed_lines",
+    f"""SELECT order_key, source_file, corrupt, CASE WHEN NOT corrupt THEN customer_id END AS customer_id,
+  CASE WHEN NOT corrupt THEN CAST(m AS VARCHAR) END AS month, CASE WHEN NOT corrupt THEN CAST(y AS VARCHAR) END AS year,
+  CASE WHEN NOT corrupt THEN {rupees('paise')} END AS gstr_sales FROM lines_t""",
+)
+oracle(
+    "file_load_status",
+    """SELECT source_file, attempted, loaded, attempted - loaded AS skipped,
+  CASE WHEN attempted = loaded THEN 'SUCCESS' WHEN loaded > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS status,
+  CASE WHEN attempted > loaded THEN (attempted - loaded) || ' record(s) failed validation' END AS error_message
+FROM (SELECT source_file, count(*) AS attempted,
+  count(*) FILTER (NOT corrupt AND y BETWEEN 2000 AND 2100 AND paise > 0 AND d <= DATE '2025-01-01') AS loaded
+  FROM lines_t GROUP BY ALL)""",
+)
+oracle(
+    "incomplete_scorecards",
+    "SELECT customer_id, scorecard_date, 'gst_ratios, upi_ratios, cross_validation, dimension_scores, composite_score, "
+    "score_interpretation, red_flags, green_flags' AS missing FROM scored WHERE k % 17 = 0",
+)
+oracle(
+    "customer_rows",
+    """SELECT 'gst_filings' AS source, make_date(y, m, 1) AS day, sales AS paise FROM gst_t WHERE customer_id = '7'
+UNION ALL SELECT 'upi_transactions', d, collections FROM upi_t WHERE customer_id = '7'""",
+)

@@ -18,6 +18,7 @@ from altcredit.operators.registry import FEEDS
 from altcredit.plans import reports
 from altcredit.plans import scorecard as sc
 from altcredit.session import tune
+from altcredit.sources import feeds
 from altcredit.checks import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,12 +241,26 @@ def stored_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_card(sc.flatten(decoded))
 
 
+@query
+def incomplete_scorecards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored scorecards, some of them cut off, that can't be reported on."""
+    half = F.substring("scorecard_json", F.lit(1), F.expr("char_length(scorecard_json) div 2").cast("int"))
+    text = F.when(v.key() % 17 == 0, half).otherwise(F.col("scorecard_json"))
+    stored = _stored_cards(_scored(spark, sf_dir)).withColumn("scorecard_json", text)
+    lacking = sc.incomplete(reports.decode_scorecards(stored))
+    return lacking.withColumn("missing", F.array_join("missing", ", "))
+
+
 @query
 def requested_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the customers asked for (all with UPI rows), and the ids nobody knows."""
     wanted = v.upi_transactions(spark, sf_dir)
     chosen, unknown = sc.select_customers(v.registered_customers(spark, sf_dir), wanted)
-    scored = sc.score(sc.combine(chosen, _summaries(spark, sf_dir)))
+    months, days = sc.only_requested(
+        [v.monthly_activity(spark, sf_dir), v.upi_transactions(spark, sf_dir)], wanted
+    )
+    sums = [sm.summarize_monthly(months, [sm.GST, sm.BANK, sm.EPFO]), sm.summarize_upi(days)]
+    scored = sc.score(sc.combine(chosen, sums))
     return scored.select("customer_id", "composite_score").unionByName(
         unknown, allowMissingColumns=True
     )
@@ -314,6 +329,24 @@ CHILD_TABLES = {
 }
 
 
+def _parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.parsed_lines(v.feed_lines(spark, sf_dir), FEEDS["gst_filings"])
+
+
+@query
+def parsed_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of JSON lines, damaged ones included."""
+    rows = _parsed_lines(spark, sf_dir)
+    return rows.select("order_key", "source_file", "corrupt", "customer_id", "month", "year", "gstr_sales")
+
+
+@query
+def file_load_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and status of the files that hold those lines."""
+    checked = vd.check_feed(_parsed_lines(spark, sf_dir), "gst_filings", v.AS_OF, ("source_file", "corrupt"))
+    return vd.file_results(vd.block_damaged(checked), ("source_file",), whole_files=False)
+
+
 @query
 def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = v.registered_customers(spark, sf_dir)
@@ -493,6 +526,20 @@ def customer_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.customer_listing(v.customers(spark, sf_dir))
 
 
+@query
+def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filings and the payments of one customer, each in period order."""
+    filed = listing.customer_rows(v.gst_filings(spark, sf_dir), "gst_filings", "7")
+    paid = listing.customer_rows(v.upi_transactions(spark, sf_dir), "upi_transactions", "7")
+    return filed.select(
+        F.lit("gst_filings").alias("source"),
+        F.make_date("year", "month", F.lit(1)).alias("day"),
+        F.col("gstr_sales_paise").alias("paise"),
+    ).unionByName(
+        paid.select(F.lit("upi_transactions").alias("source"), F.col("txn_date").alias("day"), F.col("collections_paise").alias("paise"))
+    )
+
+
 @query
 def customer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of all customers with UPI rows, looked up in an incomplete customer master."""
@@ -567,7 +614,7 @@ def scorecard_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = _card_history(spark, sf_dir)
     return listing.latest_per_customer(
-        cards, "scorecard_date", "composite_score", "score_interpretation"
+        cards, ["scorecard_date"], "composite_score", "score_interpretation"
     )
 
 
@@ -575,7 +622,7 @@ def latest_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = v.report_log(spark, sf_dir)
     return _when(
-        listing.latest_per_customer(log, "generated_at", "scorecard_date", "generation_method")
+        listing.latest_per_customer(log, ["generated_at", "scorecard_date"], "generation_method")
     )
 
 

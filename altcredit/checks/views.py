@@ -451,3 +451,29 @@ def report_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("generated_at"),
         )
     )
+
+
+def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line of a GST feed in JSON for every order, as files would hold them.
+
+    Some lines are cut off, some hold an array of two records, some are blank.
+    """
+    k = F.col("o_orderkey")
+    day = F.col("o_orderdate").cast("date")
+    orders = table(spark, sf_dir, "orders").withColumn("paise", cents(F.col("o_totalprice")))
+    record = F.concat(
+        F.lit('{"customer_id":"'), F.col("o_custkey").cast("string"),
+        F.lit('","month":'), F.month(day).cast("string"),
+        F.lit(',"year":'), F.year(day).cast("string"),
+        F.lit(',"gstr_sales":"'), rupees_text("paise"),
+        F.lit('","tax_paid":0,"filing_date":"'), day.cast("string"),
+        F.lit('","is_delayed":false}'),
+    )
+    line = (
+        F.when(k % 101 == 0, F.substring(record, F.lit(1), F.char_length(record) - 3))
+        .when(k % 103 == 0, F.concat(F.lit("["), record, F.lit(","), record, F.lit("]")))
+        .when(k % 107 == 0, F.lit("  "))
+        .otherwise(record)
+    )
+    file = F.concat(F.lit("part"), (k % 7).cast("string"))
+    return orders.select(k.alias("order_key"), file.alias("source_file"), line.alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,23 +42,36 @@ def lookup_customers(requested: DataFrame, customers: DataFrame) -> tuple[DataFr
     )
 
 
-def latest_per_customer(stored: DataFrame, newest: str, *values: str) -> DataFrame:
-    """The row with the highest ``newest`` per customer, by partial aggregation (no window)."""
-    row = F.max_by(F.struct(newest, *values), newest).alias("_row")
-    return stored.groupBy("customer_id").agg(row).select("customer_id", "_row.*")
+def latest_per_customer(stored: DataFrame, newest: Sequence[str], *values: str) -> DataFrame:
+    """The last row per customer in the order of the ``newest`` columns.
+
+    One maximum after the other, each a hash aggregation over narrow rows that is joined back on the
+    customer: documents are never sorted, and one that is not the newest is dropped by the first join.
+    """
+    rows = stored.select("customer_id", *newest, *values)
+    for name in newest:
+        top = rows.groupBy("customer_id").agg(F.max(name).alias(name))
+        rows = rows.join(top, ["customer_id", name])
+    return rows.select("customer_id", *newest, *values)
 
 
 def list_reports(
     reports: DataFrame, customers: DataFrame, cards: DataFrame, limit: int | None = None
 ) -> DataFrame:
-    """Reports with customer names and scores, newest first; equal times in id order.
+    """Reports with customer names and scores, newest first; equal times by customer and date.
 
-    With a limit the sort becomes a top-k.
+    With a limit the newest reports that have a customer and a scorecard are chosen first, and only
+    those are joined to them.
     """
     names = customers.select("customer_id", "business_name", "sector")
     scores = cards.select("customer_id", "scorecard_date", "composite_score")
-    listed = (
-        reports.join(scores, ["customer_id", "scorecard_date"])
+    order = (F.desc("generated_at"), "customer_id", "scorecard_date")
+    chosen = reports.select("customer_id", "scorecard_date", "generation_method", "generated_at")
+    if limit is not None:
+        known = chosen.join(scores, ["customer_id", "scorecard_date"], "left_semi")
+        chosen = known.join(names, "customer_id", "left_semi").orderBy(*order).limit(limit)
+    return (
+        chosen.join(scores, ["customer_id", "scorecard_date"])
         .join(names, "customer_id")
         .select(
             "customer_id",
@@ -67,9 +82,8 @@ def list_reports(
             "generation_method",
             "generated_at",
         )
-        .orderBy(F.desc("generated_at"), "customer_id")
+        .orderBy(*order)
     )
-    return listed if limit is None else listed.limit(limit)
 
 
 def labelled(listed: DataFrame) -> DataFrame:
@@ -88,7 +102,7 @@ def score_comparison(
     reports: DataFrame, customers: DataFrame, cards: DataFrame
 ) -> DataFrame:
     """Composite score of the newest report of each customer, in id order."""
-    newest = latest_per_customer(reports, "generated_at", "scorecard_date")
+    newest = latest_per_customer(reports, ["generated_at", "scorecard_date"])
     return (
         newest.join(
             cards.select("customer_id", "scorecard_date", "composite_score"),

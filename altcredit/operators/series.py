@@ -6,18 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from altcredit.functions import wording as wd
-from altcredit.functions.bands import WEIGHTS, gauge_band
+from altcredit.functions.bands import WEIGHTS
 from altcredit.functions.numeric import number_text, paise_to_rupees
 
 
-def gauge(cards: DataFrame) -> DataFrame:
-    return cards.select(
-        "customer_id",
-        F.col("composite_score").alias("data_value"),
-        gauge_band(F.col("composite_score")).alias("band"),
-    )
-
-
 def dimension_long(cards: DataFrame) -> DataFrame:
     """Five rows per scorecard: dimension, score."""
     pairs = [

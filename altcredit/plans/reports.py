@@ -6,29 +6,47 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from altcredit.functions.times import instant
 from altcredit.operators import listing, report, series
 from altcredit.operators import summaries as sm
 from altcredit.plans import scorecard as sc
 from altcredit.schemas import SCORECARD
-from altcredit.sources.store import TableStore
+from altcredit.sources.store import DOCUMENT_KEYS, TableStore
 
 METHOD = "fallback"
+_CORRUPT = "_corrupt"
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
+_OPTIONAL = ("aa_ratios", "epfo_ratios")
+
+
 def scorecard_json(columns: list[str]) -> Column:
-    """A scorecard document as JSON text; an absent source reads as an empty object."""
-    text = F.to_json(F.struct(*columns), _KEEP_NULLS)
-    for part in ("aa_ratios", "epfo_ratios"):
-        text = F.replace(text, F.lit(f'"{part}":null'), F.lit(f'"{part}":{{}}'))
-    return text
+    """A scorecard document as JSON text; an absent source is an empty object."""
+    parts = []
+    for name in columns:
+        text = F.to_json(F.struct(F.col(name)), _KEEP_NULLS)
+        if name in _OPTIONAL:
+            text = F.when(F.col(name).isNull(), F.lit(f'{{"{name}":{{}}}}')).otherwise(text)
+        # Each part is an object of one field: its braces go, the fields come together.
+        parts.append(F.substring(text, F.lit(2), F.char_length(text) - 2))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def decode_scorecards(stored: DataFrame) -> DataFrame:
-    """Stored scorecards as documents."""
-    return stored.select(F.from_json("scorecard_json", SCORECARD).alias("card")).select("card.*")
+    """Stored scorecards as documents under their stored keys; one that can't be decoded has no fields."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    schema = T.StructType([*SCORECARD.fields, T.StructField(_CORRUPT, T.StringType())])
+    keys = [F.col(k).alias(f"_{k}") for k in DOCUMENT_KEYS]
+    # A generator of one row: each text is parsed once, whatever is read of it.
+    parsed = stored.select(*keys, F.inline_outer(F.array(F.from_json("scorecard_json", schema, options))))
+    whole = F.col(_CORRUPT).isNull()
+    fields = {f.name: F.when(whole, F.col(f.name)) for f in SCORECARD.fields} | {
+        k: F.col(f"_{k}") for k in DOCUMENT_KEYS
+    }
+    return parsed.select(*[fields[n].alias(n) for n in SCORECARD.names])
 
 
 def run_analytics(
@@ -40,33 +58,26 @@ def run_analytics(
 ) -> DataFrame | None:
     """Scores the requested customers, or all, and merges their scorecards into the store.
 
-    Returns the requested ids that do not exist, if ids were requested.
+    Without ``requested`` all customers are scored, with an empty frame none. Returns the requested
+    ids that do not exist, if ids were requested.
     """
     store.create_tables()
     customers, unknown = sc.select_customers(store.read("customers"), requested)
-    cards = sc.scorecards(
-        customers,
-        *[
-            store.read(t)
-            for t in ("gst_filings", "upi_transactions", "bank_statements", "epfo_payroll")
-        ],
-        as_of,
-    )
+    feeds = [store.read(t) for t in ("gst_filings", "upi_transactions", "bank_statements", "epfo_payroll")]
+    cards = sc.scorecards(customers, *sc.only_requested(feeds, requested), as_of)
     batch = cards.select(
         "customer_id",
         "scorecard_date",
         scorecard_json(cards.columns).alias("scorecard_json"),
         "composite_score",
     )
-    store.upsert(batch, "scorecards", run_ts, run_id)
+    store.upsert(batch, "scorecards", run_ts)
     return unknown
 
 
 def latest_scorecards(store: TableStore) -> DataFrame:
     """Each customer's most recent scorecard document."""
-    newest = listing.latest_per_customer(
-        store.read("scorecards"), "scorecard_date", "scorecard_json"
-    )
+    newest = listing.latest_per_customer(store.read("scorecards"), ["scorecard_date"], "scorecard_json")
     return decode_scorecards(newest)
 
 
@@ -112,21 +123,33 @@ def build_reports(
     )
 
 
-def generate_reports(store: TableStore, run_ts: datetime, run_id: str) -> None:
-    """Writes a report for the latest scorecard of every customer."""
+def generate_reports(store: TableStore, run_ts: datetime, run_id: str) -> DataFrame:
+    """Writes a report for the latest scorecard of every customer.
+
+    A scorecard that can't be decoded, or lacks a value that is never NULL, gets no report. Returns those
+    scorecards with the names of the fields that they lack, from a table of their own.
+    """
     store.create_tables()
+    cards = latest_scorecards(store)
+    refused = store.fresh_path("refused_scorecards")
+    sc.incomplete(cards).write.parquet(refused)
     reports = build_reports(
-        latest_scorecards(store),
+        sc.complete(cards),
         store.read("customers"),
         store.read("gst_filings"),
         store.read("upi_transactions"),
         store.read("epfo_payroll"),
         run_ts,
     )
-    store.upsert(reports, "ai_reports", run_ts, run_id)
+    store.upsert(reports, "ai_reports", run_ts)
+    return store.spark.read.parquet(refused)
 
 
 def export_documents(stored: DataFrame, column: str, path: str) -> None:
-    """Stored JSON documents as text files, one document per line, one folder per date."""
+    """Stored JSON documents as text files, one document per line, one folder per date.
+
+    Replaces the folders of the dates exported and leaves those of other dates.
+    """
     lines = stored.select("scorecard_date", F.col(column).alias("value"))
-    lines.write.mode("overwrite").partitionBy("scorecard_date").text(path)
+    writer = lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("scorecard_date").text(path)

@@ -124,9 +124,9 @@ def select_customers(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Customers to score and the requested ids that do not exist.
 
-    No request, or an empty one, means all customers.
+    No request means all customers; an empty one means none.
     """
-    if requested is None or requested.isEmpty():
+    if requested is None:
         return customers, None
     ids = requested.select("customer_id").distinct()
     return (
@@ -135,6 +135,14 @@ def select_customers(
     )
 
 
+def only_requested(feeds: Sequence[DataFrame], requested: DataFrame | None) -> list[DataFrame]:
+    """The feeds reduced to the requested customers, before anything is aggregated."""
+    if requested is None:
+        return list(feeds)
+    ids = requested.select("customer_id").distinct()
+    return [rows.join(ids, "customer_id", "left_semi") for rows in feeds]
+
+
 def scorecards(
     customers: DataFrame,
     gst: DataFrame,
@@ -153,10 +161,18 @@ def missing_fields(cards: DataFrame) -> list[str]:
     return [f for f in REQUIRED_FIELDS if f not in cards.columns]
 
 
-def incomplete(cards: DataFrame) -> DataFrame:
-    """Scorecards without a value in a field that is never NULL."""
+def _lacking() -> Column:
     always = [f for f in REQUIRED_FIELDS if f not in _AVAILABLE]
-    lacking = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in always]))
-    return cards.select("customer_id", "scorecard_date", lacking.alias("missing")).filter(
+    return F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in always]))
+
+
+def incomplete(cards: DataFrame) -> DataFrame:
+    """Scorecards without a value in a field that is never NULL, and the names of those fields."""
+    return cards.select("customer_id", "scorecard_date", _lacking().alias("missing")).filter(
         F.size("missing") > 0
     )
+
+
+def complete(cards: DataFrame) -> DataFrame:
+    """Scorecards with a value in every field that is never NULL."""
+    return cards.filter(F.size(_lacking()) == 0)

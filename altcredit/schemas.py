@@ -53,9 +53,6 @@ _COLUMNS = {
 
 TABLES: dict[str, T.StructType] = {name: _struct(columns) for name, columns in _COLUMNS.items()}
 
-# Columns in which the DDL allows NULL.
-NULLABLE = {"persona", "error_message"}
-
 _GST = (
     "is_gst_registered boolean, cagr_percent double, mom_growth_percent double, "
     "cv_percent double, filing_delays bigint, tax_payment_status string, "
