@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from altcredit.functions import numeric as nm
-from altcredit.functions.bands import gauge_band
+from altcredit.functions.bands import band
 from altcredit.functions.times import instant
 from altcredit.operators import listing, ratios, report, scoring, series, upsert
 from altcredit.operators import summaries as sm
@@ -167,7 +167,7 @@ def growth_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("customer_id", *scoring.band_scores())
+    return _scored(spark, sf_dir).select("customer_id", *scoring.band_columns())
 
 
 @query
@@ -181,7 +181,7 @@ def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "customer_id",
         "composite_score",
         "score_interpretation",
-        gauge_band(F.col("composite_score")).alias("band"),
+        band("gauge", F.col("composite_score")).alias("band"),
     )
 
 

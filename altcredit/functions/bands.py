@@ -1,8 +1,9 @@
-"""Banding of ratios into scores and words, as Column expressions."""
+"""Banding of ratios into scores and words: one table of bands, one function that evaluates them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import operator
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,118 +21,81 @@ WEIGHTS = {
 # Scores used where no data source exists.
 COMPLIANCE_SCORE = 80
 UNREGISTERED_GST_SCORE = 50
-# Fixed values: (threshold, score) tiers.
-DSCR_TIERS = ((1.75, 100), (1.25, 70), (1.0, 40))
-BALANCE_COVER_TIERS = ((1.5, 100), (1.0, 70), (0.5, 40))
-CASH_WITHDRAWAL_TIERS = ((5.0, 100), (15.0, 70))
-REVENUE_CV_TIERS = ((15.0, 100), (30.0, 70), (40.0, 40))
-ACTIVE_DAYS_TIERS = ((90.0, 100), (70.0, 70))
-TICKET_CV_TIERS = ((30.0, 100), (50.0, 70))
-FREQUENCY_TIERS = ((80.0, 100), (40.0, 70))
-# Wording of the bands.
-SCORE_WORDS = ((85, "Excellent"), (70, "Good"), (50, "Fair"), (30, "Weak"))
-LOWEST_SCORE_WORD = "Poor"
-DSCR_WORDS = (
-    (1.75, "strong repayment capacity"),
-    (1.25, "acceptable repayment capacity"),
-    (1.0, "modest, borderline repayment capacity"),
-)
-WEAK_DSCR = "weak repayment capacity"
-CV_WORDS = (
-    (15.0, "very stable"),
-    (30.0, "normal, moderate volatility"),
-    (40.0, "elevated volatility"),
-)
-HIGH_CV = "highly volatile"
-ACTIVE_DAYS_WORDS = (
-    (90.0, "consistent, near-daily activity"),
-    (70.0, "regular but uneven activity"),
-)
-FEW_ACTIVE_DAYS = "sparse, irregular activity"
-NOT_AVAILABLE = "not available"
-
 DAYS_PER_YEAR = 365
 
-
-def _ladder(steps: Sequence[tuple[float, object]], test: Callable, otherwise: object) -> Column:
-    """First step whose threshold passes ``test``; a NULL comparison passes nothing."""
-    threshold, result = steps[0]
-    chain = F.when(test(F.lit(threshold)), F.lit(result))
-    for threshold, result in steps[1:]:
-        chain = chain.when(test(F.lit(threshold)), F.lit(result))
-    return chain.otherwise(F.lit(otherwise))
-
-
-def high_is_good(value: Column, tiers: Sequence[tuple[float, int]]) -> Column:
-    return _ladder(tiers, lambda t: value >= t, 0)
-
-
-def low_is_good(value: Column, tiers: Sequence[tuple[float, int]]) -> Column:
-    return _ladder(tiers, lambda t: value <= t, 0)
+Result = int | str
+_TESTS = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt}
+_NOT_AVAILABLE = "not available"
+
+
+@dataclass(frozen=True)
+class Band:
+    """The result of the first step whose test the value passes, else ``rest``; ``missing`` for NULL."""
+
+    steps: tuple[tuple[str, float, Result], ...]
+    rest: Result
+    missing: Result
+
+    def of(self, value: Column) -> Column:
+        chain = F.when(value.isNull(), F.lit(self.missing))
+        for test, threshold, result in self.steps:
+            chain = chain.when(_TESTS[test](value, F.lit(threshold)), F.lit(result))
+        return chain.otherwise(F.lit(self.rest))
+
+
+# Thresholds, scores and words. Words for 15.0 differ from its score on purpose: the
+# score is full up to 15.0, the words are "very stable" only below it.
+BANDS = {
+    "dscr": Band(((">=", 1.75, 100), (">=", 1.25, 70), (">=", 1.0, 40)), 0, 0),
+    "balance_cover": Band(((">=", 1.5, 100), (">=", 1.0, 70), (">=", 0.5, 40)), 0, 0),
+    "cheque_returns": Band((("<=", 0, 100), ("<=", 1, 60)), 0, 0),
+    "cash_withdrawal": Band((("<=", 5.0, 100), ("<=", 15.0, 70)), 0, 0),
+    "filing_delays": Band((("<=", 0, 100), ("<=", 2, 70)), 0, 100),
+    "revenue_cv": Band((("<=", 15.0, 100), ("<=", 30.0, 70), ("<=", 40.0, 40)), 0, 0),
+    "growth_trend": Band(((">", 1, 100), (">=", -1, 70)), 0, 70),
+    "active_days": Band(((">=", 90.0, 100), (">=", 70.0, 70)), 0, 0),
+    "ticket_cv": Band((("<=", 30.0, 100), ("<=", 50.0, 70)), 0, 0),
+    "frequency": Band(((">=", 80.0, 100), (">=", 40.0, 70)), 0, 0),
+    "employee_growth": Band(((">", 0, 100), (">=", 0, 70)), 0, 70),
+    "contributions": Band((("<=", 0, 100), ("<=", 2, 70)), 0, 0),
+    "score_word": Band(
+        ((">=", 85, "Excellent"), (">=", 70, "Good"), (">=", 50, "Fair"), (">=", 30, "Weak")), "Poor", "Poor"
+    ),
+    "gauge": Band((("<", 40, "red"), ("<", 70, "yellow")), "green", "green"),
+    "dscr_words": Band(
+        (
+            (">=", 1.75, "strong repayment capacity"),
+            (">=", 1.25, "acceptable repayment capacity"),
+            (">=", 1.0, "modest, borderline repayment capacity"),
+        ),
+        "weak repayment capacity",
+        _NOT_AVAILABLE,
+    ),
+    "cv_words": Band(
+        (
+            ("<", 15.0, "very stable"),
+            ("<", 30.0, "normal, moderate volatility"),
+            ("<", 40.0, "elevated volatility"),
+        ),
+        "highly volatile",
+        _NOT_AVAILABLE,
+    ),
+    "active_days_words": Band(
+        ((">=", 90.0, "consistent, near-daily activity"), (">=", 70.0, "regular but uneven activity")),
+        "sparse, irregular activity",
+        _NOT_AVAILABLE,
+    ),
+}
 
 
-def dscr_score(dscr: Column) -> Column:
-    return high_is_good(dscr, DSCR_TIERS)
+def band(name: str, value: Column) -> Column:
+    return BANDS[name].of(value)
 
 
 def expense_days(monthly_expenses: Column, days: float) -> Column:
     return dbl(monthly_expenses) / F.lit(30.0) * F.lit(days)
 
 
-def balance_cover_score(balance: Column, monthly_expenses: Column) -> Column:
-    cover = F.try_divide(dbl(balance), expense_days(monthly_expenses, 45.0))
-    return F.when(monthly_expenses <= 0, F.lit(100)).otherwise(
-        high_is_good(cover, BALANCE_COVER_TIERS)
-    )
-
-
-def cheque_return_score(count: Column) -> Column:
-    return F.when(count == 0, F.lit(100)).when(count == 1, F.lit(60)).otherwise(F.lit(0))
-
-
-def cash_withdrawal_score(percent: Column) -> Column:
-    return low_is_good(percent, CASH_WITHDRAWAL_TIERS)
-
-
-def few_events_score(count: Column) -> Column:
-    """None is full marks, one or two is 70, more is 0."""
-    return F.when(count == 0, F.lit(100)).when(count <= 2, F.lit(70)).otherwise(F.lit(0))
-
-
-def filing_delay_score(delays: Column) -> Column:
-    return F.when(delays.isNull(), F.lit(100)).otherwise(few_events_score(delays))
-
-
-def contribution_score(late_count: Column) -> Column:
-    return few_events_score(late_count)
-
-
-def revenue_cv_score(cv_percent: Column) -> Column:
-    return low_is_good(cv_percent, REVENUE_CV_TIERS)
-
-
-def growth_trend_score(cagr_percent: Column) -> Column:
-    return F.when(cagr_percent > 1, F.lit(100)).when(cagr_percent < -1, F.lit(0)).otherwise(F.lit(70))
-
-
-def employee_growth_score(growth_percent: Column) -> Column:
-    return (
-        F.when(growth_percent > 0, F.lit(100)).when(growth_percent < 0, F.lit(0)).otherwise(F.lit(70))
-    )
-
-
-def active_days_score(percent: Column) -> Column:
-    return high_is_good(percent, ACTIVE_DAYS_TIERS)
-
-
-def ticket_cv_score(cv_percent: Column) -> Column:
-    return low_is_good(cv_percent, TICKET_CV_TIERS)
-
-
-def frequency_score(daily_transactions: Column) -> Column:
-    return high_is_good(daily_transactions, FREQUENCY_TIERS)
-
-
 def weighted(*parts: tuple[Column, float]) -> Column:
     """Weighted sum of scores, added left to right in double and rounded half-even."""
     score, weight = parts[0]
@@ -143,28 +107,3 @@ def weighted(*parts: tuple[Column, float]) -> Column:
 
 def composite() -> Column:
     return weighted(*[(F.col(name), weight) for name, weight in WEIGHTS.items()])
-
-
-def score_word(score: Column) -> Column:
-    return _ladder(SCORE_WORDS, lambda t: score >= t, LOWEST_SCORE_WORD)
-
-
-def _words(value: Column, chain: Column) -> Column:
-    return F.when(value.isNull(), F.lit(NOT_AVAILABLE)).otherwise(chain)
-
-
-def dscr_words(dscr: Column) -> Column:
-    return _words(dscr, _ladder(DSCR_WORDS, lambda t: dscr >= t, WEAK_DSCR))
-
-
-def cv_words(cv_percent: Column) -> Column:
-    # Strictly below, unlike the score tiers: exactly 15.0 scores 100 but reads "normal".
-    return _words(cv_percent, _ladder(CV_WORDS, lambda t: cv_percent < t, HIGH_CV))
-
-
-def active_days_words(percent: Column) -> Column:
-    return _words(percent, _ladder(ACTIVE_DAYS_WORDS, lambda t: percent >= t, FEW_ACTIVE_DAYS))
-
-
-def gauge_band(score: Column) -> Column:
-    return F.when(score < 40, F.lit("red")).when(score < 70, F.lit("yellow")).otherwise(F.lit("green"))

@@ -98,17 +98,17 @@ def facts(cards: DataFrame, *passthrough: Column) -> DataFrame:
         lakh("gst_max_paise").alias("gst_max"),
         _or_na(_number("gst_cagr_percent")).alias("gst_growth"),
         _or_na(_number("gst_cv_percent")).alias("gst_cv"),
-        bd.cv_words(F.col("gst_cv_percent")).alias("cv_interpretation"),
+        bd.band("cv_words", F.col("gst_cv_percent")).alias("cv_interpretation"),
         _or_na(whole("gst_filing_delays")).alias("gst_filing_delays"),
         whole("upi_avg_daily_collections").alias("upi_avg_daily"),
         whole("upi_total_transactions").alias("upi_transactions_count"),
         whole("upi_active_days").alias("upi_active_days"),
-        bd.active_days_words(F.col("upi_active_days_percent")).alias("upi_pattern_interpretation"),
+        bd.band("active_days_words", F.col("upi_active_days_percent")).alias("upi_pattern_interpretation"),
         F.col("aa_available").alias("is_aa_available"),
         rupee_lakh("aa_avg_monthly_credits").alias("aa_avg_credits"),
         rupee_lakh("aa_avg_daily_balance").alias("aa_adb"),
         _if_source("aa_available", _number("aa_dscr")).alias("dscr"),
-        bd.dscr_words(F.col("aa_dscr")).alias("dscr_interpretation"),
+        bd.band("dscr_words", F.col("aa_dscr")).alias("dscr_interpretation"),
         _if_source("aa_available", whole("aa_cheque_return_count")).alias("cheque_returns"),
         _if_source("aa_available", _number("aa_cash_withdrawal_percent")).alias(
             "cash_withdrawal_pct"

@@ -14,58 +14,50 @@ def _or_zero(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
-# Every banded input, by the name of its score column. A missing bank source counts as zero
-# balance, zero expenses and zero cheque returns; a missing payroll source as zero late payments.
-def band_scores() -> dict[str, Column]:
-    daily_transactions = dbl(F.col("upi_total_transactions")) / F.lit(float(bd.DAYS_PER_YEAR))
+# The banded inputs of each dimension and their weights, in summing order.
+DIMENSION_PARTS = {
+    "aa_bank_cashflow": {"dscr": 0.40, "balance_cover": 0.30, "cheque_returns": 0.20, "cash_withdrawal": 0.10},
+    "gst_quality": {"filing_delays": 0.50, "revenue_cv": 0.30, "growth_trend": 0.20},
+    "upi_behaviour": {"active_days": 0.50, "ticket_cv": 0.30, "frequency": 0.20},
+    "epfo_stability": {"employee_growth": 0.50, "contributions": 0.50},
+}
+DIMENSIONS = tuple(bd.WEIGHTS)
+
+
+def band_inputs() -> dict[str, Column]:
+    """The value that each band judges.
+
+    A missing bank source counts as zero balance, zero expenses and zero cheque returns; a missing
+    payroll source as zero late payments.
+    """
+    expenses = _or_zero("aa_avg_monthly_operating_expenses")
+    cover = F.try_divide(dbl(_or_zero("aa_avg_daily_balance")), bd.expense_days(expenses, 45.0))
     return {
-        "score_dscr": bd.dscr_score(F.col("aa_dscr")),
-        "score_balance_cover": bd.balance_cover_score(
-            _or_zero("aa_avg_daily_balance"), _or_zero("aa_avg_monthly_operating_expenses")
-        ),
-        "score_cheque_returns": bd.cheque_return_score(_or_zero("aa_cheque_return_count")),
-        "score_cash_withdrawal": bd.cash_withdrawal_score(F.col("aa_cash_withdrawal_percent")),
-        "score_filing_delays": bd.filing_delay_score(F.col("gst_filing_delays")),
-        "score_revenue_cv": bd.revenue_cv_score(F.col("gst_cv_percent")),
-        "score_growth_trend": bd.growth_trend_score(F.col("gst_cagr_percent")),
-        "score_active_days": bd.active_days_score(F.col("upi_active_days_percent")),
-        "score_ticket_cv": bd.ticket_cv_score(F.col("upi_ticket_size_cv_percent")),
-        "score_frequency": bd.frequency_score(daily_transactions),
-        "score_employee_growth": bd.employee_growth_score(F.col("epfo_employee_growth_percent")),
-        "score_contributions": bd.contribution_score(
-            _or_zero("epfo_contribution_timeliness_late_count")
-        ),
+        "dscr": F.col("aa_dscr"),
+        # Without expenses any balance covers them.
+        "balance_cover": F.when(expenses <= 0, F.lit(float("inf"))).otherwise(cover),
+        "cheque_returns": _or_zero("aa_cheque_return_count"),
+        "cash_withdrawal": F.col("aa_cash_withdrawal_percent"),
+        "filing_delays": F.col("gst_filing_delays"),
+        "revenue_cv": F.col("gst_cv_percent"),
+        "growth_trend": F.col("gst_cagr_percent"),
+        "active_days": F.col("upi_active_days_percent"),
+        "ticket_cv": F.col("upi_ticket_size_cv_percent"),
+        "frequency": dbl(F.col("upi_total_transactions")) / F.lit(float(bd.DAYS_PER_YEAR)),
+        "employee_growth": F.col("epfo_employee_growth_percent"),
+        "contributions": _or_zero("epfo_contribution_timeliness_late_count"),
     }
 
 
-# Weight of each banded input within its dimension, in summing order.
-DIMENSION_PARTS = {
-    "aa_bank_cashflow": (
-        ("score_dscr", 0.40),
-        ("score_balance_cover", 0.30),
-        ("score_cheque_returns", 0.20),
-        ("score_cash_withdrawal", 0.10),
-    ),
-    "gst_quality": (
-        ("score_filing_delays", 0.50),
-        ("score_revenue_cv", 0.30),
-        ("score_growth_trend", 0.20),
-    ),
-    "upi_behaviour": (
-        ("score_active_days", 0.50),
-        ("score_ticket_cv", 0.30),
-        ("score_frequency", 0.20),
-    ),
-    "epfo_stability": (("score_employee_growth", 0.50), ("score_contributions", 0.50)),
-}
-DIMENSIONS = tuple(bd.WEIGHTS)
+def band_columns() -> list[str]:
+    return [f"score_{name}" for parts in DIMENSION_PARTS.values() for name in parts]
 
 
 def dimension_scores(ratios: DataFrame) -> DataFrame:
     """Adds the twelve band scores and the five dimension scores."""
-    banded = ratios.withColumns(band_scores())
+    banded = ratios.withColumns({f"score_{n}": bd.band(n, value) for n, value in band_inputs().items()})
     dims = {
-        name: bd.weighted(*[(F.col(part), weight) for part, weight in parts])
+        name: bd.weighted(*[(F.col(f"score_{part}"), weight) for part, weight in parts.items()])
         for name, parts in DIMENSION_PARTS.items()
     }
     dims["gst_quality"] = F.when(F.col("gst_is_gst_registered"), dims["gst_quality"]).otherwise(
@@ -77,7 +69,7 @@ def dimension_scores(ratios: DataFrame) -> DataFrame:
 
 def composite_score(dimensions: DataFrame) -> DataFrame:
     scored = dimensions.withColumn("composite_score", bd.composite())
-    return scored.withColumn("score_interpretation", bd.score_word(F.col("composite_score")))
+    return scored.withColumn("score_interpretation", bd.band("score_word", F.col("composite_score")))
 
 
 def _flag(when: Column, message: str, *args: Column) -> Column:

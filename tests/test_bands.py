@@ -4,19 +4,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from altcredit.functions import bands as bd
+from altcredit.operators import scoring
 
 CASES = {
     "dscr_score": [(None, 0), (1.75, 100), (1.74, 70), (1.25, 70), (1.24, 40), (1.0, 40), (0.99, 0)],
-    "cheque_return_score": [(0, 100), (1, 60), (2, 0)],
+    "cheque_returns_score": [(0, 100), (1, 60), (2, 0)],
     "cash_withdrawal_score": [(None, 0), (5.0, 100), (5.1, 70), (15.0, 70), (15.1, 0)],
-    "filing_delay_score": [(None, 100), (0, 100), (1, 70), (2, 70), (3, 0)],
+    "filing_delays_score": [(None, 100), (0, 100), (1, 70), (2, 70), (3, 0)],
     "revenue_cv_score": [(None, 0), (15.0, 100), (15.1, 70), (30.0, 70), (30.1, 40), (40.0, 40), (40.1, 0)],
     "growth_trend_score": [(None, 70), (1.1, 100), (1.0, 70), (-1.0, 70), (-1.1, 0)],
     "active_days_score": [(90.0, 100), (89.9, 70), (70.0, 70), (69.9, 0)],
     "ticket_cv_score": [(None, 0), (30.0, 100), (30.1, 70), (50.0, 70), (50.1, 0)],
     "frequency_score": [(80.0, 100), (79.9, 70), (40.0, 70), (39.9, 0)],
     "employee_growth_score": [(None, 70), (0.1, 100), (0.0, 70), (-0.1, 0)],
-    "contribution_score": [(0, 100), (2, 70), (3, 0)],
+    "contributions_score": [(0, 100), (2, 70), (3, 0)],
     "score_word": [(85, "Excellent"), (84, "Good"), (70, "Good"), (69, "Fair"), (50, "Fair"), (49, "Weak"), (30, "Weak"), (29, "Poor")],
     "dscr_words": [
         (None, "not available"),
@@ -38,7 +39,7 @@ CASES = {
         (70.0, "regular but uneven activity"),
         (69.9, "sparse, irregular activity"),
     ],
-    "gauge_band": [(39, "red"), (40, "yellow"), (69, "yellow"), (70, "green"), (100, "green")],
+    "gauge": [(39, "red"), (40, "yellow"), (69, "yellow"), (70, "green"), (100, "green")],
 }
 
 
@@ -48,7 +49,7 @@ def test_bands(spark, name):
     rows = spark.createDataFrame(
         [(i, float(v) if v is not None else None) for i, (v, _) in enumerate(cases)], "i int, v double"
     )
-    got = rows.select("i", getattr(bd, name)(F.col("v")).alias("s")).orderBy("i").collect()
+    got = rows.select("i", bd.band(name.removesuffix("_score"), F.col("v")).alias("s")).orderBy("i").collect()
     assert [r.s for r in got] == [want for _, want in cases]
 
 
@@ -57,7 +58,8 @@ def test_bands(spark, name):
     [(0, 0, 100), (5, -1, 100), (225, 100, 100), (224, 100, 70), (150, 100, 70), (149, 100, 40), (75, 100, 40), (74, 100, 0)],
 )
 def test_balance_cover(spark, balance, expenses, want):
-    got = spark.range(1).select(bd.balance_cover_score(F.lit(balance), F.lit(expenses))).collect()
+    row = spark.createDataFrame([(balance, expenses)], "aa_avg_daily_balance long, aa_avg_monthly_operating_expenses long")
+    got = row.select(bd.band("balance_cover", scoring.band_inputs()["balance_cover"])).collect()
     assert got[0][0] == want
 
 
