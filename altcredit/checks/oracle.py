@@ -944,22 +944,38 @@ oracle(
     "SELECT customer_id, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, CAST(sum(collections) AS BIGINT) AS collections_paise "
     "FROM upi_t GROUP BY ALL",
 )
+cte(
+    "points_t",
+    """SELECT customer_id, 'gst' AS source, string_agg(strftime(make_date(y, m, 1), '%b %Y') || '=' || sales, '; ' ORDER BY y, m) AS points
+FROM gst_t WHERE k % 5 <> 0 GROUP BY customer_id
+UNION ALL SELECT customer_id, 'upi', string_agg(strftime(first, '%b %Y') || '=' || total, '; ' ORDER BY first)
+FROM (SELECT customer_id, date_trunc('month', d) AS first, sum(collections) AS total FROM upi_t GROUP BY ALL) GROUP BY customer_id
+UNION ALL SELECT customer_id, 'epfo', string_agg(strftime(make_date(y, m, 1), '%b %Y') || '=' || heads * 100, '; ' ORDER BY y, m)
+FROM epfo_t WHERE k % 7 <> 0 GROUP BY customer_id""",
+)
 oracle(
     "report_documents",
     f"""SELECT f.customer_id, CAST(f.scorecard_date AS DATE) AS scorecard_date, 'fallback' AS generation_method,
   customer_name AS business_name, {filled(wd.SUMMARY)} AS summary,
-  CASE WHEN len(red) > 0 THEN red[1] || '{wd.FLAG_SOURCE}' ELSE '{wd.NO_RISKS}' END AS first_risk,
-  CASE WHEN is_gst_registered THEN 'GST' ELSE 'UPI' END AS sources,
-  CAST(3 + greatest(len(green), 1) + greatest(len(red), 1) AS VARCHAR) AS total_claims,
-  CAST(composite_score AS VARCHAR) AS gauge, gst_aa_ratio AS gst_bank_ratio,
-  CASE WHEN is_gst_registered THEN '{wd.GST_TREND_TITLE}' WHEN u.first_month IS NOT NULL THEN '{wd.UPI_TREND_TITLE}'
-    WHEN is_epfo_available THEN '{wd.HEADCOUNT_TITLE}' END AS fourth_chart,
-  strftime(CASE WHEN is_gst_registered THEN g.first_month WHEN u.first_month IS NOT NULL THEN u.first_month
-    WHEN is_epfo_available THEN e.first_month END, '%b %Y') AS first_month
-FROM facts_t f
-LEFT JOIN (SELECT customer_id, min(make_date(y, m, 1)) AS first_month FROM gst_t WHERE k % 5 <> 0 GROUP BY ALL) g ON g.customer_id = f.customer_id
-LEFT JOIN (SELECT customer_id, min(date_trunc('month', d)) AS first_month FROM upi_t GROUP BY ALL) u ON u.customer_id = f.customer_id
-LEFT JOIN (SELECT customer_id, min(make_date(y, m, 1)) AS first_month FROM epfo_t WHERE k % 7 <> 0 GROUP BY ALL) e ON e.customer_id = f.customer_id""",
+  (CASE WHEN dscr <> 'NA' THEN {filled(wd.HEALTH_WITH_BANK)} ELSE {filled(wd.HEALTH_WITHOUT_BANK)} END) ||
+  (CASE WHEN is_gst_registered AND gst_cv <> 'NA' THEN {filled(wd.HEALTH_GST)} ELSE '' END) AS financial_health,
+  {claims('f.green', wd.NO_STRENGTHS)} AS strengths, {claims('f.red', wd.NO_RISKS)} AS risks,
+  CASE WHEN len(f.red) > 0 THEN {quoted(wd.RECOMMEND_REVIEW)} ELSE {quoted(wd.RECOMMEND_MONITORING)} END AS recommendations,
+  (CASE WHEN is_gst_registered THEN 'GST | ' ELSE '' END) || 'UPI'
+    || (CASE WHEN is_aa_available THEN ' | AA' ELSE '' END) || (CASE WHEN is_epfo_available THEN ' | EPFO' ELSE '' END) AS sources,
+  CAST(3 + greatest(len(f.green), 1) + greatest(len(f.red), 1) AS VARCHAR) AS total_claims,
+  CAST({CITED} AS VARCHAR) AS ratios_cited, CAST(f.composite_score AS VARCHAR) AS gauge,
+  '[' || array_to_string([{DIM_COLS}], ',') || ']' AS scores,
+  {", ".join(f"{or_na(f'cross_{name}_ratio')} AS ratio_{i}, CASE WHEN cross_{name}_mismatch IS NULL THEN 'NA' WHEN cross_{name}_mismatch THEN '{wd.MISMATCH}' ELSE '{wd.ALIGNED}' END AS status_{i}" for i, name in enumerate(wd.CROSS_LABELS))},
+  CASE WHEN g.points IS NOT NULL THEN '{wd.GST_TREND_TITLE}' WHEN u.points IS NOT NULL THEN '{wd.UPI_TREND_TITLE}'
+    WHEN e.points IS NOT NULL THEN '{wd.HEADCOUNT_TITLE}' END AS fourth_chart,
+  coalesce(g.points, u.points, e.points) AS fourth_points,
+  CASE WHEN coalesce(g.points, u.points) IS NOT NULL AND e.points IS NOT NULL THEN '{wd.HEADCOUNT_TITLE}' END AS fifth_chart,
+  CASE WHEN coalesce(g.points, u.points) IS NOT NULL THEN e.points END AS fifth_points
+FROM facts_t f JOIN (SELECT customer_id, {DIM_COLS}, {CROSS_COLS} FROM flagged) s ON s.customer_id = f.customer_id
+LEFT JOIN points_t g ON g.customer_id = f.customer_id AND g.source = 'gst'
+LEFT JOIN points_t u ON u.customer_id = f.customer_id AND u.source = 'upi'
+LEFT JOIN points_t e ON e.customer_id = f.customer_id AND e.source = 'epfo'""",
 )
 
 # --- listings -----------------------------------------------------------------------------

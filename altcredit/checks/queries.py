@@ -485,7 +485,7 @@ def upi_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of the finished report documents, read back from their JSON text."""
+    """The finished report documents, read back from their JSON text."""
     made = reports.build_reports(
         sc.documents(_scored(spark, sf_dir)),
         v.customers(spark, sf_dir),
@@ -494,22 +494,44 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         v.epfo_payroll(spark, sf_dir).filter(v.has_epfo()),
         RUN_TS,
     )
-    paths = {
+    texts = {
         "business_name": "$.business_name",
         "summary": "$.narrative.summary",
-        "first_risk": "$.narrative.risks[0]",
-        "sources": "$.audit_trail.data_sources_used[0]",
+        "financial_health": "$.narrative.financial_health",
+        "recommendations": "$.narrative.recommendations",
         "total_claims": "$.audit_trail.total_claims",
+        "ratios_cited": "$.audit_trail.ratios_cited",
         "gauge": "$.chart_configs[0].data_value",
-        "gst_bank_ratio": "$.chart_configs[2].rows[0][1]",
+        "scores": "$.chart_configs[1].data",
         "fourth_chart": "$.chart_configs[3].title",
-        "first_month": "$.chart_configs[3].data[0].month",
+        "fifth_chart": "$.chart_configs[4].title",
     }
+    for i in range(4):
+        texts[f"ratio_{i}"] = f"$.chart_configs[2].rows[{i}][1]"
+        texts[f"status_{i}"] = f"$.chart_configs[2].rows[{i}][2]"
+    lists = {
+        "strengths": "$.narrative.strengths",
+        "risks": "$.narrative.risks",
+        "sources": "$.audit_trail.data_sources_used",
+    }
+    points = {"fourth_points": "$.chart_configs[3].data", "fifth_points": "$.chart_configs[4].data"}
+
+    def part(path: str) -> Column:
+        return F.get_json_object("report_json", path)
+
+    def line(path: str) -> Column:
+        found = F.from_json(part(path), "array<struct<month:string,value:double>>")
+        return F.array_join(
+            F.transform(found, lambda p: F.concat_ws("=", p["month"], F.rint(p["value"] * 100).cast("bigint").cast("string"))), "; "
+        )
+
     return made.select(
         "customer_id",
         "scorecard_date",
         "generation_method",
-        *[F.get_json_object("report_json", path).alias(name) for name, path in paths.items()],
+        *[part(path).alias(name) for name, path in texts.items()],
+        *[F.array_join(F.from_json(part(path), "array<string>"), " | ").alias(name) for name, path in lists.items()],
+        *[line(path).alias(name) for name, path in points.items()],
     )
 
 
