@@ -59,6 +59,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
+#: Places of the intermediate tables that this process has made.
+_WRITTEN: list[str] = []
 #: Removes a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -72,9 +74,26 @@ def written(frame: DataFrame, name: str) -> DataFrame:
         frame.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    _WRITTEN.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def tables_written() -> list[str]:
+    """The places of the tables that ``written`` has made and ``release`` hasn't removed."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, *keep: str) -> None:
+    """Removes the tables that ``written`` has made, but for those to keep.
+
+    An operator's result may read them until it is computed; call this after that.
+    """
+    for path in [p for p in _WRITTEN if p not in keep]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _WRITTEN.remove(path)
+
+
 def packed(docs: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names, and the whole input row as struct ``row``."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

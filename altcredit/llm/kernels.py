@@ -179,7 +179,7 @@ def joined_words(data, offsets, starts, ends, first_word, keep):
     return out[mask], sizes[offsets]
 
 
-def gathered(batches, size: int = 8 << 20):
+def gathered(batches, size: int = 4 << 20):
     """Tables of about ``size`` bytes of text from a stream of record batches."""
     held, n = [], 0
     for batch in batches:

@@ -36,8 +36,8 @@ from altcredit.llm import signature_tree as T
 from altcredit.llm.common import pieces_of, schema, small_batches, written
 
 #: Bytes of tokens in one tree, and in one task.
-TREE_BYTES = 32 << 20
-TASK_BYTES = 16 << 20
+TREE_BYTES = 8 << 20
+TASK_BYTES = 8 << 20
 SETS = "size bigint, name bigint, block bigint, tokens binary"
 
 
@@ -75,10 +75,13 @@ def _candidates(grams, begin, recurs, percent):
     return shared, (size > 0) & (shared * 100 >= size * percent)
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, whole: bool = False
+) -> DataFrame:
     """Rows (id, n_shingles, component, root[, row]), one for each document; ``row`` as in ``recurring.dealt``.
 
-    ``root`` is a number that the documents of a component share; null for one without any link.
+    ``root`` is a number that the documents of a component share; null for one without any link. With
+    ``whole`` the rows hold the ``text`` too.
     """
     small_batches(docs.sparkSession)
     rows, groups = R.dealt(docs, key, text)
@@ -87,7 +90,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def grams_of(key, table):
         return R.send(key[0].as_py(), buckets, R.codes(_sets(table["text"], n)[0], buckets), narrow=True)
 
-    fields = [f.name for f in rows.schema.fields if f.name in ("id", "row")]
+    fields = [f.name for f in rows.schema.fields if f.name in ("id", "row") or f.name == "text" and whole]
 
     def sets_of(key, table, found):
         grams, begin, name = _sets(table["text"], n)
@@ -120,7 +123,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ids = made.where("name is not null").groupBy("name").agg(F.min("id").alias("least"))
     least = ids.join(merged, "name").groupBy("root").agg(F.min("least").alias("component"))
     names = merged.join(least, "root").select("name", "root", "component")
-    keep = [c for c in ("row",) if c in made.columns]
+    keep = [c for c in ("text", "row") if c in made.columns]
     return made.join(names, "name", "left").select(
         "id", F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component"), "root", *keep
     )

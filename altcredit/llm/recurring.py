@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from altcredit.llm import kernels as K
 from altcredit.llm.common import pieces_of, total_bytes
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 SENT = "bucket int, g int, keys binary, many binary"
 ANSWER = "g int, bucket int, keys binary"
 

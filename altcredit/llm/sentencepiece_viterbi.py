@@ -126,7 +126,7 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "id
     def encode(batches):
         vocabulary = P.Vocabulary(model.value)
         search = Search(vocabulary)
-        for rows in K.gathered(batches, 4 << 20):
+        for rows in K.gathered(batches, 2 << 20):
             segments, first = P.segments(*P.marked(rows["text"]), vocabulary.joint)
             if len(segments):
                 coded = segments.dictionary_encode()
@@ -154,7 +154,7 @@ def decoded(frame: DataFrame, model_path: str, ids: str = "ids", text: str = "de
         size = np.array([len(b) for b in raw], np.int64)
         start = np.cumsum(size) - size
         data = np.frombuffer(b"".join(raw), np.uint8)
-        for rows in K.gathered(batches, 4 << 20):
+        for rows in K.gathered(batches, 2 << 20):
             lists = rows["ids"].combine_chunks().fill_null(pa.scalar([], pa.list_(pa.int32())))
             flat = lists.flatten().to_numpy()
             first = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from altcredit.llm import decontamination, ngram_jaccard, quality, sentencepiece_viterbi, substring_dedup
-from altcredit.llm.common import written
+from altcredit.llm.common import release, tables_written, written
 from altcredit.llm.queries import documents, model_path
 
 
@@ -28,9 +28,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar ones: the one with the smallest id, a null being last."""
-    whole = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text"), F.struct(*_columns(docs)).alias("whole"))
+    rest = F.struct(*_columns(docs.drop("text"))).alias("rest")
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text"), rest)
+    linked = ngram_jaccard.jaccard_components(rows, "id", "text", whole=True)
+    columns = [F.col("text") if c == "text" else F.col(f"row.rest.`{c}`").alias(c) for c in docs.columns]
     # Written once: both halves of the union read it.
-    found = written(ngram_jaccard.jaccard_components(whole, "id", "text").select("id", "root", "row.whole"), "components")
+    found = written(linked.select("id", "root", F.struct(*columns).alias("whole")), "components")
     alone = found.where("root is null").select("whole.*")
     order = F.struct(F.isnull("id"), F.col("id"))
     first = found.where("root is not null").groupBy("root").agg(F.min_by("whole", order).alias("whole"))
@@ -81,7 +84,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages over the documents; what a stage has read or left goes once its result is written."""
+    docs, others = documents(spark, sf_dir), tables_written()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, *others, tables_written()[-1])
     return docs
