@@ -188,14 +188,13 @@ def _linked_in_blocks(sets: DataFrame, percent: int) -> DataFrame:
 def _links_between(sets: DataFrame, linked: DataFrame, roots: DataFrame, percent: int, one_each: bool) -> DataFrame:
     """Step 3: links (a, b) between components; with ``one_each`` by one set a component and n-gram."""
     grams = linked.select("name", F.explode("prefix").alias("gram")).join(roots, "name")
-    several = grams.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("gram")
-    opened = grams.join(several, "gram").select("gram", "name", "root")
-    if one_each:
-        opened = opened.groupBy("gram", "root").agg(F.min("name").alias("name"))
-    opened = written(opened, "open")
     # A block is all sets that share an open n-gram whose smallest set is the same.
-    least = opened.groupBy("gram").agg(F.min("name").alias("block"))
-    where = opened.join(least, "gram").select("block", "name", "root").distinct()
+    ends = (F.min("root").alias("a"), F.max("root").alias("b"), F.min("name").alias("block"))
+    several = grams.groupBy("gram").agg(*ends).where("a <> b").select("gram", "block")
+    opened = grams.join(several, "gram").select("gram", "block", "name", "root")
+    if one_each:
+        opened = opened.groupBy("gram", "block", "root").agg(F.min("name").alias("name"))
+    where = opened.select("block", "name", "root").distinct()
     return _pairs_of_parts(written(where, "blocks"), sets.select("name", "size", "tokens"), percent)
 
 
