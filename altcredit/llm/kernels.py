@@ -192,19 +192,41 @@ def gathered(batches, size: int = 4 << 20):
         yield pa.Table.from_batches(held)
 
 
+def _leftmost_minimum(values: np.ndarray, span: int, at: np.ndarray) -> np.ndarray:
+    """Place of the smallest of the ``span`` values from each place in ``at`` on, the leftmost of equal ones.
+
+    The place modulo 128 rides in the low bits, so one minimum finds value and place. It orders places
+    rightly in all windows but those that hold a multiple of 128; these take a second one, half a turn
+    apart.
+    """
+    seven, index = U(127), np.arange(len(values), dtype=U)
+    out = np.empty(len(at), np.int64)
+    wraps = (at & 127) + span > 128
+    for turn, mine in ((0, ~wraps), (64, wraps)):
+        best = (values & ~seven) | ((index + U(turn)) & seven)
+        have = 1
+        while have < span:
+            move = min(have, span - have)
+            best = np.minimum(best[:-move], best[move:])
+            have += move
+        start = at[mine]
+        out[mine] = start + (((best[start] & seven).astype(np.int64) - start - turn) & 127)
+    return out
+
+
 def smallest_seeds(data: np.ndarray, offsets: np.ndarray, length: int, seed: int, step: int = 1 << 20):
     """Runs of windows of ``length`` bytes that select the same seed of ``seed`` bytes.
 
-    A window selects its seed with the smallest hash, so equal windows select equal seeds. Gives the
-    first window of each run, the number of its windows, the seed's place and hash; windows lie inside
-    one text. Takes ``step`` windows at a time, whatever the length of a text.
+    A window selects its seed with the smallest hash, the leftmost of equal ones, so equal windows
+    select equal seeds at equal places. Gives the first window of each run, the number of its
+    windows, the place and the hash of the seed; windows lie inside one text. Takes ``step`` windows
+    at a time, whatever the length of a text.
     """
     inside = np.ones(len(data), bool)
     tail = np.minimum(np.diff(offsets), length - 1)
     inside[ranges(offsets[1:] - tail, tail)] = False
     values, span = byte_values(), length - seed + 1
     assert span <= 64
-    low6 = U(63)
     out: list[tuple] = []
     for low in range(0, len(data), step):
         part = data[low : low + step + length - 1]
@@ -212,14 +234,7 @@ def smallest_seeds(data: np.ndarray, offsets: np.ndarray, length: int, seed: int
         if not len(at):
             continue
         grams = window_hashes(values[part], seed)
-        # The place modulo 64 rides in the low bits, so one minimum finds value and place.
-        best = (grams & ~low6) | (np.arange(len(grams), dtype=U) & low6)
-        have = 1
-        while have < span:
-            move = min(have, span - have)
-            best = np.minimum(best[:-move], best[move:])
-            have += move
-        chosen = at + (((best[at] & low6).astype(np.int64) - at) & 63)
+        chosen = _leftmost_minimum(grams, span, at)
         new = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)))
         out.append((at[new] + low, np.diff(np.append(new, len(at))), chosen[new] + low, grams[chosen[new]]))
     if not out:

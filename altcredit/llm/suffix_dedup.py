@@ -43,7 +43,10 @@ REGION, SEED, WINDOW, PLACES = range(4)
 
 
 def _ordered(table: pa.Table) -> pa.Table:
-    """A group's rows by id, equal ids by text, whatever order they arrive in."""
+    """A group's rows by id, equal ids by text, whatever order they arrive in.
+
+    The passes that exchange regions or places must see a group's bytes in the same order.
+    """
     ids = _ids(table)
     order = np.argsort(ids, kind="stable")
     if (ids[order][1:] == ids[order][:-1]).any():
@@ -158,7 +161,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
         return _seeds(key[0].as_py(), buckets, _Group(table, length, seed))
 
     def regions(key, table, found):
-        return _regions(key[0].as_py(), buckets, _Group(table, length, seed), R.received(found, narrow=True))
+        return _regions(key[0].as_py(), buckets, _Group(_ordered(table), length, seed), R.received(found, narrow=True))
 
     def windows(key, table, found):
         g = key[0].as_py()

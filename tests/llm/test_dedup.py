@@ -59,6 +59,19 @@ def test_tree_links_all_pairs_of_a_block():
         assert got.tolist() == [union.find(i) for i in range(len(sets))]
 
 
+def test_seeds_do_not_depend_on_where_a_text_stands():
+    draw = random.Random(2)
+    text = b"".join(draw.choice([b"ab", b"abc", b"xyxyxyxyxyxy", b"q"]) for _ in range(400))
+
+    def seeds(before):
+        data = np.frombuffer(b"." * before + text, np.uint8)
+        start, count, place, seed = K.smallest_seeds(data, np.array([0, before, len(data)]), 50, 24)
+        mine = start >= before
+        return [(start[mine] - before).tolist(), count[mine].tolist(), (place[mine] - before).tolist(), seed[mine].tolist()]
+
+    assert all(seeds(n) == seeds(0) for n in (1, 13, 64, 100, 127, 128, 1000))
+
+
 def _components(rows):
     groups, sizes = plain.jaccard_groups([t for _, t in rows])
     out = []
@@ -106,7 +119,7 @@ def test_suffix_dedup_over_several_groups(spark, monkeypatch):
 
     monkeypatch.setattr(recurring.dealt, "__defaults__", (3000,))
     draw = random.Random(9)
-    parts = ["".join(draw.choice("abc ") for _ in range(70)) for _ in range(12)]
+    parts = ["".join(draw.choice("abc ") for _ in range(70)) for _ in range(12)] + ["xy" * 35, "pqr" * 25, "z" * 70]
     rows = [(i // 2, "".join(draw.choice(parts)[draw.randrange(20) :] for _ in range(draw.randint(0, 6)))) for i in range(80)]
     found = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     found = found.select("id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h"))
