@@ -14,7 +14,7 @@ U = np.uint64
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 LENGTH = U(0xA0761D6478BD642F)
-STEP = 1 << 18
+STEP = 1 << 16
 WHITE = (9, 10, 11, 12, 13, 32)
 
 
@@ -112,7 +112,7 @@ def window_hashes(items: np.ndarray, k: int) -> np.ndarray:
     if n < k:
         return np.zeros(0, U)
     out = np.empty(n - k + 1, U)
-    up, down = powers(STEP + k)
+    up, down = powers(min(STEP, n) + k)
     for low in range(0, n - k + 1, STEP):
         part = items[low : low + STEP + k - 1]
         total = np.zeros(len(part) + 1, U)
@@ -214,7 +214,7 @@ def _leftmost_minimum(values: np.ndarray, span: int, at: np.ndarray) -> np.ndarr
     return out
 
 
-def smallest_seeds(data: np.ndarray, offsets: np.ndarray, length: int, seed: int, step: int = 1 << 20):
+def smallest_seeds(data: np.ndarray, offsets: np.ndarray, length: int, seed: int, step: int = 1 << 17):
     """Runs of windows of ``length`` bytes that select the same seed of ``seed`` bytes.
 
     A window selects its seed with the smallest hash, the leftmost of equal ones, so equal windows
