@@ -133,5 +133,7 @@ def test_requested_customers(spark):
     chosen, unknown = sc.select_customers(customers, wanted)
     assert [r.customer_id for r in chosen.collect()] == ["C2"]
     assert [r.customer_id for r in unknown.collect()] == ["C7"]
-    everyone, unknown = sc.select_customers(customers, wanted.limit(0))
+    everyone, unknown = sc.select_customers(customers, None)
     assert everyone.count() == 2 and unknown is None
+    nobody, unknown = sc.select_customers(customers, wanted.limit(0))
+    assert nobody.count() == 0 and unknown.count() == 0
