@@ -33,6 +33,8 @@ from altcredit.llm import recurring as R
 from altcredit.llm import suffix_order
 from altcredit.llm.common import small_batches, written
 
+#: Larger groups than usual, as the steps of a group's suffix arrays are shared by all its strings.
+GROUP_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 #: Bytes of one string, and of the strings whose suffix arrays are built together.
 STRING_BYTES = 1 << 10
@@ -154,7 +156,7 @@ def _classes(texts: _Group, which: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, seed: int = 24) -> DataFrame:
     """Rows (id, kept, n_bytes, n_removed, n_spans[, row]): ``kept`` is the remaining bytes."""
     small_batches(docs.sparkSession)
-    rows, groups = R.dealt(docs, key, text)
+    rows, groups = R.dealt(docs, key, text, GROUP_BYTES)
     buckets = R.buckets_of(groups)
 
     def seeds(key, table):

@@ -115,9 +115,7 @@ def test_suffix_dedup_matches_plain(docs, rows):
 
 
 def test_suffix_dedup_over_several_groups(spark, monkeypatch):
-    from altcredit.llm import recurring
-
-    monkeypatch.setattr(recurring.dealt, "__defaults__", (3000,))
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 3000)
     draw = random.Random(9)
     parts = ["".join(draw.choice("abc ") for _ in range(70)) for _ in range(12)] + ["xy" * 35, "pqr" * 25, "z" * 70]
     rows = [(i // 2, "".join(draw.choice(parts)[draw.randrange(20) :] for _ in range(draw.randint(0, 6)))) for i in range(80)]
