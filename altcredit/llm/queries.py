@@ -188,4 +188,17 @@ kept AS (SELECT r, string_agg(t, ' ' ORDER BY p) AS kept
          GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)""",
+    "op1_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_W}) AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5
+    THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+reach AS (SELECT r, r AS c FROM d UNION SELECT reach.r, e.y FROM reach JOIN e ON e.x = reach.c)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.least AS component_id
+FROM d LEFT JOIN n USING (r)
+JOIN (SELECT reach.r, min(o.doc_id) AS least FROM reach JOIN d o ON o.r = reach.c GROUP BY ALL) m USING (r)""",
 }

@@ -75,7 +75,7 @@ def test_all_are_registered():
 def test_queries_with_sql_agree(spark):
     import duckdb
 
-    for name in ("op4_decontamination", "op8_quality", "op9_substring"):
+    for name in ("op1_ngram_jaccard", "op4_decontamination", "op8_quality", "op9_substring"):
         con = duckdb.connect()
         for table in ("documents", "benchmark"):
             con.execute(f"create view {table} as select * from '{SF_DIR}/{table}.parquet'")
