@@ -27,6 +27,37 @@ def read_model(path: str) -> bytes:
     return model
 
 
+def _fields(message: bytes):
+    """Number and value of each field of a serialised message, in order."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 0x7F) << shift
+            shift += 7
+            if byte < 0x80:
+                return value
+
+    while at < len(message):
+        tag = number()
+        if tag & 7 == 0:
+            value = number()
+        else:
+            size = number() if tag & 7 == 2 else 8 if tag & 7 == 1 else 4
+            value, at = message[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def is_bpe(model: bytes) -> bool:
+    """Whether trainer_spec { model_type } says BPE; the last value counts, none means unigram."""
+    kinds = [kind for n, spec in _fields(model) if n == 2 for m, kind in _fields(spec) if m == 3]
+    return kinds[-1:] == [2]
+
+
 class Vocabulary:
     """Pieces as bytes, with a space for the mark; byte pieces as their byte."""
 
@@ -38,6 +69,7 @@ class Vocabulary:
             raise ValueError("the model rewrites characters or drops white space")
         # A later value of a field in a serialised message replaces the earlier one.
         of = self.library = sentencepiece.SentencePieceProcessor(model_proto=model + NO_DUMMY_PREFIX)
+        self.bpe = is_bpe(model)
         size = of.get_piece_size()
         self.byte_id = np.full(256, -1, np.int32)
         self.bytes: list[bytes] = []

@@ -109,7 +109,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = sentencepiece_viterbi.encoded(documents(spark, sf_dir).select("doc_id", "text"), model_path())
+    ids = sentencepiece_viterbi.encoded(documents(spark, sf_dir).select("doc_id", "text"), model_path(), as_model=True)
     back = sentencepiece_viterbi.decoded(ids, model_path())
     return back.select(
         "doc_id",

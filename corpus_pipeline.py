@@ -65,7 +65,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The ids of each text, and the text that they decode to."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     packed = docs.select(F.col("text").alias("text"), F.struct(*rest).alias("rest"))
-    ids = sentencepiece_viterbi.encoded(packed, model_path()).drop("text")
+    ids = sentencepiece_viterbi.encoded(packed, model_path(), as_model=True).drop("text")
     back = sentencepiece_viterbi.decoded(ids, model_path(), text="text")
     kept = [F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in ("text", "ids", "n_tokens")]
     return back.select(*kept, "text", "ids", F.size("ids").cast("long").alias("n_tokens"))

@@ -75,6 +75,33 @@ def test_search_scores_at_least_as_well_as_the_library(spark, model):
         assert scores[r.ids].sum() >= scores[unigram.encode(r.text)].sum() - 1e-6
 
 
+def test_merges_are_the_librarys(rows, model, monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    vocabulary = pieces.Vocabulary(model)
+    assert vocabulary.bpe and not pieces.is_bpe(model + bytes([0x12, 2, 0x18, 1]))
+    spaces = [" " * 37 + "a" + " " * 5, "\t\n  x" * 30, "xxxxxxx" * 9, "日本語のテキスト😀 안녕", "ababababa" * 20, "", "é" * 70]
+    texts = [t for _, t in rows if t] + spaces + spaces
+    segments, first = pieces.segments(*pieces.marked(pa.array(texts)), vocabulary.joint)
+    for most in (sentencepiece_viterbi.ROUNDS, 3):
+        monkeypatch.setattr(sentencepiece_viterbi, "ROUNDS", most)
+        ids, begin = sentencepiece_viterbi.Merges(vocabulary).encode(segments)
+        assert [ids[begin[i] : begin[j]].tolist() for i, j in zip(first, first[1:])] == library.encode(texts)
+
+
+def test_ids_are_the_librarys(spark, docs, model):
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    for frame in (docs, queries.documents(spark, SF_DIR)):
+        found = sentencepiece_viterbi.encoded(frame, model_path(), ids="codes", as_model=True)
+        back = sentencepiece_viterbi.decoded(found, model_path(), ids="codes").collect()
+        assert [r.codes for r in back] == library.encode([r.text or "" for r in back])
+        assert all(r.decoded == (r.text or "").replace("▁", " ") for r in back)
+
+
+def test_registered_encoding_agrees_with_the_counts(spark):
+    one = {r.doc_id: r.n_tokens for r in queries.op2_token_counts(spark, SF_DIR).collect()}
+    assert {r.doc_id: r.n_tokens for r in queries.op10_sentencepiece(spark, SF_DIR).collect()} == one
+
+
 def test_round_trip(docs, rows, model):
     library = sentencepiece.SentencePieceProcessor(model_proto=model)
     back = sentencepiece_viterbi.decoded(sentencepiece_viterbi.encoded(docs, model_path(), ids="codes"), model_path(), ids="codes")
