@@ -15,6 +15,10 @@
    pair that shares an open n-gram meets, so no link that could join two components is missed.
 4. Components of the linked components come from min-label propagation with pointer jumping.
 
+That finds components without the links inside families. ``jaccard_links`` gives all links between
+distinct sets: they lie within components, so the sets meet there, in trees that drop no pair for its
+component; a large component as pairs of its parts. Families have as many links as pairs.
+
 So no block holds a group's copies (equal sets are one), a family of near copies collapses in
 step 2 without its pairs, and the answer names a component for each document.
 
@@ -38,6 +42,8 @@ from altcredit.llm.common import pieces_of, schema, small_batches, written
 #: Bytes of tokens in one tree, and in one task.
 TREE_BYTES = 8 << 20
 TASK_BYTES = 8 << 20
+#: Sets in one tree when all links are wanted, so that a task's links are bounded.
+TREE_SETS = 2000
 SETS = "size bigint, name bigint, block bigint, tokens binary"
 
 
@@ -83,6 +89,52 @@ def jaccard_components(
     ``root`` is a number that the documents of a component share; null for one without any link. With
     ``whole`` the rows hold the ``text`` too.
     """
+    made, _, merged = _linked_sets(docs, key, text, n, percent, whole)
+    least = _least_ids(made).join(merged, "name").groupBy("root").agg(F.min("least").alias("component"))
+    names = merged.join(least, "root").select("name", "root", "component")
+    keep = [c for c in ("text", "row") if c in made.columns]
+    return made.join(names, "name", "left").select(
+        "id", F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component"), "root", *keep
+    )
+
+
+def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """Rows (a, b, overlap, size_a, size_b), one for each two distinct sets that are linked.
+
+    A set goes by the smallest id of its documents, ``a`` being smaller than ``b``, or null; documents of
+    equal sets are linked too and have no row.
+    """
+    made, sets, merged = _linked_sets(docs, key, text, n, percent, False)
+    several = merged.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
+    members = merged.join(several, "root").select(F.col("root").alias("block"), "name").join(sets.drop("block"), "name")
+    weight = F.octet_length("tokens") + F.lit(64)
+    sizes = members.groupBy("block").agg(F.sum(weight).alias("bytes"), F.count("*").alias("members"))
+    parts = F.ceil(F.greatest(F.col("bytes") * 2 / TREE_BYTES, F.col("members") * 2 / TREE_SETS)).cast("int")
+    large = sizes.where((F.col("bytes") > TREE_BYTES) | (F.col("members") > TREE_SETS)).select("block", parts.alias("parts"))
+    total = members.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    mine = F.coalesce(F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"), F.lit(0)).alias("mine")
+    dealt = members.join(large, "block", "left").select("*", mine)
+    dealt = dealt.select("*", F.explode(F.coalesce(_part_pairs(F.col("mine")), F.array(F.lit(0)))).alias("part"))
+    units = _in_units(dealt, pieces_of(total, TASK_BYTES, 8))
+    schema_out = "a bigint, b bigint, overlap bigint, size_a bigint, size_b bigint"
+    found = units.applyInArrow(_link_kernel(percent), schema_out)
+    ids = _least_ids(made)
+    for side in ("a", "b"):
+        found = found.join(ids.select(F.col("name").alias(side), F.col("least").alias(f"id_{side}")), side)
+    swap = F.coalesce(F.col("id_a") > F.col("id_b"), F.lit(False))
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return found.select(
+        pick("id_a", "id_b").alias("a"), pick("id_b", "id_a").alias("b"), "overlap",
+        pick("size_a", "size_b").alias("size_a"), pick("size_b", "size_a").alias("size_b"),
+    )
+
+
+def _least_ids(made: DataFrame) -> DataFrame:
+    return made.where("name is not null").groupBy("name").agg(F.min("id").alias("least"))
+
+
+def _linked_sets(docs: DataFrame, key: str, text: str, n: int, percent: int, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with the names of their sets, the distinct candidate sets, and rows (name, root)."""
     small_batches(docs.sparkSession)
     rows, groups = R.dealt(docs, key, text)
     buckets = R.buckets_of(groups)
@@ -120,13 +172,7 @@ def jaccard_components(
     linked = written(_linked_in_blocks(sets, percent), "trees")
     roots = _components(_links_between(sets, linked, linked.select("name", "root"), percent, one_each=True), linked.select("name", "root"))
     merged = _components(_links_between(sets, linked, roots, percent, one_each=False), roots)
-    ids = made.where("name is not null").groupBy("name").agg(F.min("id").alias("least"))
-    least = ids.join(merged, "name").groupBy("root").agg(F.min("least").alias("component"))
-    names = merged.join(least, "root").select("name", "root", "component")
-    keep = [c for c in ("text", "row") if c in made.columns]
-    return made.join(names, "name", "left").select(
-        "id", F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component"), "root", *keep
-    )
+    return made, sets, merged
 
 
 def _tree_kernel(percent: int, prefix_out: bool):
@@ -162,6 +208,44 @@ def _tree_kernel(percent: int, prefix_out: bool):
     return run
 
 
+def _link_kernel(percent: int):
+    """All links of the blocks in a table; between two parts of a block, and within one where it is alone."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, part, mine, name, size = (table[c].to_numpy() for c in ("block", "part", "mine", "name", "size"))
+        tokens = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
+        lead = np.array([[*t[:3], 0, 0, 0][:3] for t in tokens], np.uint64)
+        order = np.lexsort((name, size, lead[:, 2], lead[:, 1], lead[:, 0], part, block))
+        block, part, mine, name, size = (x[order] for x in (block, part, mine, name, size))
+        tokens = [tokens[i] for i in order]
+        begin = np.append(0, np.cumsum([len(t) for t in tokens]))
+        group = np.cumsum(np.append(0, (np.diff(block) != 0) | (np.diff(part) != 0)))
+        x, y, both = T.links(T.Block(np.concatenate(tokens), begin, size), group, percent)
+        two = np.maximum.reduceat(mine, starts := np.flatnonzero(np.append(True, np.diff(group) > 0))) != np.minimum.reduceat(mine, starts)
+        kept = ~two[group[x]] | (mine[x] != mine[y])
+        x, y, both = x[kept], y[kept], both[kept]
+        return pa.table({"a": name[x], "b": name[y], "overlap": both, "size_a": size[x], "size_b": size[y]})
+
+    return run
+
+
+def _in_units(dealt: DataFrame, tasks: int):
+    """Groups for the kernels: each tree of a block with ``parts`` is one, all others share ``tasks``."""
+    large = F.col("parts").isNotNull()
+    return dealt.select(
+        "*", F.when(large, F.col("block")).alias("own_block"), F.when(large, F.col("part")).alias("own_part"),
+        F.when(~large, F.pmod(F.xxhash64("block", "part"), F.lit(tasks))).alias("task"),
+    ).groupBy("own_block", "own_part", "task")
+
+
+def _part_pairs(mine):
+    """Numbers of the pairs of parts that a set of one part belongs to; null without parts."""
+    return F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda other: F.least(mine, other) * F.col("parts") + F.greatest(mine, other),
+    )
+
+
 def _dealt_to_trees(sets: DataFrame, percent: int, prefix_out: bool, salt: int) -> DataFrame:
     """Blocks of more than a tree's bytes are dealt to several trees; many small trees share a task."""
     weight = F.octet_length("tokens") + F.lit(64)
@@ -208,10 +292,7 @@ def _pairs_of_parts(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     large = sizes.where(F.col("bytes") > TREE_BYTES)
     large = large.select("block", F.ceil(F.col("bytes") * 2 / TREE_BYTES).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda other: F.least(mine, other) * F.col("parts") + F.greatest(mine, other),
-    )
+    pairs = _part_pairs(mine)
     dealt = members.join(large, "block", "left").select("*", F.explode(F.coalesce(pairs, F.array(F.lit(0)))).alias("part")).drop("parts")
     task = F.pmod(F.xxhash64("block", "part"), F.lit(pieces_of(total, TASK_BYTES, 8))).cast("int")
     filled = dealt.withColumn("task", task).join(sets, "name")

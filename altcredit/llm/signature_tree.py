@@ -4,8 +4,8 @@ A leaf of the tree is a set's bitmap, with one bit a token, and its size; an inn
 OR of its children's bitmaps and the range of their sizes. Two nodes are compared by the largest
 overlap any of their sets could have: common bits, plus what collisions within a set may hide. A
 pair of nodes whose largest overlap can't reach the threshold at their smallest sizes is dropped
-with all pairs below it, and so is a pair whose sets are in one component already. What remains at
-the leaves is decided exactly on the tokens.
+with all pairs below it, and, where only components are wanted, so is a pair whose sets are in one
+component already. What remains at the leaves is decided exactly on the tokens.
 """
 
 from __future__ import annotations
@@ -63,17 +63,20 @@ class Block:
         np.bitwise_or.at(bits, (owner, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
         self.bits = bits
 
-    def linked(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-        """Whether 100 * intersection >= percent * union, for each pair."""
-        out = np.zeros(len(x), bool)
+    def overlap(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Size of the intersection, for each pair."""
+        out = np.zeros(len(x), np.int64)
         step = max(1, 2_000_000 // max(1, int(self.given.max(initial=1))))
         for i in range(0, len(x), step):
             a, b = x[i : i + step], y[i : i + step]
             at = K.ranges(self.begin[a], self.given[a])
             hit = K.member(self.pairs, np.repeat(b, self.given[a]) * self.known + self.rank[at])
-            both = np.add.reduceat(np.append(hit, 0), np.cumsum(self.given[a]) - self.given[a]) * (self.given[a] > 0)
-            out[i : i + step] = (100 + percent) * both >= percent * (self.sizes[a] + self.sizes[b])
-        return out & (x != y)
+            out[i : i + step] = np.add.reduceat(np.append(hit, 0), np.cumsum(self.given[a]) - self.given[a]) * (self.given[a] > 0)
+        return out
+
+    def linked(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Whether 100 * intersection >= percent * union, for each pair."""
+        return ((100 + percent) * self.overlap(x, y) >= percent * (self.sizes[x] + self.sizes[y])) & (x != y)
 
 
 def link(block: Block, group: np.ndarray, labels: np.ndarray, percent: int) -> np.ndarray:
@@ -92,10 +95,27 @@ def link(block: Block, group: np.ndarray, labels: np.ndarray, percent: int) -> n
         if high - low > 1:
             root = parts.find(np.arange(low, high))
             if (root != root[0]).any():
-                _traverse(block, int(low), int(high), parts, percent)
+                for x, y in _traverse(block, int(low), int(high), percent, parts):
+                    apart = parts.find(x) != parts.find(y)
+                    hit = block.linked(x[apart], y[apart], percent)
+                    if hit.any():
+                        parts.join(x[apart][hit], y[apart][hit])
     return parts.find(np.arange(len(labels)))
 
 
+def links(block: Block, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All linked pairs of equal ``group``, each once with the size of its intersection."""
+    found = [(np.zeros(0, np.int64),) * 3]
+    edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    for low, high in zip(edges, np.append(edges[1:], len(group))):
+        if high - low > 1:
+            for x, y in _traverse(block, int(low), int(high), percent):
+                both = block.overlap(x, y)
+                hit = (100 + percent) * both >= percent * (block.sizes[x] + block.sizes[y])
+                found.append((x[hit], y[hit], both[hit]))
+    return tuple(np.concatenate(a) for a in zip(*found))
+
+
 def _levels(block: Block, low: int, high: int):
     """From the leaves up: OR of bitmaps, smallest and largest size, most tokens hidden by collisions."""
     bits, size = block.bits[low:high], block.sizes[low:high]
@@ -118,10 +138,11 @@ def _one_component(root: np.ndarray, depth: int) -> list[np.ndarray]:
     return out
 
 
-def _traverse(block: Block, low: int, high: int, parts: Components, percent: int) -> None:
+def _traverse(block: Block, low: int, high: int, percent: int, parts: Components | None = None):
+    """Pairs of sets that may be linked, some at a time; with ``parts`` none within one component."""
     levels = _levels(block, low, high)
     members = np.arange(low, high)
-    own = _one_component(parts.find(members), len(levels))
+    own = _one_component(parts.find(members), len(levels)) if parts else None
     top = np.zeros(1, np.int64)
     stack = [(len(levels) - 1, top, top)]
     while stack:
@@ -130,8 +151,9 @@ def _traverse(block: Block, low: int, high: int, parts: Components, percent: int
             stack += [(level, a[i : i + FRONT], b[i : i + FRONT]) for i in range(0, len(a), FRONT)]
             continue
         bits, least, most, hidden = levels[level]
-        apart = (own[level][a] != own[level][b]) | (own[level][a] < 0)
-        a, b = a[apart], b[apart]
+        if parts:
+            apart = (own[level][a] != own[level][b]) | (own[level][a] < 0)
+            a, b = a[apart], b[apart]
         overlap = np.bitwise_count(bits[a] & bits[b]).sum(axis=1) + np.maximum(hidden[a], hidden[b])
         overlap = np.minimum(overlap, np.minimum(most[a], most[b]))
         possible = (100 + percent) * overlap >= percent * (least[a] + least[b])
@@ -145,10 +167,6 @@ def _traverse(block: Block, low: int, high: int, parts: Components, percent: int
             continue
         a, b = a[a < b] + low, b[a < b] + low
         for i in range(0, len(a), 512):
-            x, y = a[i : i + 512], b[i : i + 512]
-            apart = parts.find(x) != parts.find(y)
-            hit = block.linked(x[apart], y[apart], percent)
-            if hit.any():
-                parts.join(x[apart][hit], y[apart][hit])
-        if len(a):
+            yield a[i : i + 512], b[i : i + 512]
+        if parts and len(a):
             own = _one_component(parts.find(members), len(levels))

@@ -104,6 +104,37 @@ def test_components_of_a_large_family_in_small_trees(spark, monkeypatch):
     assert collections.Counter((r.id, r.n_shingles, r.component) for r in found.collect()) == _components(rows)
 
 
+def _links(rows):
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(frozenset(plain.shingles(t)), []).append(i)
+    least = [(min([i for i in ids if i is not None], default=None), s) for s, ids in sets.items() if s]
+    out = []
+    for k, (i, a) in enumerate(least):
+        for j, b in least[:k]:
+            if 100 * len(a & b) >= 75 * len(a | b):
+                x, y = sorted([(i, len(a)), (j, len(b))])
+                out.append((x[0], y[0], len(a & b), x[1], y[1]))
+    return sorted(out)
+
+
+def test_all_links_inside_a_family(spark, monkeypatch):
+    draw, rows = random.Random(7), []
+    base = [f"w{i}" for i in range(80)]
+    for k in range(60):
+        one = list(base)
+        for _ in range(draw.randint(0, 4)):
+            one[draw.randrange(80)] = f"x{draw.randrange(50)}"
+        rows.append((k, " ".join(one)))
+    rows += [(100, "a b c d e f g"), (101, "a b c d e f g"), (102, "alone " * 9), (None, ""), (103, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _links(rows)
+    assert len(want) > 100
+    for most in (2000, 20):
+        monkeypatch.setattr(ngram_jaccard, "TREE_SETS", most)
+        assert sorted(tuple(r) for r in ngram_jaccard.jaccard_links(docs).collect()) == want
+
+
 def test_components_of_nothing(empty):
     assert ngram_jaccard.jaccard_components(empty).count() == 0
 
