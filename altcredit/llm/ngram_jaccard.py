@@ -7,7 +7,8 @@
    signature tree (``signature_tree``), a large block several, dealt by a hash. A dual traversal
    links its sets; one set a component and block then meets those of the block's other trees.
 3. Whatever links are left are between different components. Two linked sets share a recurring
-   n-gram of their prefixes (prefix filter: the smallest n-grams, one more than may be missing).
+   n-gram of their prefixes (prefix filter: the rarest n-grams, by the groups that have them and
+   then by hash, one more than may be missing), so a frequent n-gram opens no block where rarer ones do.
    n-grams whose sets are in several components are open. First one set a component and open n-gram
    is compared, which joins the parts of a family; then, for n-grams still open, all sets that have
    one. Open n-grams whose smallest set is the same make one block of all their sets, as those of a
@@ -147,26 +148,33 @@ def _linked_sets(docs: DataFrame, key: str, text: str, n: int, percent: int, who
     def sets_of(key, table, found):
         grams, begin, name = _sets(table["text"], n)
         size = np.diff(begin)
-        recurs = K.member(R.received(found, narrow=True), R.codes(grams, buckets))
+        known, often = R.received_often(found)
+        codes = R.codes(grams, buckets)
+        recurs = K.member(known, codes)
         shared, enough = _candidates(grams, begin, recurs, percent)
         of = np.append(0, np.cumsum(shared))
         recurring = grams[recurs]
+        # Rarest first in each set, equally rare ones by hash.
+        rarity = often[np.searchsorted(known, codes[recurs])]
+        owner = np.repeat(np.arange(len(size)), shared)
+        smallest = np.zeros(len(size), np.uint64)
+        smallest[shared > 0] = recurring[of[:-1][shared > 0]]
+        recurring = recurring[np.lexsort((recurring, rarity, owner))]
         first = np.unique(np.where(enough, name, 0), return_index=True)[1]
         holds = np.zeros(len(size), bool)
         holds[first] = True
         holds &= enough
         tokens = [recurring[of[i] : of[i + 1]].tobytes() if h else None for i, h in enumerate(holds.tolist())]
-        block = [np.frombuffer(t[:8], np.int64)[0] if t else None for t in tokens]
         out = {
             "size": pa.array(size),
             "name": pa.array(name.view(np.int64), mask=~enough),
-            "block": pa.array(block, pa.int64()),
+            "block": pa.array(smallest.view(np.int64), mask=~holds),
             "tokens": pa.array(tokens, pa.binary()),
         }
         return pa.table({name: table[name] for name in fields} | out)
 
     by = rows.groupBy("g")
-    found = R.answers(by.applyInArrow(grams_of, R.SENT), narrow=True)
+    found = R.answers(by.applyInArrow(grams_of, R.SENT), narrow=True, often=True)
     made = written(by.cogroup(found.groupBy("g")).applyInArrow(sets_of, schema(rows, fields, SETS)), "sets")
     sets = written(made.where("tokens is not null").select("name", "size", "block", "tokens").dropDuplicates(["name"]), "distinct")
     linked = written(_linked_in_blocks(sets, percent), "trees")
@@ -184,7 +192,8 @@ def _tree_kernel(percent: int, prefix_out: bool):
         name = table["name"].to_numpy()
         root = table["root"].to_numpy()
         size = table["size"].to_numpy()
-        tokens = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
+        rarest = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
+        tokens = [np.sort(t) for t in rarest]
         lead = np.array([[*t[:3], 0, 0, 0][:3] for t in tokens], np.uint64)
         order = np.lexsort((name, size, lead[:, 2], lead[:, 1], lead[:, 0], part, block))
         same = np.append(True, (np.diff(name[order]) != 0) | (np.diff(part[order]) != 0) | (np.diff(block[order]) != 0))
@@ -199,7 +208,8 @@ def _tree_kernel(percent: int, prefix_out: bool):
         if prefix_out:
             missing = size - (size * percent + 99) // 100
             allowed = np.maximum(missing - (size - np.diff(begin)) + 1, 0)
-            out["prefix"] = pa.array([t[:k].view(np.int64) for t, k in zip(tokens, allowed)], pa.list_(pa.int64()))
+            rarest = [rarest[i] for i in order]
+            out["prefix"] = pa.array([t[:k].view(np.int64) for t, k in zip(rarest, allowed)], pa.list_(pa.int64()))
             # Tokens go on only where the block has more trees.
             more = (table["trees"].to_numpy()[order] > 1).tolist()
             out |= {"block": block, "size": size, "tokens": pa.array([t.tobytes() if m else None for t, m in zip(tokens, more)], pa.binary())}
@@ -213,7 +223,7 @@ def _link_kernel(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         block, part, mine, name, size = (table[c].to_numpy() for c in ("block", "part", "mine", "name", "size"))
-        tokens = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
+        tokens = [np.sort(np.frombuffer(x, np.uint64)) for x in table["tokens"].to_pylist()]
         lead = np.array([[*t[:3], 0, 0, 0][:3] for t in tokens], np.uint64)
         order = np.lexsort((name, size, lead[:, 2], lead[:, 1], lead[:, 0], part, block))
         block, part, mine, name, size = (x[order] for x in (block, part, mine, name, size))
@@ -288,15 +298,13 @@ def _pairs_of_parts(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         return members.select(F.col("name").alias("a"), F.col("name").alias("b"))
     weights = sets.select("name", (F.octet_length("tokens") + F.lit(64)).alias("weight"))
     sizes = written(members.join(weights, "name").groupBy("block").agg(F.sum("weight").alias("bytes")), "sizes")
-    total = sizes.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+    total = sizes.where(F.col("bytes") <= TREE_BYTES).agg(F.sum("bytes").alias("n")).first()["n"] or 0
     large = sizes.where(F.col("bytes") > TREE_BYTES)
     large = large.select("block", F.ceil(F.col("bytes") * 2 / TREE_BYTES).cast("int").alias("parts"))
-    mine = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
-    pairs = _part_pairs(mine)
-    dealt = members.join(large, "block", "left").select("*", F.explode(F.coalesce(pairs, F.array(F.lit(0)))).alias("part")).drop("parts")
-    task = F.pmod(F.xxhash64("block", "part"), F.lit(pieces_of(total, TASK_BYTES, 8))).cast("int")
-    filled = dealt.withColumn("task", task).join(sets, "name")
-    out = filled.groupBy("task").applyInArrow(_tree_kernel(percent, False), "name bigint, root bigint, before bigint")
+    pairs = _part_pairs(F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    dealt = members.join(large, "block", "left").select("*", F.explode(F.coalesce(pairs, F.array(F.lit(0)))).alias("part"))
+    filled = _in_units(dealt.join(sets, "name"), pieces_of(total, TASK_BYTES, 8))
+    out = filled.applyInArrow(_tree_kernel(percent, False), "name bigint, root bigint, before bigint")
     return out.where("root <> before").select(F.col("root").alias("a"), F.col("before").alias("b")).distinct()
 
 

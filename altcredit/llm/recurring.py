@@ -70,7 +70,7 @@ def _marked(table: pa.Table) -> pa.Table:
     return table.set_column(table.column_names.index("many"), "many", marks)
 
 
-def _answer(table: pa.Table, dtype) -> pa.Table:
+def _answer(table: pa.Table, dtype, often: bool) -> pa.Table:
     sent = unpack(table["keys"], dtype)
     marks = [np.unpackbits(m, count=len(a)) for m, a in zip(unpack(table["many"], np.uint8), sent)]
     every, many = np.concatenate(sent), np.concatenate(marks).astype(bool)
@@ -80,17 +80,25 @@ def _answer(table: pa.Table, dtype) -> pa.Table:
     again = many[order]
     again[1:] |= same
     again[:-1] |= same
-    found = np.unique(ordered[again])
+    found, number = np.unique(ordered[again], return_counts=True)
     keep = [(g, a[K.member(found, a)]) for g, a in zip(table["g"].to_pylist(), sent)]
-    keep = [(g, a.tobytes()) for g, a in keep if len(a)]
+    keep = [(g, a) for g, a in keep if len(a)]
+    # The logarithm, in a byte; keys by it, so that the bytes take no room once compressed.
+    level = [np.log2(number[np.searchsorted(found, a)]).astype(np.uint8) if often else np.zeros(0, np.uint8) for _, a in keep]
+    if often:
+        by = [np.argsort(x, kind="stable") for x in level]
+        keep, level = [(g, a[o]) for (g, a), o in zip(keep, by)], [x[o] for x, o in zip(level, by)]
+    keep = [(g, a.tobytes()) for g, a in keep]
     bucket = np.full(len(keep), table["bucket"][0].as_py(), np.int32)
-    return pa.table({"g": pa.array([g for g, _ in keep], pa.int32()), "bucket": pa.array(bucket), "keys": pa.array([a for _, a in keep], pa.binary())})
+    out = {"g": pa.array([g for g, _ in keep], pa.int32()), "bucket": pa.array(bucket), "keys": pa.array([a for _, a in keep], pa.binary())}
+    return pa.table(out | ({"often": pa.array([x.tobytes() for x in level], pa.binary())} if often else {}))
 
 
-def answers(sent: DataFrame, narrow: bool = False) -> DataFrame:
-    """For each group its fingerprints that occur more than once, anywhere."""
+def answers(sent: DataFrame, narrow: bool = False, often: bool = False) -> DataFrame:
+    """For each group its fingerprints that occur more than once, anywhere; with ``often`` in how many groups."""
     dtype = np.uint32 if narrow else np.uint64
-    return sent.groupBy("bucket").applyInArrow(lambda table: _answer(table, dtype), ANSWER)
+    out = ANSWER + (", often binary" if often else "")
+    return sent.groupBy("bucket").applyInArrow(lambda table: _answer(table, dtype, often), out)
 
 
 def received(table: pa.Table, narrow: bool = False) -> np.ndarray:
@@ -103,6 +111,16 @@ def received(table: pa.Table, narrow: bool = False) -> np.ndarray:
     return np.sort(np.concatenate(parts))
 
 
+def received_often(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """What came back to a group (narrow), sorted, and the logarithm of the number of groups that have it."""
+    parts = unpack(table["keys"], np.uint32)
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    keys = np.concatenate([a.astype(np.uint64) | np.uint64(b << 32) for a, b in zip(parts, table["bucket"].to_pylist())])
+    order = np.argsort(keys)
+    return keys[order], np.concatenate(unpack(table["often"], np.uint8))[order]
+
+
 def range_of(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys with the smallest and the largest value of each."""
     if not len(keys):

@@ -5,10 +5,13 @@ import random
 
 import numpy as np
 import plain
+import pyarrow as pa
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from altcredit.llm import kernels as K
 from altcredit.llm import ngram_jaccard, signature_tree, substring_dedup, suffix_dedup, suffix_order
+from altcredit.llm import recurring as R
 
 
 def test_span_and_window_hashes_depend_on_content_only():
@@ -135,6 +138,44 @@ def test_all_links_inside_a_family(spark, monkeypatch):
         assert sorted(tuple(r) for r in ngram_jaccard.jaccard_links(docs).collect()) == want
 
 
+def test_a_large_block_is_compared_in_bounded_tables(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "TREE_BYTES", 4096)
+    monkeypatch.setattr(ngram_jaccard, "TASK_BYTES", 4096)
+    kernel = ngram_jaccard._tree_kernel
+
+    class Most(AccumulatorParam):
+        def zero(self, value):
+            return 0
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+
+    most = spark.sparkContext.accumulator(0, Most())
+
+    def measured(percent, prefix_out):
+        run = kernel(percent, prefix_out)
+
+        def inner(table):
+            most.add(sum(len(x) + 64 for x in table["tokens"].to_pylist()))
+            return run(table)
+
+        return inner
+
+    monkeypatch.setattr(ngram_jaccard, "_tree_kernel", measured)
+    sets = [(k, 20, np.arange(k * 20, k * 20 + 20, dtype=np.uint64).tobytes()) for k in range(400)]
+    sets = spark.createDataFrame([(k, n, bytearray(t)) for k, n, t in sets], "name long, size long, tokens binary")
+    members = sets.select(F.lit(1).cast("long").alias("block"), "name", F.col("name").alias("root"))
+    assert ngram_jaccard._pairs_of_parts(members, sets, 75).count() == 0
+    assert 0 < most.value < 3 * 4096
+
+
+def test_prefixes_hold_the_rarest(spark):
+    sent = [R.send(g, 8, R.codes(np.array(keys, np.uint64) << np.uint64(33), 8), narrow=True) for g, keys in enumerate([[1, 2, 3], [1, 2], [1, 4], [1, 2]])]
+    back = R.answers(spark.createDataFrame(pa.concat_tables(sent).to_pandas(), R.SENT), narrow=True, often=True)
+    keys, often = R.received_often(back.where("g = 0").toArrow())
+    assert keys.tolist() == [2, 4] and often.tolist() == [2, 1]
+
+
 def test_components_of_nothing(empty):
     assert ngram_jaccard.jaccard_components(empty).count() == 0
 
