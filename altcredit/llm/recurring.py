@@ -1,6 +1,7 @@
 """Which fingerprints occur more than once in the whole collection.
 
-Texts are dealt into groups of a few megabytes by a hash. A group packs its distinct fingerprints
+Texts are dealt into groups of a few megabytes by a hash of id and text; rows that repeat both and are
+more than a group's bytes are written once with the group of each, spread over several. A group packs its distinct fingerprints
 by bucket and sends one row a bucket; a bucket merges what all groups sent, and answers each group
 with those of its fingerprints that occur more than once. A fingerprint that every text contains
 reaches its bucket once a group, so no bucket grows with the number of copies, and a group gets
@@ -15,20 +16,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from altcredit.llm import kernels as K
-from altcredit.llm.common import pieces_of, total_bytes
+from altcredit.llm.common import pieces_of, utf8_bytes, written
 
 GROUP_BYTES = 2 << 20
+#: What a row counts for besides its text when repeated rows are measured.
+ROW_BYTES = 64
 SENT = "bucket int, g int, keys binary, many binary"
 ANSWER = "g int, bucket int, keys binary"
 
 
 def dealt(docs: DataFrame, key: str, text: str, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
     """Rows (g, id, text, row) and the number of groups; ``row`` holds the other columns."""
-    groups = pieces_of(total_bytes(docs, text), group_bytes)
+    h = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    sizes = docs.groupBy(h.alias("h")).agg(F.count("*").alias("n"), F.sum(utf8_bytes(f"`{text}`") + ROW_BYTES).alias("size"))
+    repeated = (F.col("n") > 1) & (F.col("size") > group_bytes)
+    found = sizes.agg(F.sum(F.col("size") - F.col("n") * ROW_BYTES).alias("bytes"), F.sum(F.when(repeated, F.col("size"))).alias("repeated")).first()
+    groups = max(pieces_of(found["bytes"] or 0, group_bytes), pieces_of(found["repeated"] or 0, group_bytes))
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (key, text)]
     row = [F.struct(*rest).alias("row")] if rest else []
-    g = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(groups)).cast("int").alias("g")
-    return docs.select(g, F.col(key).alias("id"), F.col(text).alias("text"), *row), groups
+    rows = [F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), *row]
+    own = F.pmod(h, F.lit(groups)).cast("int")
+    if not found["repeated"]:
+        return docs.select(own.alias("g"), *rows), groups
+    # No more rows than groups.
+    heavy = F.broadcast(sizes.where(repeated).select("h", F.ceil(F.col("size") / group_bytes).alias("parts")))
+    every = docs.select(h.alias("h"), own.alias("g"), *rows)
+    names = [c for c in every.columns if c not in ("h", "g")]
+    spread = F.pmod(F.col("g") + F.floor(F.rand(1) * F.col("parts")), F.lit(groups)).cast("int").alias("g")
+    stored = written(every.join(heavy, "h").select(spread, *names), "repeated")
+    return every.join(heavy, "h", "left_anti").select("g", *names).unionByName(stored), groups
 
 
 def buckets_of(groups: int) -> int:

@@ -169,6 +169,28 @@ def test_a_large_block_is_compared_in_bounded_tables(spark, monkeypatch):
     assert 0 < most.value < 3 * 4096
 
 
+def test_repeated_rows_are_spread_over_groups(spark, monkeypatch):
+    texts = [" ".join(f"r{i}" for i in range(90)), " ".join(f"s{i}" for i in range(90))]
+    rows = [(1, texts[0])] * 200 + [(None, texts[1])] * 150 + [(None, None)] * 300
+    rows += [(k, " ".join(f"t{k}x{i}" for i in range(60))) for k in range(2, 90)] + [(95, texts[0] + " end"), (0, texts[1])]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source int").repartition(5)
+    dealt, groups = R.dealt(docs, "doc_id", "text", 4096)
+    sizes = dealt.groupBy("g").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("n")).collect()
+    assert max(r.n for r in sizes) < 8 * 4096 and {r.g for r in sizes} <= set(range(groups))
+    first, again = (sorted((r.row.source, r.g) for r in dealt.collect()) for _ in range(2))
+    assert first == again and [k for k, _ in first] == list(range(len(rows)))
+    monkeypatch.setattr(R, "dealt", lambda docs, key, text, *_, deal=R.dealt: deal(docs, key, text, 4096))
+    found = ngram_jaccard.jaccard_components(docs).collect()
+    components = {(r.id, r.n_shingles): r.component for r in found}
+    assert len(found) == len(rows) and components[1, 86] == components[95, 87] == 1 and components[None, 86] == components[0, 86] == 0
+    cut = {(r.id, r.n_bytes): r.n_removed for r in suffix_dedup.suffix_dedup(docs.select("doc_id", "text")).collect()}
+    assert cut[1, len(texts[0])] == 0 and cut[95, len(texts[0]) + 4] > 300 and cut[0, len(texts[1])] == 0
+    passages = substring_dedup.substring_dedup(docs.select("doc_id", "text")).collect()
+    assert collections.Counter((r.id, r.n_removed) for r in passages) == collections.Counter(
+        (i, n) for (i, _), n in zip(rows, [90] * 350 + [0] * 300 + [0] * 88 + [90, 90])
+    )
+
+
 def test_prefixes_hold_the_rarest(spark):
     sent = [R.send(g, 8, R.codes(np.array(keys, np.uint64) << np.uint64(33), 8), narrow=True) for g, keys in enumerate([[1, 2, 3], [1, 2], [1, 4], [1, 2]])]
     back = R.answers(spark.createDataFrame(pa.concat_tables(sent).to_pandas(), R.SENT), narrow=True, often=True)
