@@ -10,7 +10,8 @@ the key and the number of shards decide, and one more shard takes records only i
 
 Defined results: a null key is a key like others, a null text has no bytes, copies and repeated
 rows each get a slot of their own, an empty table gives an empty result. Records of one key are
-scattered over the buckets of its shard by their text, so no bucket grows with one key. Columns
+scattered over the buckets of its shard by their text, and repeated rows of one key and text that are
+more than a bucket's bytes are spread evenly, so no bucket grows with one key. Columns
 of the input are carried in one struct and keep their names.
 """
 
@@ -19,7 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from altcredit.llm.common import pieces_of, total_bytes
+from altcredit.llm.common import pieces_of, utf8_bytes
+
+#: What a row counts for besides its text.
+ROW_BYTES = 64
 
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
@@ -38,14 +42,30 @@ def shuffled_shards(
     docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", seed: int = 11, bucket_bytes: int = 16 << 20
 ) -> DataFrame:
     """The rows of ``docs`` as struct ``row``, with ``shard``, ``grown_shard``, ``bucket`` and ``slot``."""
-    buckets = pieces_of(total_bytes(docs, text), shards * bucket_bytes)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    scatter = F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text))
-    dealt = docs.select(
-        shard_of(F.col(key), shards, seed).alias("shard"),
-        F.pmod(scatter, F.lit(buckets)).cast("int").alias("bucket"),
-        F.struct(F.xxhash64(F.lit(seed + 2), F.col(key), F.col(text)).alias("h"), row.alias("row")).alias("record"),
-    )
+    shard = shard_of(F.col(f"`{key}`"), shards, seed).alias("shard")
+    scatter = F.xxhash64(F.lit(seed + 1), F.col(f"`{key}`"), F.col(f"`{text}`")).alias("scatter")
+    weight = utf8_bytes(f"`{text}`") + ROW_BYTES
+    sizes = docs.groupBy(shard, scatter).agg(F.count("*").alias("n"), F.sum(weight).alias("size"))
+    repeated = (F.col("n") > 1) & (F.col("size") > bucket_bytes)
+    # One row a shard.
+    found = sizes.groupBy("shard").agg(F.sum("size").alias("size"), F.max(repeated).alias("repeated")).collect()
+    size = {r["shard"]: r["size"] for r in found}
+    buckets = F.array(*[F.lit(pieces_of(size.get(s, 0), bucket_bytes)) for s in range(shards)])[F.col("shard")]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    placed = docs.select(shard, scatter, row).select("shard", "scatter", F.pmod("scatter", buckets).cast("int").alias("bucket"), "row")
+    if any(r["repeated"] for r in found):
+        # No more rows than buckets.
+        heavy = F.broadcast(sizes.where(repeated).select("scatter", F.ceil(F.col("size") / bucket_bytes).alias("parts")))
+        copies = placed.join(heavy, "scatter").groupBy(*placed.columns, "parts").agg(F.count("*").alias("n"))
+        # Equal rows in as many slices as there are buckets for them, each slice read by a task of its own.
+        slices = copies.withColumn("of", F.least("parts", "n")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("slice"))
+        to = F.pmod(F.col("bucket") + F.pmod(F.xxhash64("row") + F.col("slice"), "parts"), buckets).cast("int").alias("bucket")
+        number = (F.floor(F.col("n") / F.col("of")) + (F.col("slice") < F.col("n") % F.col("of")).cast("int")).alias("number")
+        spread = slices.select("shard", "scatter", to, "row", number).repartition("shard", "bucket", "scatter")
+        again = spread.select(*placed.columns, F.explode(F.sequence(F.lit(1).cast("long"), "number"))).drop("col")
+        placed = placed.join(heavy, "scatter", "left_anti").select(*placed.columns).unionByName(again)
+    h = F.xxhash64(F.lit(seed + 2), F.col(f"row.`{key}`"), F.col(f"row.`{text}`"))
+    dealt = placed.select("shard", "bucket", F.struct(h.alias("h"), "row").alias("record"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = (
         dealt.groupBy("shard", "bucket").count()

@@ -111,6 +111,19 @@ def test_order_is_repeatable_and_not_the_input_order(spark):
     assert order != sorted(order)
 
 
+def test_a_key_with_a_third_of_the_rows_fills_no_bucket(spark):
+    rows = [(None, f"text {k} " + "x" * 90) for k in range(300)] + [(7, "same " * 20)] * 300 + [(k, "y" * 100) for k in range(10, 310)]
+    docs = spark.createDataFrame([(i, t, k // 500) for k, (i, t) in enumerate(rows)], "doc_id long, text string, part int")
+    first, again = (_placed(frame, 5, 2000) for frame in (docs, docs.repartition(3)))
+    assert collections.Counter((r.doc_id, r.text) for r in first) == collections.Counter(rows)
+    assert sorted((r.shard, r.slot, r.text) for r in first) == sorted((r.shard, r.slot, r.text) for r in again)
+    slots = collections.defaultdict(list)
+    for r in first:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(collections.Counter((r.shard, r.bucket) for r in first).values()) <= 50
+
+
 def test_written_shards_read_back(spark, docs, folder):
     sharding.write_shards(sharding.shuffled_shards(docs, 3).select("row.doc_id", "shard", "bucket", "slot"), f"{folder}/shards")
     assert spark.read.parquet(f"{folder}/shards").count() == docs.count()
