@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from altcredit.llm import (
     decontamination,
+    exact_dedup,
+    importance_resampling,
     language_id,
+    lexical_search,
     ngram_jaccard,
     quality,
     sentencepiece_viterbi,
@@ -121,6 +124,23 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    drawn = importance_resampling.resampled(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = exact_dedup.exact_groups(documents(spark, sf_dir))
+    digest = F.lower(F.hex("digest")).alias("text_sha256")
+    return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_counts": op2_token_counts,
@@ -132,11 +152,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substring": op9_substring,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 #: Lower case for A-Z only.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _W = r"'[^\x20\x09-\x0D]+'"
+_TERM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLES: dict[str, str] = {
     "op8_quality": rf"""
@@ -201,4 +225,51 @@ reach AS (SELECT r, r AS c FROM d UNION SELECT reach.r, e.y FROM reach JOIN e ON
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.least AS component_id
 FROM d LEFT JOIN n USING (r)
 JOIN (SELECT reach.r, min(o.doc_id) AS least FROM reach JOIN d o ON o.r = reach.c GROUP BY ALL) m USING (r)""",
+    "op11_importance_resampling": rf"""
+WITH tab AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_TERM}) AS w FROM documents),
+dw AS (SELECT r, unnest(w) AS t FROM d),
+tw AS (SELECT unnest(regexp_extract_all({_LOWER}, {_TERM})) AS t FROM benchmark),
+words AS (SELECT t, hex(encode(t)) AS h FROM (SELECT t FROM dw UNION SELECT t FROM tw)),
+b AS (
+  SELECT t, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, len(h), 2), lambda k: CAST('0x' || substr(h, CAST(k + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1]))) % 10000 AS bucket
+  FROM words, tab),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN b USING (t) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM tw JOIN b USING (t) GROUP BY bucket),
+total AS (SELECT (SELECT count(*) FROM dw) AS s, (SELECT count(*) FROM tw) AS t),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1) * (total.s + 10000) / ((s.n + 1) * (total.t + 10000)))) AS BIGINT) AS g
+  FROM s LEFT JOIN t USING (bucket), total),
+w AS (SELECT r, CAST(floor(CAST(sum(g) AS BIGINT) / count(*)) AS BIGINT) AS weight FROM dw JOIN b USING (t) JOIN gain USING (bucket) GROUP BY r),
+h AS (SELECT r, doc_id, len(w) AS n, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d),
+scored AS (
+  SELECT h.doc_id, h.n AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM h LEFT JOIN w USING (r)),
+e AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place,
+        count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS wanted FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= wanted THEN place END AS rank FROM e""",
+    "op12_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_TERM}) AS w FROM documents),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+q AS (SELECT i, t, count(*) AS times
+      FROM (SELECT i, unnest(w) AS t FROM (SELECT row_number() OVER () AS i, regexp_extract_all({_LOWER}, {_TERM}) AS w FROM benchmark)) GROUP BY i, t),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS weight
+      FROM (SELECT t, count(*) AS df FROM p WHERE t IN (SELECT t FROM q) GROUP BY t), c),
+m AS (SELECT r, doc_id, 25 + (75 * len(w) * c.n) // c.l AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT i, r, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN f USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY i, r),
+k AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s JOIN m USING (r) WHERE score > 0),
+n AS (SELECT row_number() OVER () AS i, item_id FROM benchmark)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k JOIN n USING (i) WHERE rank <= 10""",
+    "op13_exact_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256 FROM d""",
 }
