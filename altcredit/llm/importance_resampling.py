@@ -19,7 +19,7 @@ ranks are places in a table written in range-partitioned order, so no task gets
 Defined results: null and empty texts have no features and weight 0 and are never drawn unless
 ``least_words`` is 0; a null id is drawn with the noise of an empty id and ties behind all ids; copies and
 repeated rows are drawn each on its own; without target or documents all counts are 0, gains follow from
-the smoothing; other columns, whatever their names, are carried in struct ``row``.
+the smoothing; other columns, whatever their names, don't take part.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from altcredit.llm import kernels as K
-from altcredit.llm.common import packed, pieces_of, schema, small_batches, written
+from altcredit.llm.common import pieces_of, schema, small_batches, written
 
 #: What separates words once A-Z are lower case: ASCII but digits and letters.
 SEPARATORS = (*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))
@@ -201,8 +201,8 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log((int(target[b]) + 1) * wide / ((int(source[b]) + 1) * narrow))) for b in range(size)], np.int64)
 
 
-def weighted(docs: DataFrame, words, gain, text: str, most: int) -> DataFrame:
-    """Struct ``row`` with the document's columns, ``n_words``, ``n_features`` and ``weight``."""
+def weighted(rows: DataFrame, words, gain, most: int) -> DataFrame:
+    """Rows (id, text_hash, n_words, n_features, weight) of rows (id, text_hash, text)."""
 
     def score(batches):
         scanner, value = Scanner(words.value), gain.value
@@ -218,10 +218,10 @@ def weighted(docs: DataFrame, words, gain, text: str, most: int) -> DataFrame:
                 total += np.diff(sums[ends])
             mean = total // np.maximum(features, 1)
             out = {"n_words": np.bincount(owner, minlength=n), "n_features": features, "weight": mean}
-            yield from pa.table({"row": table["row"]} | {k: pa.array(v, pa.int64()) for k, v in out.items()}).to_batches()
+            kept = {k: table[k] for k in ("id", "text_hash")}
+            yield from pa.table(kept | {k: pa.array(v, pa.int64()) for k, v in out.items()}).to_batches()
 
-    rows = packed(docs, text=text)
-    return rows.mapInArrow(score, schema(rows, ["row"], "n_words bigint, n_features bigint, weight bigint"))
+    return rows.mapInArrow(score, schema(rows, ["id", "text_hash"], "n_words bigint, n_features bigint, weight bigint"))
 
 
 def noise(key: Column, seed: int) -> Column:
@@ -235,20 +235,32 @@ def resampled(
     docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", target_text: str = "text", most: int = 1,
     buckets: int = BUCKETS, percent: int = 10, least_words: int = 20, seed: int = 2024, frequent: int = 8192, per_task: int = 4096,
 ) -> DataFrame:
-    """Rows (row, id, n_words, n_features, weight, score, rank); ``rank`` is null where a document isn't drawn."""
+    """Rows (id, text_hash, n_words, n_features, weight, score, rank), one for each document.
+
+    ``rank`` is null where a document isn't drawn; ``text_hash`` is Spark's xxhash64 of the text.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    ours, theirs = docs.select(F.col(f"`{text}`").alias("text")), target.select(F.col(f"`{target_text}`").alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    theirs = target.select(F.col(f"`{target_text}`").alias("text"))
     # At most `frequent` words of at most LONGEST bytes.
-    words = spark.sparkContext.broadcast(frequent_words(ours.unionByName(theirs), frequent, per_task))
-    gain = spark.sparkContext.broadcast(gains(bucket_counts(ours, words, most, buckets), bucket_counts(theirs, words, most, buckets)))
-    found = weighted(docs, words, gain, text, most)
-    score = (F.col("weight") + noise(F.col(f"row.`{key}`"), seed)).alias("score")
-    number = F.monotonically_increasing_id().alias("number")
-    scored = written(found.select("row", F.col(f"row.`{key}`").alias("id"), "n_words", "n_features", "weight", score, number), "weights")
+    words = spark.sparkContext.broadcast(frequent_words(rows.select("text").unionByName(theirs), frequent, per_task))
+    gain = spark.sparkContext.broadcast(gains(bucket_counts(rows, words, most, buckets), bucket_counts(theirs, words, most, buckets)))
+    found = weighted(rows, words, gain, most)
+    score = (F.col("weight") + noise(F.col("id"), seed)).alias("score")
+    # Narrow rows: no text is written or shuffled.
+    scored = written(found.select("*", score, F.monotonically_increasing_id().alias("number")), "weights")
     return ranked(scored, F.col("n_words") >= least_words, percent)
 
 
+def resampled_documents(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents that are drawn, with all their columns; rows that repeat id and text go together."""
+    drawn = resampled(docs, target, key, text, **options).where("rank is not null").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"))
+    return rows.join(drawn, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi").select("row.*")
+
+
 def ranked(scored: DataFrame, eligible: Column, percent: int) -> DataFrame:
     """``rank`` among the highest ``percent`` of the eligible rows by score, then id, then number."""
     rows = scored.where(eligible).groupBy("score").count().collect()  # one row an integer score

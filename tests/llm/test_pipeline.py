@@ -68,14 +68,15 @@ def test_stages_keep_columns_and_take_empty_tables(spark, sf_dir):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert names["pipeline"] is corpus_pipeline.run
 
 
 def test_queries_with_sql_agree(spark):
     import duckdb
 
-    for name in ("op1_ngram_jaccard", "op4_decontamination", "op8_quality", "op9_substring"):
+    names = ("op1_ngram_jaccard", "op4_decontamination", "op8_quality", "op9_substring")
+    for name in (*names, "op11_importance_resampling", "op12_lexical_search", "op13_exact_dedup"):
         con = duckdb.connect()
         for table in ("documents", "benchmark"):
             con.execute(f"create view {table} as select * from '{SF_DIR}/{table}.parquet'")
