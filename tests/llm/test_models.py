@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import collections
+import itertools
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -171,22 +175,147 @@ def test_language_edge_cases(docs, empty):
     assert language_id.identified(empty, F.lit(True)).count() == 0
 
 
+def _model(frame):
+    counts = frame.orderBy("code").toPandas()
+    single = counts[(counts.code >= 0) & (counts.code < 1 << 21)]
+    return toxicity.CharacterModel(counts.code.to_numpy(), counts.n.to_numpy(), int(single.n.sum()))
+
+
 @pytest.fixture(scope="module")
 def characters(spark):
-    return toxicity.character_model(queries.documents(spark, "/root/testdata/sf0.01"), "text")
+    seen = toxicity.observed(queries.documents(spark, "/root/testdata/sf0.01"), "text")
+    return _model(toxicity.character_counts(seen))
 
 
-@pytest.mark.parametrize("seen, word", [("1d10t", "idiot"), ("m0r0n", "moron"), ("$tupid", "stupid"), ("st.u.pid", "stupid"),
-                                        ("stuuuupid", "stupid"), ("p@thetic", "pathetic"), ("s-c-u-m", "scum"), ("tr@sh", "trash")])
-def test_disguised_words_are_restored(characters, seen, word):
-    assert toxicity.disguised(seen)
-    restorer = toxicity.Restorer(characters)
-    assert restorer.word(seen) in (word, "idot")
+def _read(model, *tokens):
+    return toxicity.Decoder(list(tokens)).read(model)[0]
 
 
-def test_spaced_letters_are_joined(characters):
-    owner, at, words = toxicity.Restorer(characters).words(pa.array(["x y", "you s t u p i d thing", None]))
-    assert "stupid" in [words[k] for k, o in zip(at, owner) if o == 1]
+@pytest.mark.parametrize("seen, word", [("1d10t", "idiot"), ("m0r0n", "moron"), ("$tupid", "stupid"), ("st.u.pid", "stupid"),
+                                        ("stuuuupid", "stupid"), ("p@thetic", "pathetic"), ("s-c-u-m", "scum"), ("tr@sh", "trash"),
+                                        ("!diot", "idiot"), ("|oser", "loser"), ("idiot!", "idiot"), ("lo$er", "loser"), ("(trash", "trash")])
+def test_disguised_words_are_restored(characters, seen, word):
+    assert toxicity.trimmed(seen)[1] == seen and toxicity.disguised(seen)
+    assert _read(characters, seen) == [word]
+
+
+@pytest.mark.parametrize("seen, bare, look", [("trash###", "trash", "trash"), ('"!diot"', "diot", "!diot"), ("word.", "word", "word"), ("hey!", "hey", "hey!"),
+                                              ("***", "", ""), ("a$$", "a", "a$$"), ("(hey)", "hey", "(hey"), ("-|x|-", "x", "|x|"), ("c#.", "c", "c#")])
+def test_one_or_two_letter_marks_at_an_edge_stay(seen, bare, look):
+    assert toxicity.trimmed(seen) == (bare, look)
+
+
+def _hidden(text):
+    return toxicity.Units(pa.array([text])).hidden
+
+
+def test_single_letters_are_read_as_words(characters):
+    assert _hidden("x y") == [] and _hidden("0 1 0 1") == []
+    assert _hidden("you s t u p i d thing") == ["s t u p i d"]
+    assert _hidden("é t a b l i") == ["é t a b l i"]
+    assert _hidden("y o u  d o p e") == ["y o u\nd o p e"]
+    assert _read(characters, "s t u p i d", "y o u\nd o p e", "y o u s t u p i d", "s t * p ! d") == ["stupid", "you dope", "youstupid", "stupid"]
+
+
+def _scalar(model, a, b, c):
+    return float(model.cost(*(np.array([x], np.int64) for x in (a, b, c)))[0])
+
+
+def _every_reading(token, model):
+    """The best score of all readings of a token."""
+    spaced = toxicity.GAP in token or toxicity.WIDE_GAP in token
+    best, marks = -np.inf, toxicity.LETTER_MARKS
+    choices = [
+        toxicity._readings(c, i > 0 and token[i - 1] == c, not token[: i + 1].strip(marks), not token[i:].strip(marks), spaced, toxicity.WIDE_GAP in token)
+        for i, c in enumerate(token)
+    ]
+    for path in itertools.product(*choices):
+        a = b = toxicity.BORDER
+        score = 0.0
+        for c, channel in path:
+            score += channel
+            if not c or (c == b == toxicity.BORDER):
+                continue
+            score += _scalar(model, a, b, c)
+            a, b = (toxicity.BORDER, c) if c == toxicity.BORDER else (b, c)
+        score += 0.0 if b == toxicity.BORDER else _scalar(model, a, b, toxicity.BORDER)
+        best = max(best, score)
+    return best
+
+
+def test_decoding_finds_the_best_of_all_readings(characters):
+    tokens = ["1d10t", "!d!0t", "a**b", "l00ser", "x", "", "€uro$", "aaa", "s t u p", "t 0\no 1", "#*#", "b2b-x", "é3é", "66ab", "o.o.o", "漢1字"]
+    read, best = toxicity.Decoder(tokens).read(characters)
+    for token, value in zip(tokens, best.tolist()):
+        assert value == pytest.approx(_every_reading(token, characters), abs=1e-9), token
+    # Alone or among others, a token is read alike; the counts asked for are all that it takes.
+    assert [_read(characters, t)[0] for t in tokens] == read
+    asked = toxicity.Decoder(tokens).asked()
+    known = np.isin(characters.codes, asked)
+    less = toxicity.CharacterModel(characters.codes[known], characters.counts[known], characters.total - 1)
+    assert toxicity.Decoder(tokens).read(less)[0] == read
+
+
+def test_long_tokens_are_read_in_pieces(characters):
+    draw = np.random.default_rng(1)
+    token = "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), 2_000_000))
+    began = time.perf_counter()
+    units = toxicity.Units(pa.array([token[:1_000_000] + "1d10t" + token[1_000_000:]]))
+    assert max(map(len, units.hidden)) == toxicity.LONGEST and "1d10t" in "".join(units.hidden)
+    assert any("1d10t" in x for x in units.hidden)
+    toxicity.Decoder(units.hidden[:5000]).read(characters)
+    assert time.perf_counter() - began < 20
+    spaced = toxicity.Units(pa.array([" ".join("ab" * 5000)]))
+    assert max(len(x.replace(" ", "")) for x in spaced.hidden) == toxicity.LONGEST
+    assert toxicity.pieces("x" * 64) == ["x" * 64] and [len(x) for x in toxicity.pieces("x" * 130)] == [64, 64, 50]
+
+
+def _plain_score(text, readings, known):
+    """The sum that a document's distinct words give, one token after the other."""
+    units, words = toxicity.Units(pa.array([text], pa.string())), set()
+    for raw in (text or "").lower().split():
+        bare, look = toxicity.trimmed(raw)
+        words.update(w for t in toxicity.pieces(look) for w in readings[t].split()) if toxicity.disguised(look) else words.add(bare)
+    words.update(w for t in units.hidden for w in readings[t].split())
+    return sum(toxicity.word_weight(w, known) for w in words)
+
+
+def test_sums_match_a_plain_scorer(spark, docs, rows):
+    known = {"idiot": 3.0, "stup-": 2.5, "moron": 1.25, "tail": 0.5, "word": 0.75, "two": 2.0}
+    more = [(50, "!diot IDIOT m0r0n"), (51, "s t u p i d and stupid"), (52, "1d10t."), (53, "un m0r0n é t a b l i")]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    read = toxicity.readings(toxicity.observed(frame, "text"))
+    readings = {r.token: r.reading for r in read.collect()}
+    assert len(readings) == read.count()
+    found = toxicity.matched(frame, "text", spark.sparkContext.broadcast(known), read)
+    keyed = frame.select("text", *toxicity._text_id("text")).distinct().join(found, ["_id", "_id2"], "left").collect()
+    for r in keyed:
+        assert (r.total or 0.0) == pytest.approx(_plain_score(r.text, readings, known)), r.text
+    assert sum(r.total is not None for r in keyed) >= 6
+
+
+def test_no_count_is_left_out(spark):
+    docs = spark.createDataFrame([(i, " ".join(chr(0x4E00 + 7 * i + j) + chr(0x4E00 + 11 * i + j) for j in range(40))) for i in range(200)], "doc_id long, text string")
+    counts = {r.code: r.n for r in toxicity.character_counts(toxicity.observed(docs, "text")).collect()}
+    plain = collections.Counter()
+    for r in docs.collect():
+        for word in r.text.split():
+            padded = [32, *map(ord, word), 32]
+            for n in (1, 2, 3):
+                for k in range(len(padded) - n + 1):
+                    gram = padded[k : k + n]
+                    if (n == 1 and gram != [32]) or n == 2 or (n == 3 and gram[1] != 32):
+                        plain[sum(c << 21 * (n - 1 - i) for i, c in enumerate(gram))] += 1
+                        if n == 3 or (n == 2 and gram[0] == 32):
+                            plain[-(gram[0] << 21 * (n - 2) | gram[n - 2]) - 1 if n == 3 else -33] += 1
+    assert counts == dict(plain) and len(counts) > 10_000
+
+
+def test_the_sample_holds_a_document_once(spark):
+    docs = spark.createDataFrame([(7, f"text {i % 3}") for i in range(900)] + [(i, "else") for i in range(8, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)] * 2, "doc_id long, toxic int")
+    sample, totals = toxicity.labelled_sample(docs, labels, F.lit(True), "doc_id", "text", "toxic", 10)
+    assert sample.count() <= 20 and totals == {0: 30, 1: 30}
 
 
 def test_held_out_toxicity(spark):
