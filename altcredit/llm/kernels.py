@@ -106,6 +106,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out + (ends - starts).astype(U) * LENGTH)
 
 
+def span_hashes_at(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` bytes from each start on, in any order of the starts."""
+    sort = np.argsort(starts, kind="stable")
+    out = np.empty(len(starts), U)
+    out[sort] = span_hashes(data, starts[sort], starts[sort] + length)
+    return out
+
+
 def window_hashes(items: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k items; over byte values the same as ``span_hashes`` of k bytes."""
     n = len(items)

@@ -11,8 +11,9 @@ id. The texts stay in groups of a few megabytes; groups exchange fingerprints by
    several different regions. A region that a smaller document holds goes as a whole. A seed with one
    region has no other occurrence of any of its windows.
 3. What remains are the first occurrences of regions whose seed has others too. Their suffix arrays are
-   built by grouping (``suffix_order``), over strings of regions of one seed; neighbours that agree in
-   ``length`` bytes form a class with its smallest document, and classes of all groups are merged. A
+   built by grouping (``suffix_order``), over strings of regions of one seed; neighbours whose first ``length``
+   bytes agree form a class with its smallest document. Each class sends the fingerprint of one of
+   its members, by which the classes of other strings and groups join it. A
    group also sends itself the places it has decided and those still open, so that the last pass
    finds no seeds again; the rows of a group are put in one order first.
 
@@ -123,11 +124,24 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array(g, pa.int32()), "kind": pa.array(kinds, pa.int32()), "keys": pa.array(keys, pa.binary()), "least": pa.array(least, pa.binary())})
 
 
+def _agree(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Whether each suffix but the first has its first ``length`` bytes in common with the one before it."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    # Eight bytes from every place on, as a number.
+    word = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    same = np.arange(max(len(order) - 1, 0))
+    for at in [*range(0, length - 7, 8), length - 8]:
+        same = same[word[order[same] + at] == word[order[same + 1] + at]]
+    out = np.zeros(max(len(order) - 1, 0), bool)
+    out[same] = True
+    return out
+
+
 def _classes(texts: _Group, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Window hashes in the regions with the smallest and largest document, from suffix arrays."""
     which = which[np.argsort(texts.seed[which], kind="stable")]
     sizes = texts.count[which] + texts.length - 1
-    keys, least, most, values = [], [], [], K.byte_values()
+    keys, least, most = [], [], []
     for part in np.split(which, np.searchsorted(np.cumsum(sizes), np.arange(BATCH_BYTES, sizes.sum(), BATCH_BYTES))):
         if not len(part):
             continue
@@ -141,11 +155,11 @@ def _classes(texts: _Group, which: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         offset = np.arange(len(data)) - np.repeat(at, size)
         whole = offset < np.repeat(texts.count[part], size)
         order = order[whole[order]]
-        hashes = K.window_hashes(values[data], texts.length)[order]
         owner = np.repeat(texts.id[part], size)[order]
         string = np.searchsorted(begin, order, "right")
-        first = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (string[1:] != string[:-1])))
-        keys.append(hashes[first])
+        # Neighbours in the order of the suffixes that have the first bytes in common.
+        first = np.flatnonzero(np.append(True, ~_agree(data, order, texts.length) | (string[1:] != string[:-1])))
+        keys.append(K.span_hashes_at(data, order[first], texts.length))
         least.append(np.minimum.reduceat(owner, first))
         most.append(np.maximum.reduceat(owner, first))
     if not keys:

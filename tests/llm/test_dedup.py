@@ -219,6 +219,27 @@ def test_suffix_dedup_over_several_groups(spark, monkeypatch):
     assert collections.Counter(tuple(r) for r in found.collect()) == want
 
 
+def test_classes_come_from_the_order_of_the_suffixes(monkeypatch):
+    """Equal strings of a batch are one class only because their suffixes are neighbours."""
+    draw = np.random.default_rng(3)
+    base = draw.integers(97, 101, 300).astype(np.uint8).tobytes()
+    texts = [base, base[:150] + b"#" + base[150:], b"x" + base, base[40:260]]
+    group = suffix_dedup._Group(pa.table({"id": pa.array(range(4)), "text": [t.decode() for t in texts]}), 50, 24)
+    which = np.arange(len(group.start))
+    monkeypatch.setattr(suffix_dedup, "STRING_BYTES", 1 << 30)
+    keys, least, most = suffix_dedup._classes(group, which)
+    seeds = group.seed[which]
+    per_seed = sum(len({texts_of[k : k + 50] for texts_of, k in _windows(group, seeds == s)}) for s in np.unique(seeds))
+    assert len(keys) == per_seed
+    monkeypatch.setattr(suffix_dedup.suffix_order, "suffix_arrays", lambda data, begin: np.random.default_rng(1).permutation(len(data)))
+    assert len(suffix_dedup._classes(group, which)[0]) > 1.5 * per_seed
+
+
+def _windows(group, which):
+    raw = group.data.tobytes()
+    return [(raw, int(s) + k) for s, n in zip(group.start[which], group.count[which]) for k in range(n)]
+
+
 def test_suffix_dedup_of_nothing(empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
