@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in built-in functions only.
 
 A rule is a condition over one or two cheap statistics of a text. ``measure`` runs every rule on
-a bounded sample and takes its cost (seconds a row) and its selectivity (share of rows that it
+a bounded sample and takes its cost (its own work a row) and its selectivity (share of rows that it
 rejects); ``cascade`` evaluates the rules in the order of rejections per cost, and stops at the
 first that rejects. The order changes the work, never the verdict.
 
@@ -14,6 +14,7 @@ nothing is compared pairwise.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -21,17 +22,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from altcredit.llm.common import checkpoint_folder, let, text_of, words_of
+from altcredit.llm.common import checkpoint_folder, let, text_of, utf8_bytes, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``reject`` gets the names of the word array and of the text, and gives a condition."""
+    """``reject`` gets the names of the word array and of the text, and gives a condition.
+
+    ``known`` gives the same one from the struct of ``statistics`` and the text, where that is cheaper.
+    """
 
     name: str
     reject: Callable[[Column, Column], Column]
+    known: Callable[[Column, Column], Column] | None = None
 
 
 def n_words(words: Column) -> Column:
@@ -89,36 +94,68 @@ def n_repeat_words(words: Column) -> Column:
     return let(let(words, windows), some).cast("long")
 
 
+def _too_many_lines(n_dup: Column, text: Column) -> Column:
+    """Lines are counted only if enough of them are repeated."""
+    return (n_dup >= 4) & (n_dup * 10 > F.size(lines_with_words(text)) * 3)
+
+
+def _odd_words(chars: Column, words: Column) -> Column:
+    return (chars < words * 2) | (chars > words * 15)
+
+
 #: The base rules and four more of the kind that Rae et al. (2021) apply to web text.
 RULES = (
-    Rule("short", lambda w, t: n_words(w) < 50),
-    Rule("repetition", lambda w, t: n_repeat_words(w) * 100 > n_words(w) * 50),
-    Rule("symbols", lambda w, t: n_symbols(t) * 10 > n_words(w)),
-    Rule("lines", lambda w, t: let(lines_with_words(t), lambda x: let(n_dup_lines(x), lambda n: (n >= 4) & (n * 10 > F.size(x) * 3)))),
-    Rule("word_length", lambda w, t: let(word_chars(w), lambda c: (c < n_words(w) * 2) | (c > n_words(w) * 15))),
-    Rule("capitals", lambda w, t: n_capitals(t) * 2 > word_chars(w)),
+    Rule("short", lambda w, t: n_words(w) < 50, lambda s, t: s["n_words"] < 50),
+    Rule("repetition", lambda w, t: n_repeat_words(w) * 100 > n_words(w) * 50, lambda s, t: s["n_repeat_words"] * 100 > s["n_words"] * 50),
+    Rule("symbols", lambda w, t: n_symbols(t) * 10 > n_words(w), lambda s, t: s["n_symbols"] * 10 > s["n_words"]),
+    Rule(
+        "lines",
+        lambda w, t: let(lines_with_words(t), lambda x: let(n_dup_lines(x), lambda n: (n >= 4) & (n * 10 > F.size(x) * 3))),
+        lambda s, t: _too_many_lines(s["n_dup_lines"], t),
+    ),
+    Rule("word_length", lambda w, t: let(word_chars(w), lambda c: _odd_words(c, n_words(w))), lambda s, t: _odd_words(s["word_chars"], s["n_words"])),
+    Rule("capitals", lambda w, t: n_capitals(t) * 2 > word_chars(w), lambda s, t: n_capitals(t) * 2 > s["word_chars"]),
 )
 
+#: Work that a rule is timed over, in seconds, and the bytes of text that the sample holds about.
+TIMED = 0.5
+SAMPLE_BYTES = 16 << 20
+
 
 def measure(docs: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_rows: int = 2000, seed: int = 7) -> list[dict]:
-    """Cost and selectivity of each rule on a sample of about ``sample_rows`` rows.
+    """Cost (seconds a row) and selectivity of each rule on a sample of about ``sample_rows`` rows.
 
-    The sample decides the order of the rules and nothing else. It is written to the shared
-    checkpoint folder once, so that each rule is timed on its own over the same rows. Drawing it reads
-    the texts once in parallel; one task gets the sampled rows.
+    The sample decides the order of the rules and nothing else; it holds about ``SAMPLE_BYTES`` at most. It is
+    written to the shared checkpoint folder once, so that each rule is timed on its own over the same rows, by
+    one task. A rule is run once for its selectivity, which also compiles it, then once and many times over
+    each row: the difference is the rule's own work, without what a job costs. Costs are rounded to powers of
+    two, as times vary from run to run.
     """
     checkpoint_folder(docs.sparkSession)
-    rows = docs.count()
-    part = docs.select(text_of(text).alias("text")).sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=seed)
+    found = docs.agg(F.count("*").alias("rows"), F.sum(utf8_bytes(f"`{text}`")).alias("bytes")).first()
+    fraction = min(1.0, sample_rows / max(found["rows"], 1), SAMPLE_BYTES / max(found["bytes"] or 0, 1))
+    part = docs.select(text_of(text).alias("text")).sample(fraction=fraction, seed=seed)
     part = part.repartition(1).select("text", words_of("text").alias("words")).checkpoint()
     size = part.count()
-    found = []
-    for rule in rules:
+
+    def seconds(rule: Rule, times: int) -> float:
+        hits = F.aggregate(F.sequence(F.lit(1), F.lit(times)), F.lit(0), lambda n, _: n + rule.reject(F.col("words"), F.col("text")).cast("int"))
         began = time.perf_counter()
+        part.agg(F.sum(hits)).first()
+        return time.perf_counter() - began
+
+    out = []
+    for rule in rules:
         rejected = part.agg(F.count_if(rule.reject(F.col("words"), F.col("text"))).alias("n")).first()["n"]
-        cost = (time.perf_counter() - began) / max(size, 1)
-        found.append({"name": rule.name, "cost": cost, "rejects": rejected / max(size, 1)})
-    return found
+        seconds(rule, 1)
+        once, times = seconds(rule, 1), 4
+        more = seconds(rule, 1 + times)
+        while more - once < TIMED and times < 4096:
+            times *= 8
+            more = seconds(rule, 1 + times)
+        cost = max(more - once, 1e-6) / times / max(size, 1)
+        out.append({"name": rule.name, "cost": 2.0 ** round(math.log2(cost)), "rejects": rejected / max(size, 1)})
+    return out
 
 
 def order(rules: Sequence[Rule], measured: list[dict]) -> list[Rule]:
@@ -127,16 +164,22 @@ def order(rules: Sequence[Rule], measured: list[dict]) -> list[Rule]:
     return sorted(rules, key=lambda r: -worth[r.name])
 
 
-def cascade(docs: DataFrame, text: str, rules: Sequence[Rule], out: str = "kept") -> DataFrame:
-    """The input with a boolean: no rule rejects. Rules after the first that rejects don't run."""
+def cascade(docs: DataFrame, text: str, rules: Sequence[Rule], out: str = "kept", stats: str | None = None) -> DataFrame:
+    """The input with a boolean: no rule rejects. Rules after the first that rejects don't run.
+
+    ``stats`` names a column of ``statistics``, if there is one: what it holds isn't computed again.
+    """
 
-    def verdict(pair: Column) -> Column:
+    def verdict(rejects: Callable[[Rule], Column]) -> Column:
         case = F
         for rule in rules:
-            case = case.when(rule.reject(pair["w"], pair["t"]), False)
+            case = case.when(rejects(rule), False)
         return case.otherwise(True)
 
-    return docs.withColumn(out, let(F.struct(words_of(text).alias("w"), text_of(text).alias("t")), verdict))
+    if stats and all(rule.known for rule in rules):
+        return docs.withColumn(out, verdict(lambda rule: rule.known(F.col(stats), text_of(text))))
+    pair = F.struct(words_of(text).alias("w"), text_of(text).alias("t"))
+    return docs.withColumn(out, let(pair, lambda p: verdict(lambda rule: rule.reject(p["w"], p["t"]))))
 
 
 def statistics(docs: DataFrame, text: str, out: str = "stats") -> DataFrame:

@@ -100,7 +100,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.order(quality.RULES, quality.measure(docs, "text"))
     base_failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return (
-        quality.cascade(quality.statistics(docs, "text"), "text", rules)
+        quality.cascade(quality.statistics(docs, "text"), "text", rules, stats="stats")
         .select("doc_id", "stats.*", "kept")
         .withColumn("base_failed", base_failed)
     )

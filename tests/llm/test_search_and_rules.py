@@ -1,11 +1,16 @@
 from __future__ import annotations
 
 import collections
+import random
+import time
+import tracemalloc
 import zlib
 
+import numpy as np
 import plain
+import pyarrow as pa
 import pytest
-from conftest import CLASHING
+from conftest import CLASHING, invented
 from pyspark.sql import functions as F
 
 from altcredit.llm import decontamination, quality, sharding
@@ -48,6 +53,58 @@ def test_proximity_allows_words_between(spark):
     assert near == {1: 1, 2: 1, 3: 0} and exact == {1: 0, 2: 1, 3: 0}
 
 
+def test_a_stored_index_of_all_terms_is_searched_again(spark, docs, rows, items):
+    index = decontamination.build_index(docs, "doc_id", "text", None)
+    for part in (items, items[:4], items[5:7]):
+        table = spark.createDataFrame(part, "item_id long, text string")
+        assert _found(decontamination.search(index, table)) == _digest(rows, part)
+
+
+@pytest.mark.parametrize("slop", [0, 1])
+@pytest.mark.parametrize("slice_rows", [3, 1000])
+def test_search_of_few_different_words_in_slices(spark, monkeypatch, slop, slice_rows):
+    """Digits: most windows share most of their terms. Proximity is compared with itself in one slice."""
+    draw = random.Random(4)
+    grid = [(i, " ".join(draw.choices("01", k=draw.choice([5, 60, 200])))) for i in range(12)] + [(99, "1 2 3 4")]
+    asked = [(1, " ".join(draw.choices("01", k=80))), (2, grid[3][1]), (3, "0 1"), (4, "2 3"), (5, "1")]
+    table, docs = spark.createDataFrame(asked, "item_id long, text string"), spark.createDataFrame(grid, "doc_id long, text string")
+    whole = _found(decontamination.find_items(docs, table, window=6, slop=slop))
+    if not slop:
+        want = plain.item_hits([t for _, t in grid], asked, 6)
+        assert whole == collections.Counter((i, n, hit, ",".join(found)) for (i, _), (n, hit, found) in zip(grid, want))
+    index = decontamination.build_index(docs, "doc_id", "text", None).collect()
+    counts = collections.Counter(w for _, t in grid for w in t.split())
+    names = {int(decontamination._words(pa.array([w]))[0].view(np.int64)[0]): n for w, n in counts.items()}
+    terms, lengths, _ = decontamination.windows_of(table.withColumnRenamed("item_id", "id").toArrow(), 6)
+    tree = decontamination.Tree(*decontamination.rarest_first(terms, lengths, names), lengths)
+    for row in index:
+        segment = decontamination._Segment(row.asDict(), tree)
+        found = [sorted(zip(*(np.concatenate(x).tolist() for x in zip(*decontamination.matches(segment, tree, slop, n))))) for n in (slice_rows, 10**6)]
+        assert found[0] == found[1] and found[0]
+
+
+def test_a_dense_grid_stays_small():
+    """All windows of 13 digits, each in a part of the places: what is held at a time is bounded."""
+    draw = random.Random(2)
+    texts = [pa.array([" ".join(draw.choices("01", k=k))]) for k in (4000, 30_000)]
+    item = pa.table({"id": ["1"], "text": texts[0]})
+    terms, lengths, _ = decontamination.windows_of(item, 13)
+    words, first = decontamination._words(texts[1])
+    known, begin = np.unique(words, return_index=True)[0], np.append(0, np.cumsum(np.unique(words, return_counts=True)[1])).astype(np.int32)
+    order = np.argsort(words, kind="stable").astype(np.int32)
+    counts = dict(zip(known.view(np.int64).tolist(), np.diff(begin).tolist()))
+    tree = decontamination.Tree(*decontamination.rarest_first(terms, lengths, counts), lengths)
+    row = {"first": first, "terms": known, "begin": begin, "places": order}
+    segment = decontamination._Segment({k: a.tobytes() for k, a in row.items()}, tree)
+    tracemalloc.start()
+    found = {int(s) for _, start in decontamination.matches(segment, tree, 0, 50_000) for s in start}
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    wanted = {terms[i].tobytes() for i in range(len(terms))}
+    assert found == {s for s in range(len(words) - 12) if words[s : s + 13].tobytes() in wanted}
+    assert most < 60 << 20
+
+
 def test_searching_nothing(spark, docs, empty, rows):
     table = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontamination.find_items(empty, table).count() == 0
@@ -72,6 +129,32 @@ def test_quality_order_prefers_rejections_per_cost():
     assert [r.name for r in quality.order(quality.RULES, measured)][:3] == ["lines", "repetition", "short"]
 
 
+def test_quality_from_statistics_is_the_same(docs, rows):
+    want = collections.Counter((i, plain.quality_kept(t)) for i, t in rows)
+    found = quality.cascade(quality.statistics(docs, "text"), "text", quality.RULES, stats="stats").select("doc_id", "kept")
+    assert collections.Counter(tuple(r) for r in found.collect()) == want
+
+
+def test_a_costly_rule_comes_last(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TIMED", 0.2)
+    docs = spark.createDataFrame([(i, invented(i, 300)) for i in range(200)], "doc_id long, text string")
+    cheap = quality.Rule("cheap", lambda w, t: quality.n_words(w) > 10)
+    slow = quality.Rule("slow", lambda w, t: quality.n_repeat_words(w) * 0 + quality.n_words(w) > 10)
+    for _ in range(2):
+        measured = quality.measure(docs, "text", (slow, cheap))
+        assert [m["rejects"] for m in measured] == [1.0, 1.0]
+        assert [r.name for r in quality.order((slow, cheap), measured)] == ["cheap", "slow"]
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 20_000)
+    monkeypatch.setattr(quality, "TIMED", 0.01)
+    docs = spark.createDataFrame([(i, "word " * 1000) for i in range(200)], "doc_id long, text string")
+    began = time.perf_counter()
+    found = quality.measure(docs, "text", quality.RULES[:1])
+    assert found[0]["rejects"] == 0.0 and time.perf_counter() - began < 60
+
+
 def test_quality_of_nothing(empty):
     assert quality.quality_rules(empty).count() == 0
 
@@ -124,6 +207,34 @@ def test_a_key_with_a_third_of_the_rows_fills_no_bucket(spark):
     assert max(collections.Counter((r.shard, r.bucket) for r in first).values()) <= 50
 
 
+def test_columns_without_an_order(spark):
+    rows = spark.range(300).selectExpr(
+        "if(id % 3 = 0, null, id % 40) as doc_id", "if(id % 2 = 0, 'same text', concat('text ', id)) as text", "map('a', id % 5, 'b', 1) as m",
+        "parse_json(concat('{\"x\": ', id % 4, '}')) as v", "array(struct(map(1, id % 2) as n)) as deep",
+    )
+    for size in (400, 10**6):
+        first, again = (
+            sharding.shuffled_shards(frame, 3, bucket_bytes=size).selectExpr("row.doc_id", "row.text", "to_json(row.m) as m", "to_json(row.v) as v", "to_json(row.deep) as deep", "shard", "slot")
+            for frame in (rows, rows.repartition(5))
+        )
+        found = sorted(map(str, first.collect()))
+        assert found == sorted(map(str, again.collect()))
+        want = rows.selectExpr("doc_id", "text", "to_json(m) as m", "to_json(v) as v", "to_json(deep) as deep").collect()
+        assert collections.Counter(map(tuple, first.drop("shard", "slot").collect())) == collections.Counter(map(tuple, want))
+
+
+def test_places_match_a_plain_version(spark):
+    """Shards by the largest draw, grown ones by one draw more, slots without gaps in bucket order."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    draws = docs.select("doc_id", *[F.xxhash64(F.lit(11), F.lit(s), "doc_id").alias(f"s{s}") for s in range(5)]).collect()
+    best = {r.doc_id: [max(range(n), key=lambda s: (r[f"s{s}"], -s)) for n in (4, 5)] for r in draws}
+    placed = _placed(docs, 4, 3000)
+    assert {r.doc_id: [r.shard, r.grown_shard] for r in placed} == best
+    for shard in range(4):
+        mine = sorted((r.slot, r.bucket) for r in placed if r.shard == shard)
+        assert [s for s, _ in mine] == list(range(len(mine))) and [b for _, b in mine] == sorted(b for _, b in mine)
+
+
 def test_written_shards_read_back(spark, docs, folder):
     sharding.write_shards(sharding.shuffled_shards(docs, 3).select("row.doc_id", "shard", "bucket", "slot"), f"{folder}/shards")
     assert spark.read.parquet(f"{folder}/shards").count() == docs.count()
