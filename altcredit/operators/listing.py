@@ -13,6 +13,8 @@ CHILD_ORDER = {
     "bank_statements": ("year", "month"),
     "epfo_payroll": ("year", "month"),
 }
+#: Dates lie within so many days of 1970.
+_DAYS = 4_000_000
 CUSTOMER_COLUMNS = ("customer_id", "business_name", "sector", "persona", "gst_number")
 
 
@@ -61,18 +63,18 @@ def list_reports(
     """Reports with customer names and scores, newest first; equal times by customer and date.
 
     With a limit the newest reports that have a customer and a scorecard are chosen first, and only
-    those are joined to them.
+    those are joined to their names.
     """
     names = customers.select("customer_id", "business_name", "sector")
     scores = cards.select("customer_id", "scorecard_date", "composite_score")
     order = (F.desc("generated_at"), "customer_id", "scorecard_date")
     chosen = reports.select("customer_id", "scorecard_date", "generation_method", "generated_at")
+    # A report has one scorecard, so the join that tells whether there is one brings its score too.
+    chosen = chosen.join(scores, ["customer_id", "scorecard_date"])
     if limit is not None:
-        known = chosen.join(scores, ["customer_id", "scorecard_date"], "left_semi")
-        chosen = known.join(names, "customer_id", "left_semi").orderBy(*order).limit(limit)
+        chosen = chosen.join(names, "customer_id", "left_semi").orderBy(*order).limit(limit)
     return (
-        chosen.join(scores, ["customer_id", "scorecard_date"])
-        .join(names, "customer_id")
+        chosen.join(names, "customer_id")
         .select(
             "customer_id",
             "business_name",
@@ -98,13 +100,25 @@ def labelled(listed: DataFrame) -> DataFrame:
     )
 
 
+def newest_reports(reports: DataFrame) -> DataFrame:
+    """Date of the newest report of each customer; of equal times the one with the latest date.
+
+    Time and date are one number, so a single hash aggregation finds both and nothing is joined back.
+    """
+    wide = "decimal(38,0)"
+    days = F.unix_date("scorecard_date") + F.lit(_DAYS)
+    place = F.unix_micros("generated_at").cast(wide) * F.lit(2 * _DAYS).cast("decimal(10,0)") + days.cast("decimal(10,0)")
+    newest = reports.groupBy("customer_id").agg(F.max(place.cast(wide)).alias("_place"))
+    day = F.pmod(F.col("_place"), F.lit(2 * _DAYS).cast("decimal(10,0)")).cast("int") - F.lit(_DAYS)
+    return newest.select("customer_id", F.date_from_unix_date(day).alias("scorecard_date"))
+
+
 def score_comparison(
     reports: DataFrame, customers: DataFrame, cards: DataFrame
 ) -> DataFrame:
     """Composite score of the newest report of each customer, in id order."""
-    newest = latest_per_customer(reports, ["generated_at", "scorecard_date"])
     return (
-        newest.join(
+        newest_reports(reports).join(
             cards.select("customer_id", "scorecard_date", "composite_score"),
             ["customer_id", "scorecard_date"],
         )
