@@ -122,6 +122,13 @@ def block_damaged(checked: DataFrame) -> DataFrame:
     )
 
 
+def whole_files(checked: DataFrame) -> DataFrame:
+    """Of files that hold a damaged record, only the damaged ones: such a file can't be read as a whole."""
+    damaged = checked.filter("corrupt").select("source_path").distinct()
+    good = checked.filter(~F.col("corrupt")).join(damaged, "source_path", "left_anti")
+    return good.unionByName(checked.filter("corrupt"))
+
+
 def accepted(checked: DataFrame) -> DataFrame:
     """Rows without a blocking message.
 

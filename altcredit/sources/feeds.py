@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from altcredit.operators.registry import FeedSpec
-from altcredit.sources import paths
+from altcredit.sources import arrays, paths
 
 CORRUPT = "_corrupt_record"
 ORDER = ("source_path", "block_start", "ordinal")
@@ -64,14 +64,17 @@ def parsed_lines(lines: DataFrame, spec: FeedSpec, value: str = "value") -> Data
     return found.select(*rest, *[F.col("_record")[f.raw].alias(f.raw) for f in spec.fields], corrupt)
 
 
-def read_json(spark: SparkSession, path: str, spec: FeedSpec) -> DataFrame:
-    """JSON array files. An array can't be split: each file is one task that holds it in memory.
-
-    A file that is not valid JSON gives a single corrupt row. Large feeds come as JSON lines.
-    """
+def read_whole_json(spark: SparkSession, path: str, spec: FeedSpec) -> DataFrame:
+    """JSON array files, each by one task that holds it in memory; one that is not valid is a single corrupt row."""
     return positioned_json(spark.read.schema(json_schema(spec)).options(**ARRAY_OPTIONS).json(path), spec)
 
 
+def read_json(spark: SparkSession, path: str, spec: FeedSpec) -> DataFrame:
+    """JSON array files; files are split (see ``arrays``). A damaged record is a corrupt row."""
+    records = parsed_lines(arrays.read_records(spark, path), spec)
+    return records.select(*[f.raw for f in spec.fields], *POSITION, "corrupt")
+
+
 def positioned_lines(lines: DataFrame, spec: FeedSpec) -> DataFrame:
     """Records of text lines that carry their file's metadata."""
     return _with_position(parsed_lines(lines.select("value", "_metadata"), spec), spec, F.col("corrupt"))
