@@ -429,6 +429,8 @@ oracle(
 )
 oracle("scorecard", f"SELECT customer_id, scorecard_date, {CARD_COLS}, {FLAG_COLS} FROM flagged")
 
+# However the sums came about, they are those of all rows.
+oracle("incremental_scorecard", f"SELECT customer_id, scorecard_date, {CARD_COLS}, {FLAG_COLS} FROM flagged")
 oracle("stored_scorecard", f"SELECT customer_id, scorecard_date, {CARD_COLS}, {FLAG_COLS} FROM flagged")
 oracle(
     "requested_scores",

@@ -44,6 +44,8 @@ class FeedSpec:
     # Columns the stored table is partitioned by: a load rewrites only the partitions it touches.
     partition_by: Callable[[], dict[str, Column]]
     limits: tuple[tuple[str, int], ...] = ()
+    # Tables whose rows this feed refers to: they are loaded first.
+    refers_to: tuple[str, ...] = ()
 
     @property
     def raw_schema(self) -> T.StructType:
@@ -59,7 +61,7 @@ class FeedSpec:
 
     @property
     def is_child(self) -> bool:
-        return self.table != "customers"
+        return "customers" in self.refers_to
 
 
 def _col(name: str) -> Column:
@@ -196,7 +198,21 @@ def register(spec: FeedSpec) -> FeedSpec:
     return spec
 
 
-# Registration order is load order: customers first, as the others refer to them.
+def waves(specs: dict[str, FeedSpec]) -> list[list[str]]:
+    """Tables in the order in which they can be loaded: each wave refers to earlier ones only.
+
+    References to tables outside ``specs`` count as loaded; a cycle is an error.
+    """
+    left, out = dict(specs), []
+    while left:
+        ready = [t for t, spec in left.items() if not any(r in left and r != t for r in spec.refers_to)]
+        if not ready:
+            raise ValueError(f"Feeds refer to each other in a circle: {sorted(left)}")
+        out.append(ready)
+        left = {t: spec for t, spec in left.items() if t not in ready}
+    return out
+
+
 register(
     FeedSpec(
         table="customers",
@@ -226,6 +242,7 @@ register(
 register(
     FeedSpec(
         table="gst_filings",
+        refers_to=("customers",),
         fields=(
             _ID,
             *_PERIOD,
@@ -242,6 +259,7 @@ register(
 register(
     FeedSpec(
         table="upi_transactions",
+        refers_to=("customers",),
         fields=(
             _ID,
             Field("txn_date", "date", cl.as_date),
@@ -260,6 +278,7 @@ register(
 register(
     FeedSpec(
         table="bank_statements",
+        refers_to=("customers",),
         fields=(
             _ID,
             *_PERIOD,
@@ -286,6 +305,7 @@ register(
 register(
     FeedSpec(
         table="epfo_payroll",
+        refers_to=("customers",),
         fields=(
             _ID,
             *_PERIOD,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from altcredit.functions import wording as wd
 from altcredit.functions.times import instant
 from altcredit.operators import upsert as up
 from altcredit.operators import validate as vd
-from altcredit.operators.registry import FEEDS, FeedSpec
-from altcredit.sources import feeds, paths
+from altcredit.operators.registry import FEEDS, FeedSpec, waves
+from altcredit.sources import feeds, paths, sums
 from altcredit.sources.store import TableStore
 
 logger = logging.getLogger(__name__)
@@ -54,9 +55,15 @@ def load_records(
     staged_path = store.fresh_path(f"{table}_checked")
     _check(raw, table, as_of, customers).write.parquet(staged_path)
     staged = store.spark.read.parquet(staged_path)
+    if whole_files:
+        staged = vd.whole_files(staged)
 
     accepted = vd.accepted(staged).select(*spec.columns, *feeds.ORDER)
+    if store.sums:
+        sums.note(store, table, accepted)
     store.upsert(up.last_per_key(accepted, spec.keys, feeds.ORDER), table, run_ts)
+    if store.sums:
+        sums.refresh(store, table)
 
     results_path = store.fresh_path(f"{table}_results")
     by = ("source_path", "source_file")
@@ -122,16 +129,25 @@ def run_etl(
     run_id: str,
     fmt: str = "json",
 ) -> list[DataFrame]:
-    """Loads every registered feed found in ``data_dir``, customers first."""
+    """Loads every registered feed found in ``data_dir``; those that refer to no other one first.
+
+    Feeds that don't refer to each other are loaded at the same time. If one fails, the others of its wave are
+    loaded to the end, later waves are not begun, and the error is raised.
+    """
     store.create_tables()
-    results = []
+    found = {}
     for table in FEEDS:
         path = f"{data_dir}/{table}.{fmt}"
-        if not paths.exists(store.spark, path):
+        if paths.exists(store.spark, path):
+            found[table] = path
+        else:
             logger.warning("Skipping %s: %s not found", table, path)
-            continue
-        results.append(load_feed(store, path, table, as_of, run_ts, run_id, fmt))
-    return results
+    results: dict[str, DataFrame] = {}
+    for wave in waves({t: FEEDS[t] for t in found}):
+        with ThreadPoolExecutor(len(wave)) as pool:
+            loads = {t: pool.submit(load_feed, store, found[t], t, as_of, run_ts, run_id, fmt) for t in wave}
+        results |= {t: load.result() for t, load in loads.items()}
+    return [results[t] for t in found]
 
 
 def validate_data(spark: SparkSession, data_dir: str, as_of: date, fmt: str = "json") -> DataFrame:
@@ -144,9 +160,12 @@ def validate_data(spark: SparkSession, data_dir: str, as_of: date, fmt: str = "j
             parts.append(spark.createDataFrame([(table, note)], "table_name string, issue string"))
             continue
         raw = feeds.read_feed(spark, path, spec, fmt)
-        checked = vd.block_damaged(vd.check_feed(raw, table, as_of, ("source_file", "corrupt")))
+        checked = vd.block_damaged(vd.check_feed(raw, table, as_of, ("source_path", "source_file", "corrupt")))
         lines = vd.issue_lines()
         if fmt == "json":
+            # One line a file, however many of its records are damaged.
+            checked = vd.whole_files(checked)
+            checked = checked.filter(~F.col("corrupt")).unionByName(checked.filter("corrupt").dropDuplicates(["source_path"]))
             unreadable = F.format_string("%s: failed to read/parse: " + vd.NOT_JSON, F.col("source_file"))
             lines = F.when(F.col("corrupt"), F.array(unreadable)).otherwise(lines)
         parts.append(

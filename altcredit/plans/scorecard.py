@@ -152,8 +152,13 @@ def scorecards(
     as_of: date,
 ) -> DataFrame:
     """Scorecard documents of all given customers, dated ``as_of``."""
+    return scorecards_of_sums(customers, summarize_tables(gst, upi, bank, epfo), as_of)
+
+
+def scorecards_of_sums(customers: DataFrame, summaries: Sequence[DataFrame], as_of: date) -> DataFrame:
+    """Scorecard documents from sums that are known already."""
     base = customers.select("customer_id", F.lit(as_of).alias("scorecard_date"))
-    return documents(score(combine(base, summarize_tables(gst, upi, bank, epfo))))
+    return documents(score(combine(base, summaries)))
 
 
 def missing_fields(cards: DataFrame) -> list[str]:

@@ -39,6 +39,25 @@ def files_below(spark: SparkSession, path: str) -> dict[str, int]:
     return dict(sorted(sizes.items()))
 
 
+def folders_below(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder, if there is one."""
+    system, target = _file_system(spark, path)
+    if not system.exists(target):
+        return []
+    return sorted(s.getPath().toString() for s in system.listStatus(target) if s.isDirectory())
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Leaves an empty folder."""
+    system, target = _file_system(spark, path)
+    system.mkdirs(target)
+
+
+def names_below(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder, if there is one."""
+    return [name_of(f) for f in folders_below(spark, path)]
+
+
 def first_lines(spark: SparkSession, path: str) -> dict[str, str]:
     """The first line of each file that has one."""
     lines: dict[str, str] = {}

@@ -5,6 +5,10 @@ from __future__ import annotations
 import json
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
+from altcredit.schemas import TABLES
+
 AS_OF = date(2025, 1, 1)
 RUN_TS = datetime(2025, 1, 1, 6, 0, 0)
 
@@ -152,6 +156,13 @@ def raw_frame(spark, rows, fields):
     return spark.createDataFrame([tuple(text(r.get(f)) for f in fields) for r in rows], schema)
 
 
+def whole_rows(rows, table):
+    """Rows of a table with NULL in the columns that are not given."""
+    fields = [f for f in TABLES[table].fields if f.name not in ("created_at", "updated_at")]
+    given = {c: F.col(c) for c in rows.columns}
+    return rows.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def write_feed(folder, table, rows):
     path = f"{folder}/{table}.json"
     with open(path, "w", encoding="utf-8") as f:
