@@ -33,9 +33,11 @@ def utf8_bytes(column: str) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Keeps the cluster's shared folder; names one only where the session has none."""
+    """Keeps the cluster's shared folder; names one only where all executors run on this machine."""
     context = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir("/tmp/checkpoints")
 
 
