@@ -329,30 +329,35 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return result
 
 
+#: Feeds that come from the same source table are checked in one scan of it.
+LINE_FEEDS = ("bank_statements", "epfo_payroll")
+
+
+def _all_checked(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The checks of all feeds, each row with its ``table_name``."""
+    single = [_checked(spark, sf_dir, t).select(F.lit(t).alias("table_name"), "record_id", "blocking", "warnings") for t in FEEDS if t not in LINE_FEEDS]
+    return [*single, vd.check_feeds(v.raw_line_feeds(spark, sf_dir), LINE_FEEDS, v.AS_OF)]
+
+
+def _feed_file() -> Column:
+    return F.concat("table_name", F.lit(".json"))
+
+
 @query
 def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _union(
-        [
-            vd.error_rows(_checked(spark, sf_dir, t), t, F.lit(f"{t}.json"))
-            for t in FEEDS
-        ]
-    )
+    return vd.error_rows(_union(_all_checked(spark, sf_dir)), F.col("table_name"), _feed_file())
 
 
 @query
 def dry_run_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _union([vd.dry_run_issues(_checked(spark, sf_dir, t), t) for t in FEEDS])
+    return vd.dry_run_issues(_union(_all_checked(spark, sf_dir)), F.col("table_name"))
 
 
 @query
 def load_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [
-        _checked(spark, sf_dir, t).select(
-            F.lit(t).alias("table_name"), F.lit(f"{t}.json").alias("source_file"), "blocking"
-        )
-        for t in FEEDS
-    ]
-    return vd.load_status(vd.load_counts(_union(parts), ("table_name", "source_file")))
+    parts = [checked.select("table_name", "blocking") for checked in _all_checked(spark, sf_dir)]
+    rows = _union(parts).withColumn("source_file", _feed_file())
+    return vd.load_status(vd.load_counts(rows, ("table_name", "source_file")))
 
 
 CHILD_TABLES = {

@@ -355,7 +355,7 @@ def raw_upi_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_bank_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _raw_bank() -> list[Column | str]:
     k = key()
     surplus = F.concat(
         F.when(F.col("operating_surplus_paise") < 0, F.lit("-")).otherwise(F.lit("")),
@@ -363,7 +363,7 @@ def raw_bank_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("."),
         F.lpad((F.abs("operating_surplus_paise") % 100).cast("string"), 2, "0"),
     )
-    return bank_statements(spark, sf_dir).select(
+    return [
         "customer_id",
         _flaw([(k % 47 == 0, "0")], F.col("month").cast("string")).alias("month"),
         F.col("year").cast("string").alias("year"),
@@ -386,12 +386,12 @@ def raw_bank_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         _flaw([(k % 59 == 0, "-1")], rupees_text("cash_withdrawals_paise")).alias(
             "cash_withdrawals"
         ),
-    )
+    ]
 
 
-def raw_epfo_payroll(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _raw_epfo() -> list[Column | str]:
     k = key()
-    return epfo_payroll(spark, sf_dir).select(
+    return [
         _flaw([(k % 53 == 0, None)], F.col("customer_id")).alias("customer_id"),
         F.col("month").cast("string").alias("month"),
         F.col("year").cast("string").alias("year"),
@@ -405,7 +405,21 @@ def raw_epfo_payroll(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.col("is_late_contribution").cast("string").alias("is_late_contribution"),
         F.col("employee_churn").cast("string").alias("employee_churn"),
-    )
+    ]
+
+
+def raw_bank_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bank_statements(spark, sf_dir).select(*_raw_bank())
+
+
+def raw_epfo_payroll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epfo_payroll(spark, sf_dir).select(*_raw_epfo())
+
+
+def raw_line_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bank and the payroll feed side by side, a struct each, from one scan of their source."""
+    months = _line_months(spark, sf_dir).join(_balances(spark, sf_dir), "customer_id")
+    return months.select(F.struct(*_raw_bank()).alias("bank_statements"), F.struct(*_raw_epfo()).alias("epfo_payroll"))
 
 
 RAW = {

@@ -64,6 +64,11 @@ def run_analytics(
     ids that do not exist, if ids were requested.
     """
     store.create_tables()
+    if requested is not None:
+        # Used for the customers and each feed: worked out once.
+        path = store.fresh_path("requested")
+        requested.select("customer_id").distinct().write.parquet(path)
+        requested = store.spark.read.schema("customer_id string").parquet(path)
     customers, unknown = sc.select_customers(store.read("customers"), requested)
     feeds = [store.read(t) for t in ("gst_filings", "upi_transactions", "bank_statements", "epfo_payroll")]
     batch = _card_rows(sc.scorecards(customers, *sc.only_requested(feeds, requested), as_of))
