@@ -117,8 +117,9 @@ RULES = (
     Rule("capitals", lambda w, t: n_capitals(t) * 2 > word_chars(w), lambda s, t: n_capitals(t) * 2 > s["word_chars"]),
 )
 
-#: Work that a rule is timed over, in seconds, and the bytes of text that the sample holds about.
-TIMED = 0.5
+#: Work that a rule is timed over, in seconds, and the rows of the sample that it is timed on.
+TIMED, TIMED_ROWS = 0.1, 200
+#: Bytes of text that the sample holds about.
 SAMPLE_BYTES = 16 << 20
 
 
@@ -127,8 +128,8 @@ def measure(docs: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_ro
 
     The sample decides the order of the rules and nothing else; it holds about ``SAMPLE_BYTES`` at most. It is
     written to the shared checkpoint folder once, so that each rule is timed on its own over the same rows, by
-    one task. A rule is run once for its selectivity, which also compiles it, then once and many times over
-    each row: the difference is the rule's own work, without what a job costs. Costs are rounded to powers of
+    one task. A rule is run once for its selectivity, then on the first ``TIMED_ROWS`` rows once and many times over
+    each: the difference is the rule's own work, without what a job costs. Costs are rounded to powers of
     two, as times vary from run to run.
     """
     checkpoint_folder(docs.sparkSession)
@@ -136,24 +137,24 @@ def measure(docs: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_ro
     fraction = min(1.0, sample_rows / max(found["rows"], 1), SAMPLE_BYTES / max(found["bytes"] or 0, 1))
     part = docs.select(text_of(text).alias("text")).sample(fraction=fraction, seed=seed)
     part = part.repartition(1).select("text", words_of("text").alias("words")).checkpoint()
-    size = part.count()
+    size, few = part.count(), part.limit(TIMED_ROWS)
 
     def seconds(rule: Rule, times: int) -> float:
         hits = F.aggregate(F.sequence(F.lit(1), F.lit(times)), F.lit(0), lambda n, _: n + rule.reject(F.col("words"), F.col("text")).cast("int"))
         began = time.perf_counter()
-        part.agg(F.sum(hits)).first()
+        few.agg(F.sum(hits)).first()
         return time.perf_counter() - began
 
     out = []
     for rule in rules:
         rejected = part.agg(F.count_if(rule.reject(F.col("words"), F.col("text"))).alias("n")).first()["n"]
         seconds(rule, 1)
-        once, times = seconds(rule, 1), 4
+        once, times = seconds(rule, 1), 2
         more = seconds(rule, 1 + times)
         while more - once < TIMED and times < 4096:
             times *= 8
             more = seconds(rule, 1 + times)
-        cost = max(more - once, 1e-6) / times / max(size, 1)
+        cost = max(more - once, 1e-6) / times / max(min(size, TIMED_ROWS), 1)
         out.append({"name": rule.name, "cost": 2.0 ** round(math.log2(cost)), "rejects": rejected / max(size, 1)})
     return out
 
